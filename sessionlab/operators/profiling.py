@@ -27,7 +27,7 @@ def five_number(df: DataFrame, column: str) -> DataFrame:
     n_values = df.agg(F.approx_count_distinct(q)).first()[0]
     quartiles = {"q1": 0.25, "median": 0.5, "q3": 0.75}
     if n_values <= COUNTER_VALUES:
-        parts = df.agg(F.percentile(q, [F.lit(p) for p in quartiles.values()]).alias("p"))
+        parts = df.agg(F.percentile(q, F.array(*[F.lit(p) for p in quartiles.values()])).alias("p"))
         parts = parts.select(*[F.get("p", F.lit(i)).alias(name) for i, name in enumerate(quartiles)])
         out = base.join(F.broadcast(parts))
     else:

@@ -202,7 +202,7 @@ def global_quantiles(df: DataFrame, column: str, probabilities: Sequence[float])
     """Exact quantiles of a whole column, as numbers (a fit step)."""
     value = F.col(f"`{column}`")
     if df.agg(F.approx_count_distinct(value)).first()[0] <= COUNTER_VALUES:
-        found = df.agg(F.percentile(value, [F.lit(float(p)) for p in probabilities])).first()[0]
+        found = df.agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in probabilities]))).first()[0]
         return list(found or [])
     parts = [exact_quantile(df, [], column, p).first() for p in probabilities]
     return [r["quantile"] for r in parts if r is not None]
