@@ -87,14 +87,18 @@ def fit_varying_cols(df: DataFrame) -> list[str]:
 
     Two values exist when min and max differ, or when NULLs and values mix: one pass of mergeable
     aggregates, no distinct."""
-    checks = []
+    aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(df.columns):
         q = _comparable(df, c)
-        mixed = (F.count(q) > 0) & (F.count(q) < F.count(F.lit(1)))
-        differs = F.coalesce(F.min(q) < F.max(q), F.lit(False))
-        checks.append((mixed | differs).alias(f"_{i}"))
-    row = df.agg(*checks).first()
-    return [c for c, keep in zip(df.columns, row) if keep]
+        aggs += [F.count(q).alias(f"n{i}"), F.min(q).alias(f"lo{i}"), F.max(q).alias(f"hi{i}")]
+    row = df.agg(*aggs).first()
+    return [c for i, c in enumerate(df.columns)
+            if 0 < row[f"n{i}"] < row["rows"] or _differ(row[f"lo{i}"], row[f"hi{i}"])]
+
+
+def _differ(low, high) -> bool:
+    both_nan = low != low and high != high
+    return low != high and not both_nan
 
 
 def drop_constant_cols(df: DataFrame) -> DataFrame:

@@ -57,8 +57,8 @@ def histogram(df: DataFrame, bins: int = 30, columns: Sequence[str] | None = Non
 def _bin(c: str, bins: int):
     lo, hi = F.col(f"`_lo_{c}`"), F.col(f"`_hi_{c}`")
     position = F.floor((quoted(c) - lo) / (hi - lo) * bins) + 1
-    return F.when(lo == hi, F.when(quoted(c).isNotNull(), F.lit(1))).otherwise(
-        F.least(position, F.lit(bins))).cast("int")
+    inside = F.when(lo == hi, F.lit(1)).otherwise(F.least(position, F.lit(bins)))  # least skips NULL
+    return F.when(quoted(c).isNotNull(), inside).cast("int")
 
 
 def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -133,14 +133,16 @@ def add_features(df: DataFrame, settings: FeatureSettings) -> DataFrame:
 
 
 def numeric_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Text columns to codes, constant columns out. Returns the table and its feature names."""
-    text = [c for c in K.columns_of(df, T.StringType) if c not in CONTROL]
-    coded = label_encode(df, text)
-    flags = {f.name: K.quoted(f.name).cast("int") for f in coded.schema.fields
-             if isinstance(f.dataType, T.BooleanType) and f.name not in CONTROL}
-    coded = coded.withColumns(flags) if flags else coded
-    candidates = [c for c in K.columns_of(coded, T.NumericType) if c not in CONTROL]
-    features = K.fit_varying_cols(coded.select(*[K.quoted(c) for c in candidates]))
-    features = [c for c in features if c not in NOT_FEATURES]
-    control = [c for c in CONTROL if c in coded.columns]
-    return coded.select(*control, *[K.quoted(c) for c in features]), features
+    """Constant columns out, text columns to codes, flags to numbers. Returns the table and its feature names.
+
+    The fits read ``df`` more than once, so pass a materialised table. A code varies when its text does, so
+    the choice of columns comes first and only the columns that stay are encoded."""
+    control = [c for c in CONTROL if c in df.columns]
+    usable = [f.name for f in df.schema.fields if f.name not in (*CONTROL, *NOT_FEATURES)
+              and isinstance(f.dataType, (T.StringType, T.NumericType, T.BooleanType))]
+    features = K.fit_varying_cols(df.select(*[K.quoted(c) for c in usable]))
+    kept = df.select(*control, *[K.quoted(c) for c in features])
+    flags = {c: K.quoted(c).cast("int") for c in K.columns_of(kept, T.BooleanType) if c in features}
+    text = [c for c in K.columns_of(kept, T.StringType) if c in features]
+    coded = label_encode(kept.withColumns(flags) if flags else kept, text)
+    return coded, features

@@ -36,7 +36,8 @@ def score_visitors(train: DataFrame, test: DataFrame, template: DataFrame, first
                    boost: BoostSettings = BoostSettings(), settings: FeatureSettings = SINGLE_LEVEL) -> DataFrame:
     """Hold out the last days to choose the number of rounds, refit on all, score the test visitors."""
     spark = train.sparkSession
-    coded, features = numeric_features(session_features(train, test, settings))
+    table = materialize(session_features(train, test, settings), scratch_path(spark, "features"))
+    coded, features = numeric_features(table)
     coded = materialize(coded, scratch_path(spark, "coded"))
     known = row_range(coded, test=False).withColumn(
         "is_val", F.timestamp_seconds(START) >= F.lit(first_validation_day).cast("timestamp"))
