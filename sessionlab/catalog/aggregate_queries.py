@@ -57,11 +57,11 @@ def count_by_date(spark, d):
 
 
 def _one(stat, fn):
-    sql = f"WITH {S} SELECT channel, CAST(hour(ts) AS INTEGER) AS hour, {stat_columns('value', [stat])} FROM s GROUP BY ALL"
+    sql = f"WITH {S} SELECT channel, CAST(hour(ts) AS INTEGER) AS hour, {stat_columns('log_value', [stat])} FROM s GROUP BY ALL"
 
     def run(spark, d):
         rows = sessions(spark, d).withColumn("hour", F.hour("ts"))
-        return rounded(fn(rows, ["channel", "hour"], ["value"]), f"value_{stat}")
+        return rounded(fn(rows, ["channel", "hour"], ["log_value"]), f"log_value_{stat}")
 
     query(f"{stat}_by", sql)(run)
 
@@ -72,19 +72,19 @@ for _stat, _fn in (("sum", A.sum_by), ("mean", A.mean_by), ("min", A.min_by), ("
 
 
 @query("moments_small_groups", f"""
-WITH {S}, g AS (SELECT user_id, CAST(ts AS DATE) AS day, revenue FROM s)
-SELECT user_id, day, {stat_columns('revenue', ['var', 'mean', 'sum', 'min', 'max', 'count'])}, {stat_columns('revenue', ['skewness'])}
+WITH {S}, g AS (SELECT user_id, CAST(ts AS DATE) AS day, log_revenue FROM s)
+SELECT user_id, day, {stat_columns('log_revenue', ['var', 'mean', 'sum', 'min', 'max', 'count'])}, {stat_columns('log_revenue', ['skewness'])}
 FROM g GROUP BY ALL""")
 def moments_small_groups(spark, d):
     """Groups of none, one or a few values: variance of one is NULL, sum of none is 0."""
     stats = ["var", "mean", "sum", "min", "max", "count", "skewness"]
-    rows = sessions(spark, d).select("user_id", F.col("ts").cast("date").alias("day"), "revenue")
+    rows = sessions(spark, d).select("user_id", F.col("ts").cast("date").alias("day"), "log_revenue")
     # two values have skewness 0 by the moment formula; the oracle's function starts at three
-    out = A.stats_by(rows, ["user_id", "day"], ["revenue"], stats)
-    out = out.withColumn("revenue_skewness", F.when(F.col("revenue_count") >= 3, F.col("revenue_skewness")))
-    out = out.withColumns({"revenue_sum": F.col("revenue_sum").cast("double"),
-                           "revenue_count": F.col("revenue_count").cast("double")})
-    return rounded(out, *[f"revenue_{s}" for s in stats])
+    out = A.stats_by(rows, ["user_id", "day"], ["log_revenue"], stats)
+    out = out.withColumn("log_revenue_skewness", F.when(F.col("log_revenue_count") >= 3, F.col("log_revenue_skewness")))
+    out = out.withColumns({"log_revenue_sum": F.col("log_revenue_sum").cast("double"),
+                           "log_revenue_count": F.col("log_revenue_count").cast("double")})
+    return rounded(out, *[f"log_revenue_{s}" for s in stats])
 
 
 @query("exact_median_large", f"""
@@ -114,17 +114,17 @@ GROUP_STATS = ["mean", "median", "var", "skewness", "min", "max", "sum"]
 
 
 @query("group_stats", f"""
-WITH {S}, t AS (SELECT event_id, channel, user_id, CAST(dayofweek(ts) + 1 AS INTEGER) AS wday, value FROM s),
+WITH {S}, t AS (SELECT event_id, channel, user_id, CAST(dayofweek(ts) + 1 AS INTEGER) AS wday, log_value FROM s),
 """ + ",\n".join(
-    f"g_{k} AS (SELECT {k} AS key_{k}, {stat_columns('value', GROUP_STATS, '{m}_{s}_' + k)} FROM t GROUP BY {k})"
+    f"g_{k} AS (SELECT {k} AS key_{k}, {stat_columns('log_value', GROUP_STATS, '{m}_{s}_' + k)} FROM t GROUP BY {k})"
     for k in GROUP_KEYS) + f"""
-SELECT event_id, {', '.join(f'value_{s}_{k}' for k in GROUP_KEYS for s in GROUP_STATS)} FROM t
+SELECT event_id, {', '.join(f'log_value_{s}_{k}' for k in GROUP_KEYS for s in GROUP_STATS)} FROM t
 """ + "\n".join(f"LEFT JOIN g_{k} ON t.{k} IS NOT DISTINCT FROM key_{k}" for k in GROUP_KEYS))
 def group_stats(spark, d):
     """Seven statistics for three keys on every row; NULL is a group."""
-    rows = sessions(spark, d).select("event_id", "channel", "user_id", F.dayofweek("ts").alias("wday"), "value")
-    out = A.attach_group_stats(rows, GROUP_KEYS, ["value"], GROUP_STATS)
-    names = [f"value_{s}_{k}" for k in GROUP_KEYS for s in GROUP_STATS]
+    rows = sessions(spark, d).select("event_id", "channel", "user_id", F.dayofweek("ts").alias("wday"), "log_value")
+    out = A.attach_group_stats(rows, GROUP_KEYS, ["log_value"], GROUP_STATS)
+    names = [f"log_value_{s}_{k}" for k in GROUP_KEYS for s in GROUP_STATS]
     return rounded(out.select("event_id", *names), *names)
 
 

@@ -21,7 +21,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 # --- typed sessions -----------------------------------------------------------------------------------
 
 def sessions(spark: SparkSession, folder: str) -> DataFrame:
-    """event_id, user_id, ts, start (epoch seconds), channel (NULL for one type), value, revenue (sparse), k."""
+    """event_id, user_id, ts, start (epoch seconds), channel (NULL for one type), value, revenue (sparse), k, and the
+    logs of the two amounts (two-decimal amounts have averages that sit exactly on rounding borders)."""
     events = table(spark, folder, "events")
     return events.select(
         "event_id",
@@ -33,6 +34,8 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
         "value",
         F.when(F.col("event_type") == "purchase", F.col("value")).alias("revenue"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
+        F.log1p("value").alias("log_value"),
+        F.log1p(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("log_revenue"),
     )
 
 
@@ -40,7 +43,8 @@ S = """s AS (
   SELECT event_id, user_id, ts, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS start, event_type,
          nullif(event_type, 'error') AS channel, value,
          CASE WHEN event_type = 'purchase' THEN value END AS revenue,
-         CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
+         CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+         ln(1 + value) AS log_value, CASE WHEN event_type = 'purchase' THEN ln(1 + value) END AS log_revenue
   FROM events)"""
 
 

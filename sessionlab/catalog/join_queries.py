@@ -12,12 +12,12 @@ from sessionlab.sources.schemas import BLEND_WEIGHTS
 
 
 @query("left_join_nullsafe", f"""
-WITH {S}, g AS (SELECT channel, count(*) AS n, round(avg(value), 8) AS value_r FROM s GROUP BY channel)
+WITH {S}, g AS (SELECT channel, count(*) AS n, round(avg(log_value), 8) AS value_r FROM s GROUP BY channel)
 SELECT s.event_id, s.channel, s.value, g.n, g.value_r FROM s LEFT JOIN g ON s.channel IS NOT DISTINCT FROM g.channel""")
 def left_join_nullsafe(spark, d):
-    rows = sessions(spark, d).select("event_id", "channel", "value")
-    groups = rows.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 8).alias("value"))
-    return J.left_join_nullsafe(rows, groups, "channel")
+    rows = sessions(spark, d).select("event_id", "channel", "value", "log_value")
+    groups = rows.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("log_value"), 8).alias("value"))
+    return J.left_join_nullsafe(rows.drop("log_value"), groups, "channel")
 
 
 @query("left_join_multi", f"""
@@ -31,14 +31,14 @@ def left_join_multi(spark, d):
 
 def _scores(spark, d):
     """One score per visitor, and a template that also lists visitors without any session."""
-    scores = stats_by(sessions(spark, d), ["user_id"], ["value"], ["mean"]).select(
-        F.col("user_id").cast("string").alias("visitor"), F.round("value_mean", 8).alias("score"))
+    scores = stats_by(sessions(spark, d), ["user_id"], ["log_value"], ["mean"]).select(
+        F.col("user_id").cast("string").alias("visitor"), F.round("log_value_mean", 8).alias("score"))
     template = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("visitor"))
     return scores, template
 
 
 _TEMPLATE_SQL = """
-WITH p AS (SELECT CAST(user_id AS VARCHAR) AS visitor, round(avg(value), 8) AS score FROM events GROUP BY user_id),
+WITH p AS (SELECT CAST(user_id AS VARCHAR) AS visitor, round(avg(ln(1 + value)), 8) AS score FROM events GROUP BY user_id),
 t AS (SELECT CAST(c_custkey AS VARCHAR) AS visitor FROM customer)
 SELECT t.visitor, p.score FROM {}"""
 

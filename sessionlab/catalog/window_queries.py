@@ -76,25 +76,25 @@ _BROADCAST = {"mean": "avg({0})", "sd": "stddev_samp({0})", "skewness": SKEW3, "
 
 
 @query("group_broadcast", f"""
-WITH {S}, g AS (SELECT channel AS c, {', '.join(f"{e.format('value')} AS s_{n}" for n, e in _BROADCAST.items())} FROM s GROUP BY channel)
-SELECT event_id, {', '.join(f"round(s_{n}, {digits_of(n)}) AS value_{n}_channel" for n in _BROADCAST)}
+WITH {S}, g AS (SELECT channel AS c, {', '.join(f"{e.format('log_value')} AS s_{n}" for n, e in _BROADCAST.items())} FROM s GROUP BY channel)
+SELECT event_id, {', '.join(f"round(s_{n}, {digits_of(n)}) AS log_value_{n}_channel" for n in _BROADCAST)}
 FROM s LEFT JOIN g ON s.channel IS NOT DISTINCT FROM g.c""")
 def group_broadcast(spark, d):
-    rows = sessions(spark, d).select("event_id", "channel", "value")
-    out = W.group_broadcast(rows, "channel", ["value"], list(_BROADCAST))
-    names = [f"value_{n}_channel" for n in _BROADCAST]
+    rows = sessions(spark, d).select("event_id", "channel", "log_value")
+    out = W.group_broadcast(rows, "channel", ["log_value"], list(_BROADCAST))
+    names = [f"log_value_{n}_channel" for n in _BROADCAST]
     return rounded(out.select("event_id", *names), *names)
 
 
 @query("group_functions", f"""
-WITH {S}, g AS (SELECT channel AS c, avg(value) AS m, max(value) AS x FROM s WHERE channel IS NOT NULL GROUP BY channel)
-SELECT event_id, round(CASE WHEN channel IS NULL THEN value ELSE m END, 8) AS value_mean_channel,
-  round(CASE WHEN channel IS NULL THEN value ELSE x END, 5) AS value_max_channel FROM s LEFT JOIN g ON channel = c""")
+WITH {S}, g AS (SELECT channel AS c, avg(log_value) AS m, max(log_value) AS x FROM s WHERE channel IS NOT NULL GROUP BY channel)
+SELECT event_id, round(CASE WHEN channel IS NULL THEN log_value ELSE m END, 8) AS log_value_mean_channel,
+  round(CASE WHEN channel IS NULL THEN log_value ELSE x END, 5) AS log_value_max_channel FROM s LEFT JOIN g ON channel = c""")
 def group_functions(spark, d):
     """The other convention: rows without a group keep their own value."""
-    rows = sessions(spark, d).select("event_id", "channel", "value")
-    out = W.group_broadcast(rows, "channel", ["value"], ["mean", "max"], keep_ungrouped=True)
-    return rounded(out.drop("channel", "value"), "value_mean_channel", "value_max_channel")
+    rows = sessions(spark, d).select("event_id", "channel", "log_value")
+    out = W.group_broadcast(rows, "channel", ["log_value"], ["mean", "max"], keep_ungrouped=True)
+    return rounded(out.drop("channel", "log_value"), "log_value_mean_channel", "log_value_max_channel")
 
 
 @query("distinct_broadcast", f"""
