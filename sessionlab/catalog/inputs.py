@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlab.functions.columns import col  # noqa: F401
-from sessionlab.sources.readers import read_table
+from sessionlab.sources.readers import read_table, spread_few
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -60,6 +60,7 @@ def raw_sessions(spark: SparkSession, folder: str) -> DataFrame:
         .select("c_custkey", "c_mktsegment", "n_name", "r_name")
     )
     joined = e.join(place, F.col("user_id") == F.col("c_custkey"))
+    joined = spread_few(joined, table(spark, folder, "events"), "event_id")
     return joined.select(
         F.col("event_type").alias("channelGrouping"),
         _dimensions().alias("customDimensions"),

@@ -12,7 +12,7 @@ from sessionlab.operators import modelling as M
 from sessionlab.operators import scoring as Sc
 from sessionlab.operators import splits as P
 from sessionlab.session import scratch_path
-from sessionlab.sources.readers import scan_typed_csv
+from sessionlab.sources.readers import scan_typed_csv, spread_few
 from sessionlab.sources.schemas import struct
 
 _MD5_FOLD = "CAST(CAST('0x' || substr(md5(CAST({} AS VARCHAR)), 1, 8) AS BIGINT) % {} AS INTEGER)"
@@ -74,6 +74,14 @@ def leave_month_out(spark, d):
     return P.leave_month_out(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate").drop("o_orderdate")
 
 
+@query("index_setdiff", f"""
+SELECT event_id, user_id FROM events WHERE NOT {_MD5_FOLD.format('user_id', 5)} = 2""")
+def index_setdiff(spark, d):
+    """The rows outside one fold, by the fold column."""
+    folds = P.group_kfold_portable(table(spark, d, "events").select("event_id", "user_id"), "user_id", 5)
+    return folds.filter(F.col("fold") != 2).drop("fold")
+
+
 # --- matrix and learners ------------------------------------------------------------------------------------
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "day_of_year"]
@@ -81,7 +89,8 @@ FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "day_of_year"]
 
 def _matrix(spark, d):
     """Line items: a label that depends on quantity and discount, with a fold by order."""
-    rows = table(spark, d, "lineitem").withColumns({
+    items = table(spark, d, "lineitem")
+    rows = spread_few(items, items, "l_orderkey").withColumns({
         "day_of_year": F.dayofyear("l_shipdate"),
         "y": F.log1p(F.col("l_quantity") * (1 + F.col("l_discount") * 10)),
         "row_id": F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
@@ -163,7 +172,8 @@ FROM lineitem""")
 def pca(spark, d):
     """With all components kept, a row's squared length equals that of its standardised values: the check is
     free of the components' signs."""
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", *_PCA)
+    items = table(spark, d, "lineitem")
+    rows = spread_few(items, items, "l_orderkey").select("l_orderkey", "l_partkey", *_PCA)
     model = M.fit_pca(rows, list(_PCA), 4)
     scored = M.apply_pca(rows, list(_PCA), model)
     length = sum((F.pow(F.col(f"PC{i}"), F.lit(2.0)) for i in range(1, 5)), F.lit(0.0))

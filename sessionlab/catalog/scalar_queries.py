@@ -79,13 +79,14 @@ def text_calendar(spark, d):
 
 
 @query("log_transforms", """
-SELECT event_id, round(ln(value), 6) AS log_value, round(ln(1 + value), 6) AS log1p_value,
+SELECT event_id, CASE WHEN value > 0 THEN round(ln(value), 6) WHEN value = 0 THEN CAST('-Infinity' AS DOUBLE) END AS log_value,
+  round(ln(1 + value), 6) AS log1p_value,
   round(exp(value / 100) - 1, 6) AS expm1_value
 FROM events""")
 def log_transforms(spark, d):
     v = F.col("value")
     return table(spark, d, "events").select(
-        "event_id", F.round(F.log(v), 6).alias("log_value"), F.round(F.log1p(v), 6).alias("log1p_value"),
+        "event_id", F.round(C.natural_log(v), 6).alias("log_value"), F.round(F.log1p(v), 6).alias("log1p_value"),
         F.round(F.expm1(v / 100), 6).alias("expm1_value"))
 
 

@@ -50,6 +50,11 @@ def log_label(c: ColumnLike) -> Column:
     return F.log1p(F.coalesce(col(c).try_cast("double"), F.lit(0.0)))
 
 
+def natural_log(c: ColumnLike) -> Column:
+    """Logarithm with log(0) = -Infinity (Spark's own gives NULL); NULL below zero."""
+    return F.when(col(c) == 0, F.lit(float("-inf"))).otherwise(F.log(col(c)))
+
+
 # --- text and dates -----------------------------------------------------------------------------
 
 def cross_feature(a: ColumnLike, b: ColumnLike, sep: str = "_") -> Column:

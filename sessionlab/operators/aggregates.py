@@ -39,11 +39,13 @@ def count_by(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
-def stats_by(df: DataFrame, keys: Sequence[str], measures: Sequence[str], stats: Sequence[str]) -> DataFrame:
+def stats_by(df: DataFrame, keys: Sequence[str], measures: Sequence[str], stats: Sequence[str],
+             wide: set[str] | None = None) -> DataFrame:
     """Named statistics of each measure per group, as ``<measure>_<stat>``. Exact medians switch to the
-    distributed method when a measure has too many values for per-group counters."""
+    distributed method when a measure has too many values for per-group counters; ``wide`` names such
+    measures if the caller knows them already."""
     keys, stats = list(keys), list(stats)
-    spread = _wide_measures(df, measures) if "median" in stats else set()
+    spread = set() if "median" not in stats else _wide_measures(df, measures) if wide is None else wide
     aggs = [
         STATS[s](quoted(m)).alias(f"{m}_{s}")
         for m in measures for s in stats if not (s == "median" and m in spread)
@@ -116,14 +118,15 @@ def fit_key_sizes(df: DataFrame, keys: Sequence[str]) -> dict[str, int]:
     return {k: int(n * 1.2) + 2 for k, n in zip(keys, row)}
 
 
-def long_group_stats(df: DataFrame, keys: Sequence[str], measures: Sequence[str], stats: Sequence[str]) -> DataFrame:
+def long_group_stats(df: DataFrame, keys: Sequence[str], measures: Sequence[str], stats: Sequence[str],
+                     wide: set[str] | None = None) -> DataFrame:
     """(key_name, key_value, statistics): the groups of every key from one scan and one shuffle of
     partial aggregates."""
     text = df.select(*[quoted(k).cast("string").alias(k) for k in keys],
                      *[quoted(m).alias(f"_m_{m}") for m in measures])
     long = text.unpivot([f"_m_{m}" for m in measures], [quoted(k) for k in keys], "key_name", "key_value")
     long = long.withColumnsRenamed({f"_m_{m}": m for m in measures})
-    return stats_by(long, ["key_name", "key_value"], measures, stats)
+    return stats_by(long, ["key_name", "key_value"], measures, stats, wide)
 
 
 def attach_group_stats(df: DataFrame, keys: Sequence[str], measures: Sequence[str], stats: Sequence[str],
@@ -133,8 +136,9 @@ def attach_group_stats(df: DataFrame, keys: Sequence[str], measures: Sequence[st
     The statistics of all keys come from one job and are written out once; each key is then a broadcast
     join if its number of groups allows, else a sort-merge join. Only statistics are shuffled, never
     the rows of a broadcast key."""
-    sizes = fit_key_sizes(df, keys)
-    stats_table = cut_lineage(long_group_stats(df, keys, measures, stats))
+    sizes = fit_key_sizes(df, [*keys, *measures])
+    wide = {m for m in measures if sizes[m] > COUNTER_VALUES}
+    stats_table = cut_lineage(long_group_stats(df, keys, measures, stats, wide))
     out = df
     for key in keys:
         side = stats_table.filter(F.col("key_name") == key).select(

@@ -61,32 +61,35 @@ def fit_stratified_split(df: DataFrame, label: str, row_id: str, p: float = 0.75
     return StratifiedSplit(label, row_id, breaks, _kth_smallest(hashed, p))
 
 
-def _kth_smallest(hashed: DataFrame, p: float, rounds: int = 8) -> dict[int, int]:
-    """Per bucket (a handful), the ceil(p * n)-th smallest hash, by narrowing a 60-bit range 256-fold per
-    pass: each pass is one aggregate of at most 256 counters per bucket."""
+def _kth_smallest(hashed: DataFrame, p: float, bits: int = 60, step: int = 12, few: int = 10_000) -> dict[int, int]:
+    """Per bucket (a handful), the ceil(p * n)-th smallest hash, by narrowing the hash range 4096-fold per
+    pass. A pass is one aggregate of at most 4096 counters per bucket; once at most ``few`` hashes are left
+    in a bucket's range they are read and the rank is taken directly."""
     sizes = {r["_bucket"]: r["n"] for r in hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
     rank = {b: _ceil_share(n, p) for b, n in sizes.items()}
     prefix = {b: 0 for b in sizes}
-    shift = 60
-    for _ in range(rounds):
-        if shift == 0:
-            break
-        step = min(8, shift)
+    shift = bits
+    while True:
         inside = F.lit(False)
         for b, high in prefix.items():
             inside = inside | ((F.col("_bucket") == b) & (F.shiftright("_h", shift) == F.lit(high)))
-        digit = F.shiftright("_h", shift - step).bitwiseAND(F.lit((1 << step) - 1))
-        counts = hashed.filter(inside).groupBy("_bucket", digit.alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()
+        rows = hashed.filter(inside)
+        if shift == 0 or max(sizes.values(), default=0) <= few:
+            found = rows.select("_bucket", "_h").distinct() if shift == 0 else rows
+            left: dict[int, list[int]] = {b: [] for b in sizes}
+            for r in found.collect():
+                left[r["_bucket"]].append(r["_h"])
+            return {b: sorted(v)[0 if shift == 0 else rank[b] - 1] for b, v in left.items()}
+        width = min(step, shift)
+        digit = F.shiftright("_h", shift - width).bitwiseAND(F.lit((1 << width) - 1))
+        counts = rows.groupBy("_bucket", digit.alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()
         for b in prefix:
-            left = rank[b]
             for d, n in sorted((r["d"], r["n"]) for r in counts if r["_bucket"] == b):
-                if left <= n:
-                    prefix[b] = (prefix[b] << step) | d
+                if rank[b] <= n:
+                    prefix[b], sizes[b] = (prefix[b] << width) | d, n
                     break
-                left -= n
-            rank[b] = left
-        shift -= step
-    return prefix
+                rank[b] -= n
+        shift -= width
 
 
 def _ceil_share(n: int, p: float) -> int:

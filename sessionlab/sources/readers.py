@@ -67,6 +67,14 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_few(df: DataFrame, scan: DataFrame, *by: str) -> DataFrame:
+    """Spread rows over all cores before heavy per-row parsing, only if the scan behind them has fewer tasks
+    than there are cores (a few files that cannot be split). A large input never meets the condition, so it
+    is not shuffled."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return df if scan.rdd.getNumPartitions() >= cores else df.repartition(cores, *by)
+
+
 def year_from(df: DataFrame, date_column: str, first_day: str) -> DataFrame:
     """"Skip the old rows" as a pushed-down date filter rather than a row offset."""
     return df.filter(F.col(date_column) >= F.lit(first_day).cast("date"))
