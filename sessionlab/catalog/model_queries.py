@@ -151,9 +151,9 @@ def fold_average(spark, d):
     matrix = _matrix(spark, d)
     out = M.oof_predict(matrix, "y", "row_id", "fold", 3, test=matrix.drop("y", "fold"),
                         settings=M.BoostSettings(max_iter=2, depth=3, step=0.3))
-    span = matrix.agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-    return out.test.agg(F.count("pred").alias("rows_scored"), F.min("pred").alias("a"), F.max("pred").alias("b")).join(
-        F.broadcast(span)).select("rows_scored", ((F.col("a") >= F.col("lo") - 1) & (F.col("b") <= F.col("hi") + 1)).alias("in_range"))
+    low, high = matrix.agg(F.min("y"), F.max("y")).first()
+    return out.test.agg(F.count("pred").alias("rows_scored"),
+                        ((F.min("pred") >= low - 1) & (F.max("pred") <= high + 1)).alias("in_range"))
 
 
 @query("feature_importance")

@@ -130,13 +130,13 @@ def long_group_stats(df: DataFrame, keys: Sequence[str], measures: Sequence[str]
 
 
 def attach_group_stats(df: DataFrame, keys: Sequence[str], measures: Sequence[str], stats: Sequence[str],
-                       name: str = "{measure}_{stat}_{key}") -> DataFrame:
+                       name: str = "{measure}_{stat}_{key}", sizes: dict[str, int] | None = None) -> DataFrame:
     """For every key, the statistics of each measure in the row's group, on each row. NULL is a group.
 
     The statistics of all keys come from one job and are written out once; each key is then a broadcast
     join if its number of groups allows, else a sort-merge join. Only statistics are shuffled, never
     the rows of a broadcast key."""
-    sizes = fit_key_sizes(df, [*keys, *measures])
+    sizes = sizes or fit_key_sizes(df, [*keys, *measures])
     wide = {m for m in measures if sizes[m] > COUNTER_VALUES}
     stats_table = cut_lineage(long_group_stats(df, keys, measures, stats, wide))
     out = df
@@ -149,10 +149,11 @@ def attach_group_stats(df: DataFrame, keys: Sequence[str], measures: Sequence[st
     return out
 
 
-def attach_distinct_counts(df: DataFrame, keys: Sequence[str], column: str, suffix: str = "_user_cnt") -> DataFrame:
+def attach_distinct_counts(df: DataFrame, keys: Sequence[str], column: str, suffix: str = "_user_cnt",
+                           sizes: dict[str, int] | None = None) -> DataFrame:
     """Distinct values of ``column`` in the row's group, per key, on each row (a window cannot count
     distinct values). One job for all keys; NULL keys are a group and a NULL value counts."""
-    sizes = fit_key_sizes(df, keys)
+    sizes = sizes or fit_key_sizes(df, keys)
     long = df.select(quoted(column).alias("_v"), *[quoted(k).cast("string").alias(k) for k in keys]).unpivot(
         ["_v"], [quoted(k) for k in keys], "key_name", "key_value")
     counts = cut_lineage(distinct_by(long, ["key_name", "key_value"], "_v"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionlab.operators.cleaning import columns_of, quoted, value_frequencies
-from sessionlab.operators.skew import COUNTER_VALUES, exact_quantile
+from sessionlab.operators.skew import global_quantiles
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -20,21 +20,12 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 
 def five_number(df: DataFrame, column: str) -> DataFrame:
-    """min, quartiles, mean, max of one column, exact. Quartiles come from one aggregate while the values
-    are few enough for counters, and from the bracketed method beyond that."""
+    """min, quartiles, mean, max of one column, exact."""
+    quartiles = global_quantiles(df, column, [0.25, 0.5, 0.75]) or [None] * 3
     q = quoted(column)
-    base = df.agg(F.min(q).alias("min"), F.avg(q).alias("mean"), F.max(q).alias("max"))
-    n_values = df.agg(F.approx_count_distinct(q)).first()[0]
-    quartiles = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    if n_values <= COUNTER_VALUES:
-        parts = df.agg(F.percentile(q, F.array(*[F.lit(p) for p in quartiles.values()])).alias("p"))
-        parts = parts.select(*[F.get("p", F.lit(i)).alias(name) for i, name in enumerate(quartiles)])
-        out = base.join(F.broadcast(parts))
-    else:
-        out = base
-        for name, p in quartiles.items():
-            out = out.join(F.broadcast(exact_quantile(df, [], column, p, name)))
-    return out.select("min", "q1", "median", "mean", "q3", "max")
+    q1, median, q3 = (F.lit(v).cast("double") for v in quartiles)
+    return df.agg(F.min(q).alias("min"), F.avg(q).alias("mean"), F.max(q).alias("max")).select(
+        "min", q1.alias("q1"), median.alias("median"), "mean", q3.alias("q3"), "max")
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -44,20 +35,22 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 def histogram(df: DataFrame, bins: int = 30, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, bin, n): equal-width bins between each column's min and max, the max in the last bin.
-    Two passes: the ranges (one row, broadcast) and the counts."""
+    Two passes: the ranges, as literals, and the counts."""
     columns = list(columns or columns_of(df, T.NumericType))
     values = df.select(*[quoted(c).cast("double").alias(c) for c in columns])
-    ranges = values.agg(*[f(quoted(c)).alias(f"_{name}_{c}") for c in columns for name, f in
-                          (("lo", F.min), ("hi", F.max))])
-    binned = values.join(F.broadcast(ranges)).select(*[_bin(c, bins).alias(c) for c in columns])
+    ends = values.agg(*[f(quoted(c)) for c in columns for f in (F.min, F.max)]).first()
+    ranges = {c: (ends[2 * i], ends[2 * i + 1]) for i, c in enumerate(columns)}
+    binned = values.select(*[_bin(c, *ranges[c], bins).alias(c) for c in columns])
     long = binned.unpivot([], [quoted(c) for c in columns], "column", "bin")
     return long.filter(F.col("bin").isNotNull()).groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _bin(c: str, bins: int):
-    lo, hi = F.col(f"`_lo_{c}`"), F.col(f"`_hi_{c}`")
-    position = F.floor((quoted(c) - lo) / (hi - lo) * bins) + 1
-    inside = F.when(lo == hi, F.lit(1)).otherwise(F.least(position, F.lit(bins)))  # least skips NULL
+def _bin(c: str, low: float | None, high: float | None, bins: int) -> Column:
+    if low is None or low == high:
+        inside = F.lit(1)
+    else:
+        position = F.floor((quoted(c) - F.lit(low)) / F.lit(high - low) * bins) + 1
+        inside = F.least(position, F.lit(bins))  # least skips NULL
     return F.when(quoted(c).isNotNull(), inside).cast("int")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from sessionlab.session import cut_lineage
 
 HOT_ROWS_CONF = "sessionlab.skew.hotRows"
 HOT_ROWS_DEFAULT = 2_000_000
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 100_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -180,7 +181,7 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, nam
     )
     counted = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     # Values below the bracket fold to one row per group; partial aggregation happens before the shuffle.
-    marked = _join_on(counted, bracket, keys).filter(F.col("_v") <= F.col("_hi")).withColumn(
+    marked = _with_bracket(counted, bracket, keys).filter(F.col("_v") <= F.col("_hi")).withColumn(
         "_slot", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
     folded = marked.groupBy(*keys, "_slot").agg(F.sum("_c").alias("_c"), F.first("_n").alias("_n"))
     upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(F.col("_slot").asc_nulls_first()))
@@ -208,13 +209,12 @@ def global_quantiles(df: DataFrame, column: str, probabilities: Sequence[float])
     return [r["quantile"] for r in parts if r is not None]
 
 
-def _join_on(left: DataFrame, bracket: DataFrame, keys: Sequence[str]) -> DataFrame:
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"_b_{k}"))
-    if not keys:
-        return left.join(F.broadcast(bracket))  # one row
-    return left.join(bracket, condition).drop(*[f"_b_{k}" for k in keys])
+def _with_bracket(counted: DataFrame, bracket: DataFrame, keys: Sequence[str]) -> DataFrame:
+    if not keys:  # one group: its bracket is one row of numbers
+        r = bracket.first()
+        return counted.withColumns({c: F.lit(r[c]) for c in ("_n", "_lo", "_hi")})
+    condition = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys])
+    return counted.join(bracket, condition).drop(*[f"_b_{k}" for k in keys])
 
 
 def dense_codes(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionlab.operators.aggregates import attach_distinct_counts, stats_by
 from sessionlab.operators.cleaning import quoted
-from sessionlab.operators.joins import left_join_nullsafe
+from sessionlab.operators.joins import bounded, left_join_nullsafe
 from sessionlab.operators.skew import Slices, sliced_neighbours, sliced_row_number
 
 
@@ -93,9 +93,9 @@ def first_n_per_key(df: DataFrame, key: str, order: str, tie: Sequence[str], n:
 
 
 def day_ordinal(df: DataFrame, day: str, name: str = "day_no") -> DataFrame:
-    """Number of the row's day among the days that occur, from 1. Only the distinct days (a few hundred
-    rows for any data size) are ranked; they are joined back by broadcast."""
+    """Number of the row's day among the days that occur, from 1. Only the distinct days (a calendar's
+    worth, whatever the data size) are ranked and counted; then they are joined back."""
     day_value = quoted(day).cast("date")
     days = df.select(day_value.alias("_day")).filter(F.col("_day").isNotNull()).distinct()
     ranked = days.select(F.col("_day"), F.row_number().over(Window.orderBy("_day")).alias(name))
-    return df.join(F.broadcast(ranked), day_value == F.col("_day"), "left").drop("_day")
+    return df.join(bounded(ranked, days.count()), day_value == F.col("_day"), "left").drop("_day")

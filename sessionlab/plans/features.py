@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from sessionlab.functions import columns as C
 from sessionlab.operators import cleaning as K
-from sessionlab.operators.aggregates import attach_distinct_counts, attach_group_stats
+from sessionlab.operators.aggregates import attach_distinct_counts, attach_group_stats, fit_key_sizes
 from sessionlab.operators.encoding import label_encode
 from sessionlab.operators.joins import union_fill
 from sessionlab.operators.nested import dimension_first, json_flatten, literal_eval
@@ -127,9 +127,11 @@ def add_features(df: DataFrame, settings: FeatureSettings) -> DataFrame:
     """Neighbouring sessions, visitor counts per calendar field and group statistics."""
     have = set(df.columns)
     out = neighbour_sessions(df, VISITOR, START, ["visitId", ROW], settings.neighbours)
-    out = attach_distinct_counts(out, [k for k in settings.count_keys if k in have], VISITOR)
-    keys = [k for k in settings.group_keys if k in have]
-    return attach_group_stats(out, keys, list(settings.measures), list(settings.stats))
+    counted = [k for k in settings.count_keys if k in have]
+    grouped = [k for k in settings.group_keys if k in have]
+    sizes = fit_key_sizes(df, sorted({*counted, *grouped, *settings.measures}))
+    out = attach_distinct_counts(out, counted, VISITOR, sizes=sizes)
+    return attach_group_stats(out, grouped, list(settings.measures), list(settings.stats), sizes=sizes)
 
 
 def numeric_features(df: DataFrame) -> tuple[DataFrame, list[str]]:

@@ -225,7 +225,7 @@ def test_histogram_edges(spark):
 def test_five_number_methods_agree(spark, monkeypatch):
     df = spark.range(1, 12).select(F.col("id").cast("double").alias("x"))
     plain = P.five_number(df, "x").first()[:]
-    monkeypatch.setattr(P, "COUNTER_VALUES", 2)
+    monkeypatch.setattr(skew, "COUNTER_VALUES", 2)
     assert P.five_number(df, "x").first()[:] == plain == (1.0, 3.5, 6.0, 6.0, 8.5, 11.0)
 
 
