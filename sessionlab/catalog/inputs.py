@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlab.functions.columns import col  # noqa: F401
 from sessionlab.sources.readers import read_table, spread_few
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A driver table. Times in the data are UTC, so the session's zone is set to it."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return read_table(spark, folder, name)
 
 

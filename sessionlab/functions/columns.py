@@ -74,7 +74,7 @@ def paste_feature(a: ColumnLike, b: ColumnLike, sep: str = "_") -> Column:
 
 
 def parse_ymd(c: ColumnLike) -> Column:
-    return F.try_to_date(col(c), "yyyyMMdd") if hasattr(F, "try_to_date") else F.to_date(col(c), "yyyyMMdd")
+    return F.try_to_date(col(c), "yyyyMMdd")
 
 
 def epoch_to_ts(c: ColumnLike) -> Column:

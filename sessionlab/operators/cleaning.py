@@ -107,8 +107,8 @@ def drop_constant_cols(df: DataFrame) -> DataFrame:
 
 def fit_dense_cols(df: DataFrame, max_null_share: float = 0.999) -> list[str]:
     """Columns whose NULL share does not exceed the limit."""
-    row = df.agg(*[F.avg(quoted(c).isNull().cast("int")).alias(f"_{i}") for i, c in enumerate(df.columns)]).first()
-    return [c for c, share in zip(df.columns, row) if share is None or share <= max_null_share]
+    row = df.agg(F.count(F.lit(1)), *[F.count(quoted(c)) for c in df.columns]).first()
+    return [c for c, present in zip(df.columns, row[1:]) if row[0] - present <= max_null_share * row[0]]
 
 
 def drop_sparse_cols(df: DataFrame, max_null_share: float = 0.999) -> DataFrame:
@@ -151,8 +151,8 @@ def fit_near_zero_var(df: DataFrame, freq_cut: float = 95 / 5, unique_cut: float
 def near_zero_var_cols(df: DataFrame, freq_cut: float = 95 / 5, unique_cut: float = 10.0) -> list[str]:
     """Names to drop. Columns whose estimated share of distinct values is far above the cut (by ten standard
     errors) cannot qualify; leaving them out spares the exact counts of id-like columns."""
-    sizes = df.agg(F.count(F.lit(1)), *[F.approx_count_distinct(_comparable(df, c)) for c in df.columns]).first()
-    limit = max(sizes[0] * unique_cut / 100 * 1.5, 2)
+    sizes = df.agg(F.count(F.lit(1)), *[F.approx_count_distinct(_comparable(df, c), 0.1) for c in df.columns]).first()
+    limit = max(sizes[0] * unique_cut / 100 * 2, 2)
     df = df.select(*[quoted(c) for c, n in zip(df.columns, sizes[1:]) if n <= limit])
     if not df.columns:
         return []

@@ -50,8 +50,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, never used before."""
-    return os.path.join(shared_dir(spark), f"sessionlab-{name}-{uuid.uuid4().hex}")
+    """A fresh path below the application's part of the shared folder, never used before."""
+    return os.path.join(_scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def drop_scratch(spark: SparkSession) -> bool:
+    """Delete the intermediates this application has written; call it once the results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), f"sessionlab-{spark.sparkContext.applicationId}")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionlab.operators.cleaning import na_tokens_to_null
@@ -75,10 +74,5 @@ def spread_few(df: DataFrame, scan: DataFrame, *by: str) -> DataFrame:
     return df if scan.rdd.getNumPartitions() >= cores else df.repartition(cores, *by)
 
 
-def year_from(df: DataFrame, date_column: str, first_day: str) -> DataFrame:
-    """"Skip the old rows" as a pushed-down date filter rather than a row offset."""
-    return df.filter(F.col(date_column) >= F.lit(first_day).cast("date"))
-
-
 def _paths(path: str | Sequence[str]) -> list[str]:
     return [path] if isinstance(path, str) else list(path)

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from sessionlab.session import build_session  # noqa: E402
+from sessionlab.session import build_session, drop_scratch  # noqa: E402
 
 SF_SMALL = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -16,6 +16,7 @@ def spark():
                             spark__driver__memory="6g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_scratch(session)
     session.stop()
 
 

@@ -159,6 +159,13 @@ def test_label_codes_null_and_unseen(spark):
     assert pairs == {"B": 1, "a": 2, "b": 3}
 
 
+@pytest.mark.parametrize("listed", [0, 200])
+def test_label_codes_by_list_and_by_join_agree(spark, monkeypatch, listed):
+    monkeypatch.setattr(E, "LISTED_LEVELS", listed)
+    df = spark.createDataFrame([(1, "b", "x"), (2, "a", None), (3, None, "x"), (4, "b", "w")], "id int, c string, e string")
+    assert rows(E.label_encode(df, ["c", "e"])) == [(1, 2, 2), (2, 1, None), (3, None, 2), (4, 2, 1)]
+
+
 def test_lump_and_one_hot(spark):
     df = spark.createDataFrame([("a",)] * 10 + [("b",)] * 9 + [("c",)] + [(None,)], "f string")
     lumped = E.explicit_na(E.lump_rare(df, E.fit_kept_levels(df, ["f"], 0.05)), ["f"])
