@@ -16,7 +16,7 @@ from sessionlab.functions.columns import (
     skewness_type3,
 )
 from sessionlab.operators.cleaning import quoted
-from sessionlab.operators.joins import left_join_nullsafe
+from sessionlab.operators.joins import bounded, left_join_nullsafe
 from sessionlab.operators.skew import COUNTER_VALUES, exact_quantile
 from sessionlab.session import cut_lineage
 
@@ -139,14 +139,21 @@ def attach_group_stats(df: DataFrame, keys: Sequence[str], measures: Sequence[st
     sizes = sizes or fit_key_sizes(df, [*keys, *measures])
     wide = {m for m in measures if sizes[m] > COUNTER_VALUES}
     stats_table = cut_lineage(long_group_stats(df, keys, measures, stats, wide))
+    named = {key: {f"{m}_{s}": name.format(measure=m, stat=s, key=key) for m in measures for s in stats} for key in keys}
+    return _attach_by_key(df, stats_table, named, sizes)
+
+
+def _attach_by_key(df: DataFrame, table: DataFrame, named: Mapping[str, Mapping[str, str]],
+                   sizes: Mapping[str, int]) -> DataFrame:
+    """Left join of each key's rows of a (key_name, key_value, ...) table; NULL keys match. One join node per
+    key and one projection at the end keep the plan small when there are dozens of keys."""
     out = df
-    for key in keys:
-        side = stats_table.filter(F.col("key_name") == key).select(
-            F.col("key_value").alias("_gk"),
-            *[F.col(f"{m}_{s}").alias(name.format(measure=m, stat=s, key=key)) for m in measures for s in stats])
-        out = left_join_nullsafe(out.withColumn("_gk", quoted(key).cast("string")), side, "_gk",
-                                 right_rows=sizes[key]).drop("_gk")
-    return out
+    for i, (key, columns) in enumerate(named.items()):
+        side = table.filter(F.col("key_name") == key).select(
+            F.col("key_value").alias(f"_gk{i}"), *[F.col(c).alias(new) for c, new in columns.items()])
+        out = out.join(bounded(side, sizes[key]), quoted(key).cast("string").eqNullSafe(F.col(f"_gk{i}")), "left")
+    added = [new for columns in named.values() for new in columns.values()]
+    return out.select(*[quoted(c) for c in df.columns], *[quoted(c) for c in added])
 
 
 def attach_distinct_counts(df: DataFrame, keys: Sequence[str], column: str, suffix: str = "_user_cnt",
@@ -157,13 +164,7 @@ def attach_distinct_counts(df: DataFrame, keys: Sequence[str], column: str, suff
     long = df.select(quoted(column).alias("_v"), *[quoted(k).cast("string").alias(k) for k in keys]).unpivot(
         ["_v"], [quoted(k) for k in keys], "key_name", "key_value")
     counts = cut_lineage(distinct_by(long, ["key_name", "key_value"], "_v"))
-    out = df
-    for key in keys:
-        side = counts.filter(F.col("key_name") == key).select(
-            F.col("key_value").alias("_gk"), F.col("n_distinct").alias(f"{key}{suffix}"))
-        out = left_join_nullsafe(out.withColumn("_gk", quoted(key).cast("string")), side, "_gk",
-                                 right_rows=sizes[key]).drop("_gk")
-    return out
+    return _attach_by_key(df, counts, {k: {"n_distinct": f"{k}{suffix}"} for k in keys}, sizes)
 
 
 # --- roll-ups ------------------------------------------------------------------------------------------
