@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from sessionlab.session import scratch_path
 
@@ -26,6 +27,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def widened(schema: StructType, name: str, kind: str) -> StructType:
+    """The schema with one more column."""
+    return StructType([*schema.fields, *StructType.fromDDL(f"`{name}` {kind}").fields])
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows that hold about ``limit`` bytes of ``text``; empty batches are left out."""
     for batch in batches:

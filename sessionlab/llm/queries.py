@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sessionlab.llm.common import table
+from sessionlab.llm.line_dedup import remove_repeated_lines
 from sessionlab.llm.ngram_join import jaccard_components
+from sessionlab.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,3 +24,43 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 @query
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select("doc_id", "severity", (F.col("severity") >= 0.5).alias("toxic"))
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeated_lines(docs).select("doc_id", "text", "n_removed")
+
+
+#: Windows of three lines that are not blank; those after the first with their text are covered.
+ORACLES["op9_line_dedup"] = """
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS body, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), line AS (
+  SELECT doc_id, spot, parts[spot] AS line, trim(parts[spot], chr(32) || chr(9) || chr(13)) AS bare
+  FROM cut, unnest(range(1, len(parts) + 1)) AS u(spot)
+), solid AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY spot) AS k FROM line WHERE bare <> ''
+), win AS (
+  SELECT doc_id, k, bare || chr(10) || lead(bare, 1) OVER w || chr(10) || lead(bare, 2) OVER w AS body
+  FROM solid WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+), later AS (
+  SELECT doc_id, k FROM (
+    SELECT doc_id, k, row_number() OVER (PARTITION BY body ORDER BY doc_id, k) AS nth FROM win WHERE body IS NOT NULL)
+  WHERE nth > 1
+), covered AS (
+  SELECT DISTINCT s.doc_id, s.spot FROM later l JOIN solid s ON s.doc_id = l.doc_id AND s.k BETWEEN l.k AND l.k + 2
+), kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.spot) FILTER (c.spot IS NULL) AS body, count(c.spot) AS n_removed
+  FROM line l LEFT JOIN covered c ON c.doc_id = l.doc_id AND c.spot = l.spot GROUP BY l.doc_id
+)
+SELECT d.doc_id, CASE WHEN k.n_removed > 0 THEN coalesce(k.body, '') ELSE d.text END AS text, k.n_removed
+FROM documents d JOIN kept k ON k.doc_id = d.doc_id
+"""
