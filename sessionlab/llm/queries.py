@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sessionlab.llm.common import table
 from sessionlab.llm.line_dedup import remove_repeated_lines
 from sessionlab.llm.ngram_join import jaccard_components
+from sessionlab.llm.pii import BASE, KINDS, find_personal_data, spans_text
 from sessionlab.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +65,11 @@ WITH cut AS (
 SELECT d.doc_id, CASE WHEN k.n_removed > 0 THEN coalesce(k.body, '') ELSE d.text END AS text, k.n_removed
 FROM documents d JOIN kept k ON k.doc_id = d.doc_id
 """
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {k})) as long)").alias(f"n_{KINDS[k]}") for k in range(len(BASE))]
+    return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
+                        spans_text(F.col("spans")).alias("spans"))
