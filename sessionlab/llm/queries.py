@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sessionlab.llm.common import table
 from sessionlab.llm.line_dedup import remove_repeated_lines
 from sessionlab.llm.ngram_join import jaccard_components
+from sessionlab.llm.packing import cut_documents, pack_pieces
 from sessionlab.llm.pii import BASE, KINDS, find_personal_data, spans_text
 from sessionlab.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -73,3 +74,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {k})) as long)").alias(f"n_{KINDS[k]}") for k in range(len(BASE))]
     return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
                         spans_text(F.col("spans")).alias("spans"))
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = cut_documents(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
+    return pack_pieces(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
