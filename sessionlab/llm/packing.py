@@ -27,10 +27,10 @@ from sessionlab.llm.common import chunks, stored, widened
 from sessionlab.llm.word_tokens import encode_texts
 
 CAPACITY = 2048
-#: Lengths above this share of the capacity are large.
-LARGE = 1 / 8
-#: Numbers of groups tried; the plan with the fewest sequences is used.
-GROUPS = (32, 96)
+#: Groups of large lengths, and the shares of the capacity above which lengths count as large: each is tried, smaller
+#: lengths being left to best fit, and the plan with the fewest sequences is used.
+GROUPS = 32
+LARGE = (1 / 8, 1 / 4, 1 / 2)
 
 
 @dataclass
@@ -134,7 +134,8 @@ def _best_fit(plan: Plan, left: dict[int, int], bins: list[Bins]) -> None:
                 by_room.setdefault(b.room, []).append(Bins(rest, b.room, b.first + whole))
 
 
-def plan_lengths(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS[-1]) -> Plan:
+def plan_lengths(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS,
+                 share: float = LARGE[0]) -> Plan:
     """Sequences for ``counts`` (pieces by length)."""
     plan, left = Plan(capacity), {k: n for k, n in counts.items() if n}
     if any(k < 1 or k > capacity for k in left):
@@ -142,7 +143,7 @@ def plan_lengths(counts: dict[int, int], capacity: int = CAPACITY, groups: int =
     full = left.pop(capacity, 0)
     if full:
         plan.put(capacity, plan.open(full), full, 1)
-    large = sorted((k for k in left if k > capacity * LARGE), reverse=True)
+    large = sorted((k for k in left if k > capacity * share), reverse=True)
     bins: list[Bins] = []
     if large:
         # Equal-cardinality groups of the pieces in order of length; a group's rounded size is its longest.
@@ -182,7 +183,14 @@ def plan_lengths(counts: dict[int, int], capacity: int = CAPACITY, groups: int =
 
 
 def best_plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    return min((plan_lengths(counts, capacity, g) for g in GROUPS), key=lambda p: p.sequences)
+    """The plan with the fewest sequences over the shares; none can have fewer than all tokens over the capacity."""
+    least, best = -(-sum(k * n for k, n in counts.items()) // capacity), None
+    for share in LARGE:
+        plan = plan_lengths(counts, capacity, GROUPS, share)
+        best = plan if best is None or plan.sequences < best.sequences else best
+        if best.sequences == least:
+            break
+    return best
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
