@@ -191,12 +191,9 @@ def skip_join(sets: list[np.ndarray], num: int, den: int, left: np.ndarray | Non
 
 
 def _neighbourhood_links(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Forest links (a, b) of the sets (doc_id, group, n_shingles, tokens); the group is a neighbourhood."""
-    size = sets.groupBy("group").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("t")).where("m > 1").select(
-        "group", F.greatest(F.ceil(F.col("m") / TILE_SETS), F.ceil(F.col("t") / TILE_TOKENS)).cast("int").alias("k"))
-    part = F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int")
-    tiled = sets.join(size, "group").withColumn("part", part).withColumn(
-        "other", F.explode(F.expr("sequence(0, k - 1)"))).select(
+    """Forest links (a, b) of the sets (doc_id, group, parts, tokens): every pair of a group's parts is one task's work."""
+    tiled = sets.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn(
+        "other", F.explode(F.expr("sequence(0, parts - 1)"))).select(
         "doc_id", "tokens", "group", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -226,11 +223,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     near = connected_components(met)
     classes = marks.groupBy("hi", "lo").agg(
         F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"))
-    members = stored(classes.join(near, classes["lo"] == near["node"]).where("n_shingles > 0").select(
-        "doc_id", "n_shingles", "hi", "lo", F.col("component").alias("group")), "members")
-    # A document may occur in several rows: the signature picks the row whose text is meant.
-    texts = docs.join(members.select("doc_id", "n_shingles", "group").distinct(), "doc_id")
-    sets = _tokens(texts, words).dropDuplicates(["doc_id", "tokens"])
+    near_sets = classes.join(near, classes["lo"] == near["node"]).where("n_shingles > 0").select(
+        "doc_id", "n_shingles", F.col("component").alias("group"))
+    parts = near_sets.groupBy("group").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("t")).where("m > 1").select(
+        "group", F.greatest(F.ceil(F.col("m") / TILE_SETS), F.ceil(F.col("t") / TILE_TOKENS)).cast("int").alias("parts"))
+    members = stored(near_sets.join(parts, "group").select("doc_id", "group", "parts").distinct(), "members")
+    # How many ids lie in neighbourhoods grows with the input: texts and ids meet in a shuffle at every size.
+    sets = _tokens(docs.join(members.hint("merge"), "doc_id"), words)
     found = connected_components(_neighbourhood_links(sets, num, den))
     label = classes.join(found, classes["doc_id"] == found["node"], "left").select(
         "hi", "lo", F.coalesce("component", classes["doc_id"]).alias("component_id"))
