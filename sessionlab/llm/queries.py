@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionlab.llm.byte_bpe import decode_documents, encode_documents
 from sessionlab.llm.common import table
 from sessionlab.llm.line_dedup import remove_repeated_lines
 from sessionlab.llm.ngram_join import jaccard_components
@@ -80,3 +81,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = cut_documents(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
     return pack_pieces(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+@query
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = "byte_bpe_50k.tiktoken"
+    encoded = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
+    return decode_documents(encoded, ranks).select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
