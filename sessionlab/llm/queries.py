@@ -13,6 +13,7 @@ from sessionlab.llm.line_dedup import remove_repeated_lines
 from sessionlab.llm.ngram_join import jaccard_components
 from sessionlab.llm.packing import cut_documents, pack_pieces
 from sessionlab.llm.pii import BASE, KINDS, find_personal_data, spans_text
+from sessionlab.llm.suffix_dedup import remove_repeats
 from sessionlab.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +91,13 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_documents(encoded, ranks).select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    runs = F.transform("removed", lambda s: s["end"] - s["start"])
+    return found.select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.aggregate(runs, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
