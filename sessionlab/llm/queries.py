@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionlab.llm.byte_bpe import decode_documents, encode_documents
 from sessionlab.llm.common import table
+from sessionlab.llm.embedding_dedup import embedding_components
 from sessionlab.llm.line_dedup import remove_repeated_lines
 from sessionlab.llm.ngram_join import jaccard_components
 from sessionlab.llm.packing import cut_documents, pack_pieces
@@ -16,6 +17,8 @@ from sessionlab.llm.pii import BASE, KINDS, find_personal_data, spans_text
 from sessionlab.llm.suffix_dedup import remove_repeats
 from sessionlab.llm.toxicity import fit_toxicity, score_toxicity
 
+from sessionlab.llm.vector_search import nearest
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -101,3 +104,14 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         F.aggregate(runs, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_components(table(spark, sf_dir, "embeddings"), threshold=0.95)
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+@query
+def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
