@@ -17,6 +17,7 @@ from sessionlab.llm.pii import BASE, KINDS, find_personal_data, spans_text
 from sessionlab.llm.suffix_dedup import remove_repeats
 from sessionlab.llm.toxicity import fit_toxicity, score_toxicity
 
+from sessionlab.llm.url_filter import judge_urls
 from sessionlab.llm.vector_search import nearest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +116,13 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+#: The rules of the contract, as (verdict, host and path).
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict")
