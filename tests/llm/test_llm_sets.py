@@ -1,0 +1,232 @@
+"""N-gram Jaccard join, connected components, line dedup, toxicity and personal data against brute force on small frames."""
+
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sessionlab.llm import pii
+from sessionlab.llm.components import connected_components
+from sessionlab.llm.line_dedup import remove_repeated_lines
+from sessionlab.llm.ngram_join import Blocks, jaccard_components, keep_one_per_component, skip_join
+from sessionlab.llm.toxicity import OrdinalModel, fit_ordinal, fit_toxicity, reject_toxic, score_toxicity
+
+WORDS = [f"w{k}" for k in range(60)]
+
+
+def label(nodes, links):
+    parent = {n: n for n in nodes}
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def shingles(text, k):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
+def brute_components(rows, k, num):
+    sets = [(i, shingles(t, k)) for i, t in rows]
+    links = [(i, j) for n, (i, a) in enumerate(sets) for j, b in sets[:n]
+             if a and b and 100 * len(a & b) >= num * len(a | b)]
+    return label([i for i, _ in rows], links)
+
+
+def documents(seed, n=120):
+    rng = np.random.default_rng(seed)
+    base = [" ".join(rng.choice(WORDS, rng.integers(1, 90))) for _ in range(12)]
+    rows = []
+    for i in range(n):
+        words = base[rng.integers(len(base))].split()
+        for _ in range(rng.integers(0, 4)):
+            words[rng.integers(len(words))] = str(rng.choice(WORDS))
+        rows.append((int(i * 3 + 1), " ".join(words)))
+    return rows + [(1000, None), (1001, ""), (1002, "  \t\n"), (1003, "One two"), (1004, "one  TWO"), (1005, "one"), (1006, rows[0][1])]
+
+
+@pytest.mark.parametrize("words,num", [(3, 90), (5, 80), (1, 60)])
+def test_components_match_brute_force(spark, words, num):
+    rows = documents(words)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in jaccard_components(df, words, num, 100).collect()}
+    assert len(got) == len(rows)
+    want = brute_components(rows, words, num)
+    assert {i: r["component_id"] for i, r in got.items()} == want
+    assert {i: r["n_shingles"] for i, r in got.items()} == {i: len(shingles(t, words)) for i, t in rows}
+
+
+def test_large_neighbourhood_is_split_without_loss(spark, monkeypatch):
+    monkeypatch.setattr("sessionlab.llm.ngram_join.TILE_SETS", 7)
+    rows = documents(9)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_components(df, 3, 90, 100).collect()}
+    assert got == brute_components(rows, 3, 90)
+
+
+def test_repeated_rows_and_empty_table(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [tuple(r) for r in jaccard_components(df, 3, 90, 100).collect()] == [(1, 4, 1), (1, 4, 1), (2, 4, 1)]
+    assert jaccard_components(df.limit(0), 3, 90, 100).collect() == []
+
+
+def test_keep_one_keeps_all_columns_and_clean_documents(spark):
+    df = spark.createDataFrame([(5, "a b c d e f g", "x"), (3, "a b c d e f g", "y"), (9, "other words stand here now ok", "z"), (11, None, "n")],
+                               "doc_id long, text string, component_id string")
+    kept = keep_one_per_component(df)
+    assert kept.columns == df.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 9, 11]
+
+
+def test_blocks_leave_no_linked_sets_apart():
+    rng = np.random.default_rng(4)
+    for num in (60, 80, 90, 95):
+        blocks = Blocks(num, 100)
+        for _ in range(300):
+            n = int(rng.integers(1, 400))
+            x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            gone = int(rng.integers(0, max(1, n * (100 - num) // num) + 1))
+            y = np.unique(np.concatenate([x[gone // 2:], rng.integers(0, 2**63, gone - gone // 2, dtype=np.uint64)]))
+            both = len(np.intersect1d(x, y))
+            if len(y) and 100 * both >= num * (len(x) + len(y) - both):
+                assert set(blocks.keys(x).tolist()) & set(blocks.keys(y).tolist())
+
+
+def test_skip_join_forest_connects_what_links_connect():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 300, 60)
+    sets = [np.unique(np.where(rng.random(60) < 0.05, rng.integers(0, 300, 60), base)).astype(np.uint64) for _ in range(80)]
+    links = [(i, j) for i in range(80) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j]))]
+    assert label(range(80), skip_join(sets, 90, 100)) == label(range(80), links)
+
+
+def test_connected_components_of_path_star_and_noise(spark):
+    links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (None, 3), (5, 6), (6, 5)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100)}
+
+
+def brute_lines(rows):
+    seen, covered = set(), defaultdict(set)
+    for doc, text in sorted(rows):
+        lines = (text or "").split("\n")
+        full = [i for i, line in enumerate(lines) if line.strip(" \t\r")]
+        for k in range(len(full) - 2):
+            key = tuple(lines[i].strip(" \t\r") for i in full[k:k + 3])
+            if key in seen:
+                covered[doc].update(full[k:k + 3])
+            seen.add(key)
+    return {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in covered[d]) if covered[d] else t for d, t in rows}
+
+
+def test_line_windows(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(i), "\n".join(rng.choice(["a", "b ", " c", "", "d\r"], rng.integers(0, 9)))) for i in range(40)]
+    rows += [(90, None), (91, ""), (92, "x\ny"), (93, "r\nr\nr\nr\nr"), (94, "p\nq\ns\n" * 3)]
+    df = spark.createDataFrame([(i, t, "keep") for i, t in rows], "doc_id long, text string, places string").repartition(3)
+    got = remove_repeated_lines(df).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == brute_lines(rows)
+    assert {r["places"] for r in got} == {"keep"} and len(got) == len(rows)
+    assert remove_repeated_lines(df.limit(0)).collect() == []
+
+
+def toxic_frames(spark):
+    rng = np.random.default_rng(6)
+    docs, labels = [], []
+    for i in range(400):
+        words = list(rng.choice(WORDS, 40))
+        toxic = i % 5 == 0
+        for k in range((1 + i % 3 * 4) if toxic else 0):
+            words[k * 3] = str(rng.choice(["nasty", "vile", "foul"]))
+        docs.append((i, " ".join(words)))
+        if i % 2 == 0:
+            labels.append((i, int(toxic)))
+    docs += [(900, None), (901, ""), (902, "VILE!")]
+    return (spark.createDataFrame(docs, "doc_id long, text string"),
+            spark.createDataFrame([*labels, (1234, 1), (3, None)], "doc_id long, toxic int"))
+
+
+def test_toxicity_on_rows_it_has_not_seen(spark):
+    docs, labels = toxic_frames(spark)
+    model = fit_toxicity(docs, labels)
+    assert list(model.thresholds) == sorted(model.thresholds)
+    got = {r["doc_id"]: r["severity"] for r in score_toxicity(docs, model).collect()}
+    held_out = [i for i in range(400) if i % 2]
+    right = sum((got[i] >= 0.5) == (i % 5 == 0) for i in held_out)
+    assert right >= 0.97 * len(held_out)
+    assert got[900] == got[901] < 0.5
+    assert np.mean([got[i] for i in range(0, 400, 5) if i % 3 == 2]) > np.mean([got[i] for i in range(0, 400, 5) if i % 3 == 0])
+    kept = reject_toxic(docs, labels)
+    assert kept.columns == docs.columns and {900, 901} <= {r["doc_id"] for r in kept.collect()}
+
+
+def test_toxicity_without_labels_or_rows(spark):
+    docs, labels = toxic_frames(spark)
+    assert fit_toxicity(docs, labels.limit(0)) == OrdinalModel({}, (50.0,))
+    assert reject_toxic(docs, labels.limit(0)).count() == docs.count()
+    assert score_toxicity(docs.limit(0), OrdinalModel({"a": 1.0}, (0.0,))).collect() == []
+
+
+def test_ordinal_fit_orders_grades():
+    x = [np.array([0] * (k % 3 > 0) + [1] * (k % 3 > 1), dtype=np.int64) for k in range(300)]
+    weights, cuts = fit_ordinal(x, np.array([k % 3 for k in range(300)]), 2)
+    assert cuts[0] < cuts[1] and cuts[0] < weights[0] < cuts[1] < weights.sum()
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def holds(kind, m):
+    g = re.sub("[^0-9]", "", m)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in m.split("."))
+    if kind == "card":
+        total = sum((int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4)) for i, c in enumerate(reversed(g)))
+        return 12 <= len(g) <= 19 and total % 10 == 0
+    return kind != "phone" or 9 <= len(g) <= 15
+
+
+def test_base_spans_match_plain_patterns(spark):
+    rng = np.random.default_rng(11)
+    bits = ["a@b.co", "@", "x.y@z", ".com", "1.2.3.4", "300.1.1.1", "0255.1.02.003", ".", "-", " ", "4111 1111 1111 1111", "4111-1111-1111-1111",
+            "5", "12", "+1 (234) 555-0199", "+", "é", "😀", "_", "\n", "5500005555555559", "()", "+49.30", "a@b.com_x@y.org"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 12))) for _ in range(600)] + ["", "a" * 5000 + "@", "1 " * 3000, "+1" + "(" * 3000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9999, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.find_personal_data(df).select(
+        "doc_id", pii.spans_text(F.col("base")).alias("base"), pii.spans_text(F.col("spans")).alias("spans")).collect()}
+    for i, t in enumerate(texts):
+        want = sorted((m.start(), n, k, m.end()) for n, (k, p) in enumerate(PATTERNS.items()) for m in re.finditer(p, t) if holds(k, m.group()))
+        base = ",".join(f"{k}:{a}:{b}" for a, _, k, b in want)
+        assert got[i]["base"] == base, repr(t)
+        assert set(filter(None, base.split(","))) <= set(got[i]["spans"].split(","))
+    assert got[9999]["base"] == got[9999]["spans"] == ""
+
+
+def test_method_adds_spans_and_masks_them(spark):
+    texts = [f"my password = s3cr3tXy{k}9 for you, key AKIAABCDEFGHIJKLMN{k:02d} here" for k in range(30)]
+    texts += ["nothing to see", "write to a@b.org or +1 (234) 555-0199 😀 now"]
+    df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, found string")
+    masked = {r["doc_id"]: r for r in pii.mask_personal_data(df).collect()}
+    assert masked[0]["text"] == "my [SECRET] for you, key [SECRET] here" and masked[0]["found"] == "c"
+    assert masked[30]["text"] == "nothing to see"
+    assert masked[31]["text"] == "write to [EMAIL] or [PHONE] 😀 now"
+    assert pii.mask_personal_data(df.limit(0)).collect() == []
+
+
+def test_reliabilities_favour_labelers_that_agree():
+    rng = np.random.default_rng(3)
+    truth = rng.random(4000) < 0.5
+    votes = np.column_stack([np.where(rng.random(4000) < a, np.where(truth, 1, -1), np.where(truth, -1, 1)) for a in (0.95, 0.9, 0.6)])
+    post = pii.fit_reliabilities(votes, np.ones(4000))
+    assert ((post > 0.5) == truth).mean() > 0.93
