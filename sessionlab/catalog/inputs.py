@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlab.sources.readers import read_table, spread_few
+from sessionlab.sources.readers import read_table
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -61,8 +61,7 @@ def raw_sessions(spark: SparkSession, folder: str) -> DataFrame:
         .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select("c_custkey", "c_mktsegment", "n_name", "r_name")
     )
-    joined = e.join(place, F.col("user_id") == F.col("c_custkey"))
-    joined = spread_few(joined, table(spark, folder, "events"), "event_id")
+    joined = e.join(place, F.col("user_id") == F.col("c_custkey"), "left")
     return joined.select(
         F.col("event_type").alias("channelGrouping"),
         _dimensions().alias("customDimensions"),
@@ -214,8 +213,8 @@ FLAT = S + """, flat AS (
          CASE WHEN s.k % 10 = 0 THEN FALSE END AS "isVideoAd",
          CASE WHEN s.k % 7 <> 0 THEN '4' END AS "cD_index",
          CASE WHEN s.k % 7 <> 0 THEN r.r_name END AS "cD_value"
-  FROM s JOIN customer c ON s.user_id = c.c_custkey
-  JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey)"""
+  FROM s LEFT JOIN customer c ON s.user_id = c.c_custkey
+  LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey)"""
 
 HITS_ROWS = FLAT + """, h AS (
   SELECT flat.*, i, k % 4 AS n_hits FROM flat, unnest(range(1, CAST(k % 4 + 1 AS BIGINT))) AS t(i))"""

@@ -12,7 +12,7 @@ from sessionlab.operators import modelling as M
 from sessionlab.operators import scoring as Sc
 from sessionlab.operators import splits as P
 from sessionlab.session import scratch_path
-from sessionlab.sources.readers import scan_typed_csv, spread_few
+from sessionlab.sources.readers import scan_typed_csv
 from sessionlab.sources.schemas import struct
 
 _MD5_FOLD = "CAST(CAST('0x' || substr(md5(CAST({} AS VARCHAR)), 1, 8) AS BIGINT) % {} AS INTEGER)"
@@ -90,7 +90,7 @@ FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "day_of_year"]
 def _matrix(spark, d):
     """Line items: a label that depends on quantity and discount, with a fold by order."""
     items = table(spark, d, "lineitem")
-    rows = spread_few(items, items, "l_orderkey").withColumns({
+    rows = items.withColumns({
         "day_of_year": F.dayofyear("l_shipdate"),
         "y": F.log1p(F.col("l_quantity") * (1 + F.col("l_discount") * 10)),
         "row_id": F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
@@ -173,7 +173,7 @@ def pca(spark, d):
     """With all components kept, a row's squared length equals that of its standardised values: the check is
     free of the components' signs."""
     items = table(spark, d, "lineitem")
-    rows = spread_few(items, items, "l_orderkey").select("l_orderkey", "l_partkey", *_PCA)
+    rows = items.select("l_orderkey", "l_partkey", *_PCA)
     model = M.fit_pca(rows, list(_PCA), 4)
     scored = M.apply_pca(rows, list(_PCA), model)
     length = sum((F.pow(F.col(f"PC{i}"), F.lit(2.0)) for i in range(1, 5)), F.lit(0.0))
@@ -235,4 +235,4 @@ def write_result(spark, d):
         F.log1p(F.sum(F.coalesce("revenue", F.lit(0.0)))).alias("y"))
     template = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("fullVisitorId"))
     path = Sc.write_result(rows, template, "fullVisitorId", "y", scratch_path(spark, "result"), "visitors", 0.14066)
-    return scan_typed_csv(spark, path, struct("fullVisitorId PredictedLogRevenue:double"))
+    return scan_typed_csv(spark, path, struct(fullVisitorId="string", PredictedLogRevenue="double"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionlab.catalog.inputs import FLAT, HITS_ROWS, S, raw_sessions, sessions, table
 from sessionlab.catalog.registry import query
@@ -104,10 +105,55 @@ def pyliteral_hits_failures(spark, d):
     """Every hits text parses; failures are counted, not dropped."""
     raw = raw_sessions(spark, d).select("hits")
     parsed = raw.withColumn("p", parse_pyliteral("hits", X.HITS))
-    return parsed.agg(F.count(F.lit(1)).alias("sessions"), parse_failures("hits", "p").alias("failed"),
+    return parsed.agg(F.count(F.lit(1)).alias("sessions"), parse_failures("hits", X.HITS).alias("failed"),
                       F.sum(F.size("p")).alias("hits"))
 
 
+@query("pyliteral_mixed", f"""
+WITH {S} SELECT event_id, k % 3 = 0 AS flag, CAST(k AS VARCHAR) AS second, 'say ''k'': True, [None, ok' AS note FROM s""")
+def pyliteral_mixed(spark, d):
+    """Bare words after commas and doubled blanks count; the same words inside quoted text stay."""
+    text = sessions(spark, d).select("event_id", F.concat(
+        F.lit("{'list': [None,  "), F.when(F.col("k") % 3 == 0, "True").otherwise("False"), F.lit(", None], 'pair':  ['x', '"), "k",
+        F.lit("'], 'note': \"say 'k': True, [None, ok\"}")).alias("t"))
+    parsed = parse_pyliteral("t", X.struct(list=T.ArrayType(T.BooleanType()), pair=T.ArrayType(T.StringType()), note="string"))
+    p = text.select("event_id", parsed.alias("p"))
+    return p.select("event_id", F.get("p.list", F.lit(1)).alias("flag"), F.get("p.pair", F.lit(1)).alias("second"),
+                    F.col("p.note").alias("note"))
+
+
+@query("pyliteral_failures", f"""
+WITH {S} SELECT count(*) AS texts, CAST(sum(CASE WHEN k % 5 < 2 THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM s""")
+def pyliteral_failures(spark, d):
+    """Texts that break off and texts of which one part does not fit are both counted."""
+    text = sessions(spark, d).select(F.when(F.col("k") % 5 == 0, "{'a': 1, 'b': [1, 2").when(
+        F.col("k") % 5 == 1, "{'a': 'one', 'b': [1]}").otherwise("{'a': 3, 'b': [None]}").alias("t"))
+    return text.agg(F.count(F.lit(1)).alias("texts"),
+                    parse_failures("t", X.struct(a="integer", b=T.ArrayType(T.IntegerType()))).alias("failed"))
+
+
+@query("sentinel_exact", f"""
+WITH {S} SELECT event_id, CASE WHEN k % 2 = 1 THEN 'v' END AS "a.b", k AS c FROM s""")
+def sentinel_exact(spark, d):
+    """A placeholder with brackets, under a key with a dot."""
+    text = sessions(spark, d).select("event_id", F.concat(
+        F.lit('{"a.b": "'), F.when(F.col("k") % 2 == 0, "(not set)").otherwise("v"), F.lit('", "c": '), "k", F.lit("}")).alias("t"))
+    stripped = N.json_strip_sentinel(text, ["t"], "(not set)")
+    p = stripped.select("event_id", F.from_json("t", "`a.b` string, c int").alias("p"))
+    return p.select("event_id", F.col("p").getField("a.b").alias("a.b"), F.col("p.c").alias("c"))
+
+
+@query("json_infer_odd_keys", f"""
+WITH {S} SELECT event_id, 'x' || k AS "AVOID", k AS "OBJECTS" FROM s""")
+def json_infer_odd_keys(spark, d):
+    """Keys that hold the words for types keep their names."""
+    text = sessions(spark, d).select("event_id", F.concat(
+        F.lit('{"AVOID": "x'), "k", F.lit('", "OBJECTS": '), "k", F.lit(', "VOID": null}')).alias("t"))
+    schema = N.json_infer_schema(text, "t")
+    p = text.select("event_id", F.from_json("t", schema).alias("p"))
+    return p.select("event_id", "p.AVOID", F.col("p.OBJECTS").cast("int").alias("OBJECTS"))
+
+
 @query("pyliteral_brackets", f"""
 WITH {FLAT} SELECT "visitId", "cD_index" AS index, "cD_value" AS value FROM flat""")
 def pyliteral_brackets(spark, d):
@@ -268,7 +314,7 @@ def null_text_replace(spark, d):
     """A bare None is a NULL value after parsing."""
     text = F.concat(F.lit("{'k': "), F.when(F.col("k") % 2 == 1, F.col("k").cast("string")).otherwise(F.lit("None")),
                     F.lit("}"))
-    parsed = parse_pyliteral(text, X.struct("k:int"))
+    parsed = parse_pyliteral(text, X.struct(k="integer"))
     return sessions(spark, d).select("event_id", parsed["k"].alias("k"))
 
 

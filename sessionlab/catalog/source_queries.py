@@ -46,6 +46,29 @@ def scan_inferred_csv(spark, d):
     return R.scan_inferred_csv(spark, Wr.sink_csv(rows, scratch_path(spark, "inferred")))
 
 
+@query("scan_reordered_csv", f"""
+WITH {FLAT} SELECT {_PARSED} FROM flat WHERE k % 2 = 0 UNION ALL SELECT {_PARSED} FROM flat WHERE k % 2 = 1""")
+def scan_reordered_csv(spark, d):
+    """Two exports whose columns stand in different orders, neither that of the schema."""
+    raw = raw_sessions(spark, d).join(table(spark, d, "events").select(
+        F.col("event_id").alias("visitId"), F.get_json_object("props", "$.k").cast("int").alias("k")), "visitId")
+    names = X.SESSIONS_V2.fieldNames()
+    back = Wr.sink_csv(raw.filter("k % 2 = 0").select(*reversed(names)), scratch_path(spark, "back"))
+    turned = Wr.sink_csv(raw.filter("k % 2 = 1").select(*names[5:], *names[:5]), scratch_path(spark, "turned"))
+    return _parsed(R.scan_typed_csv(spark, [back, turned], X.SESSIONS_V2))
+
+
+@query("scan_sessions_v1", f"""
+WITH {FLAT} SELECT CAST("visitId" AS VARCHAR) AS "visitId", "fullVisitorId", "visitStartTime", browser, country, pageviews,
+  'S' || "visitId" AS "sessionId" FROM flat""")
+def scan_sessions_v1(spark, d):
+    """The first version of the export: no list columns, ids as text, a session id."""
+    raw = raw_sessions(spark, d).withColumn("sessionId", F.concat(F.lit("S"), "visitId"))
+    path = Wr.sink_csv(raw.select(*X.SESSIONS_V1.fieldNames()), scratch_path(spark, "v1"))
+    flat = json_flatten(R.scan_typed_csv(spark, path, X.SESSIONS_V1), {"device": X.DEVICE, "geoNetwork": X.GEO, "totals": X.TOTALS})
+    return flat.select("visitId", "fullVisitorId", "visitStartTime", "browser", "country", "pageviews", "sessionId")
+
+
 @query("scan_pruned", f"""WITH {FLAT} SELECT "fullVisitorId", "visitStartTime" FROM flat""")
 def scan_pruned(spark, d):
     return R.scan_pruned(spark, _export(spark, d, "pruned"), X.SESSIONS_V2, ["fullVisitorId", "visitStartTime"])
@@ -57,7 +80,7 @@ FROM orders""")
 def scan_na_tokens(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
     path = Wr.sink_csv(rows, scratch_path(spark, "tokens"))
-    return R.scan_na_tokens(spark, path, X.struct("o_orderkey:long o_orderpriority"), ("5-LOW", "4-NOT SPECIFIED"))
+    return R.scan_na_tokens(spark, path, X.struct(o_orderkey="long", o_orderpriority="string"), ("5-LOW", "4-NOT SPECIFIED"))
 
 
 @query("scan_limit", "SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 20")
@@ -87,8 +110,8 @@ def scan_multi(spark, d):
     a = Wr.sink_csv(orders.filter(day < first).select(*status), scratch_path(spark, "part"))
     b = Wr.sink_csv(orders.filter((day >= first) & (day < second)).select(*status), scratch_path(spark, "part"))
     c = Wr.sink_csv(orders.filter(day >= second).select("o_orderkey", "o_custkey", "o_orderpriority"), scratch_path(spark, "part"))
-    return R.scan_multi(spark, [([a, b], X.struct("o_orderkey:long o_custkey:long o_orderstatus")),
-                                (c, X.struct("o_orderkey:long o_custkey:long o_orderpriority"))])
+    return R.scan_multi(spark, [([a, b], X.struct(o_orderkey="long", o_custkey="long", o_orderstatus="string")),
+                                (c, X.struct(o_orderkey="long", o_custkey="long", o_orderpriority="string"))])
 
 
 @query("sink_csv", "SELECT p_partkey, p_name, p_retailprice FROM part")
@@ -97,11 +120,11 @@ def sink_csv(spark, d):
     return R.scan_typed_csv(spark, Wr.sink_csv(part, scratch_path(spark, "csv")), part.schema)
 
 
-@query("sink_csv_quoted", "SELECT page_id, url, props FROM pages JOIN (SELECT event_id, props FROM events) ON page_id = event_id")
+@query("sink_csv_quoted", "SELECT page_id, url, props FROM pages LEFT JOIN (SELECT event_id, props FROM events) ON page_id = event_id")
 def sink_csv_quoted(spark, d):
     """Text with commas and double quotes survives the round trip."""
     props = table(spark, d, "events").select("event_id", "props")
-    rows = table(spark, d, "pages").select("page_id", "url").join(props, F.col("page_id") == F.col("event_id")).drop("event_id")
+    rows = table(spark, d, "pages").select("page_id", "url").join(props, F.col("page_id") == F.col("event_id"), "left").drop("event_id")
     return R.scan_typed_csv(spark, Wr.sink_csv(rows, scratch_path(spark, "quoted")), rows.schema)
 
 

@@ -15,14 +15,14 @@ PYTHON_QUOTING = {
     "allowUnquotedControlChars": "true",
 }
 
-# A bare word is a value: the item ends after it, and a quoted key with a colon (or an opening bracket)
-# stands before it. The word comes first in the pattern so that the matcher can search for it; a leading
-# look-behind would be tried at every character and is some ten times slower on long hit lists.
 _BARE_WORDS = {"True": "true", "False": "false", "None": "null"}
+_QUOTED = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+\""""
 
 
 def _value_pattern(word: str) -> str:
-    return rf"{word}(?=\s*[,}}\]])(?<=(?:['\"]: ?|\[){word})"
+    """What stands before a bare word since the match before: quoted strings, consumed whole, and other characters.
+    All repeats are possessive, so the search is linear and does not recurse on long lists."""
+    return rf"(?s)\G((?:{_QUOTED}|[^'\"{word[0]}]++|{word[0]}(?!{word[1:]}(?![A-Za-z0-9_])))*+){word}"
 
 
 # \xNN, when the backslash is not itself escaped.
@@ -33,7 +33,7 @@ def pyliteral_to_json(c: ColumnLike) -> Column:
     """Rewrite the bare words and hex escapes of a Python literal; quotes stay as they are."""
     out = col(c)
     for word, replacement in _BARE_WORDS.items():
-        out = F.regexp_replace(out, _value_pattern(word), replacement)
+        out = F.regexp_replace(out, _value_pattern(word), "$1" + replacement)
     return F.regexp_replace(out, _HEX_ESCAPE, r"\\u00$1")
 
 
@@ -42,13 +42,17 @@ def parse_pyliteral(c: ColumnLike, schema: T.DataType) -> Column:
     return F.from_json(pyliteral_to_json(c), schema, PYTHON_QUOTING)
 
 
-def parse_failures(c: ColumnLike, parsed: ColumnLike) -> Column:
-    """Aggregate: how many non-empty texts did not parse."""
-    return F.sum((col(c).isNotNull() & col(parsed).isNull()).cast("long"))
+def parse_failures(c: ColumnLike, schema: T.DataType) -> Column:
+    """Aggregate: how many texts did not parse, in whole or in any part."""
+    checked = T.StructType([T.StructField("value", schema), T.StructField("_corrupt", T.StringType())])
+    wrapped = F.concat(F.lit('{"value": '), pyliteral_to_json(c), F.lit("}"))
+    parsed = F.from_json(wrapped, checked, PYTHON_QUOTING | {"columnNameOfCorruptRecord": "_corrupt"})
+    return F.sum((col(c).isNotNull() & (parsed.isNull() | parsed["_corrupt"].isNotNull())).cast("long"))
 
 
 def strip_sentinel(c: ColumnLike, sentinel: str) -> Column:
     """Remove ``"key": "<sentinel>"`` pairs from JSON text, and the comma such a pair leaves behind."""
-    pair = r'"[A-Za-z0-9_]+"\s*:\s*"' + sentinel + r'"'
+    exact = r"\Q" + sentinel.replace(r"\E", r"\E\\E\Q") + r"\E"
+    pair = r'"(?:[^"\\]|\\.)*+"\s*:\s*"' + exact + '"'
     without = F.regexp_replace(col(c), pair + r"\s*,\s*", "")
     return F.regexp_replace(without, r"(?:,\s*)?" + pair, "")

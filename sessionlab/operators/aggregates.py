@@ -150,7 +150,7 @@ def _attach_by_key(df: DataFrame, table: DataFrame, named: Mapping[str, Mapping[
     out = df
     for i, (key, columns) in enumerate(named.items()):
         side = table.filter(F.col("key_name") == key).select(
-            F.col("key_value").alias(f"_gk{i}"), *[F.col(c).alias(new) for c, new in columns.items()])
+            F.col("key_value").alias(f"_gk{i}"), *[quoted(c).alias(new) for c, new in columns.items()])
         out = out.join(bounded(side, sizes[key]), quoted(key).cast("string").eqNullSafe(F.col(f"_gk{i}")), "left")
     added = [new for columns in named.values() for new in columns.values()]
     return out.select(*[quoted(c) for c in df.columns], *[quoted(c) for c in added])
@@ -198,7 +198,7 @@ ROW_STATS: Mapping[str, Callable[[Column], Column]] = {
 def rowwise_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     """The statistics across ``pred1 .. predN`` of a key, taken from the at most N long rows that the
     pivot is made of: same values, no row loop."""
-    return df.groupBy(key).agg(*[fn(F.col(value)).alias(name) for name, fn in ROW_STATS.items()])
+    return df.groupBy(key).agg(*[fn(quoted(value)).alias(name) for name, fn in ROW_STATS.items()])
 
 
 def error_of(df: DataFrame, prediction: str, label: str) -> DataFrame:

@@ -149,13 +149,7 @@ def fit_near_zero_var(df: DataFrame, freq_cut: float = 95 / 5, unique_cut: float
 
 
 def near_zero_var_cols(df: DataFrame, freq_cut: float = 95 / 5, unique_cut: float = 10.0) -> list[str]:
-    """Names to drop. Columns whose estimated share of distinct values is far above the cut (by ten standard
-    errors) cannot qualify; leaving them out spares the exact counts of id-like columns."""
-    sizes = df.agg(F.count(F.lit(1)), *[F.approx_count_distinct(_comparable(df, c), 0.1) for c in df.columns]).first()
-    limit = max(sizes[0] * unique_cut / 100 * 2, 2)
-    df = df.select(*[quoted(c) for c, n in zip(df.columns, sizes[1:]) if n <= limit])
-    if not df.columns:
-        return []
+    """Names to drop, by the exact counts."""
     fitted = {r["column"] for r in fit_near_zero_var(df, freq_cut, unique_cut).filter("drop").collect()}
     return [c for c in df.columns if c in fitted]
 

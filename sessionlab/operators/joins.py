@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionlab.operators.cleaning import quoted
 from sessionlab.operators.skew import BROADCAST_ROWS
 
 
@@ -18,7 +19,7 @@ def bounded(df: DataFrame, rows: int | None) -> DataFrame:
 
 
 def _nullsafe(left_keys: Sequence[str], right_keys: Sequence[str]) -> Column:
-    return reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left_keys, right_keys)])
+    return reduce(Column.__and__, [quoted(a).eqNullSafe(quoted(b)) for a, b in zip(left_keys, right_keys)])
 
 
 def left_join_nullsafe(left: DataFrame, right: DataFrame, keys: str | Sequence[str], suffix: str = "_r",
@@ -51,7 +52,7 @@ def multi_left_join(frames: Sequence[DataFrame], key: str, value: str) -> DataFr
     """Chain of left joins on one key; the value column of frame i becomes ``value_i`` (from 1).
 
     All joins hash on the same key, so each input is shuffled once and the running result not again."""
-    named = [f.select(key, F.col(value).alias(f"{value}_{i}")) for i, f in enumerate(frames, 1)]
+    named = [f.select(quoted(key), quoted(value).alias(f"{value}_{i}")) for i, f in enumerate(frames, 1)]
     return reduce(lambda a, b: a.join(b, key, "left"), named)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -58,8 +59,12 @@ def _leaves(value: Column, schema: T.StructType, prefix: str, sep: str) -> list[
 def json_infer_schema(df: DataFrame, column: str) -> T.StructType:
     """Union of all keys seen in the whole column, with merged types: one mergeable aggregate."""
     text = df.agg(F.schema_of_variant_agg(F.try_parse_json(quoted(column))).alias("s")).first()["s"]
-    ddl = text.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING").replace("VARIANT", "STRING")
-    return _json_types(T.DataType.fromDDL(ddl))
+    return _json_types(T.DataType.fromDDL(_VARIANT_TYPES.sub(lambda m: _AS_DDL.get(m[0], m[0]), text)))
+
+
+# Type names of the variant schema, apart from the same words as keys: keys are quoted or stand before a colon.
+_VARIANT_TYPES = re.compile(r"`(?:[^`]|``)*`|\b(?:OBJECT|VOID|VARIANT)\b(?!\s*:)")
+_AS_DDL = {"OBJECT": "STRUCT", "VOID": "STRING", "VARIANT": "STRING"}
 
 
 def _json_types(kind: T.DataType) -> T.DataType:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionlab.operators.cleaning import na_tokens_to_null
@@ -16,15 +17,46 @@ CSV_QUOTING = {"header": "true", "quote": '"', "escape": '"'}
 
 
 def scan_typed_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType) -> DataFrame:
-    """CSV with declared types; ids declared as strings keep leading zeros and precision."""
-    return spark.read.options(**CSV_QUOTING).schema(schema).csv(_paths(path))
+    """CSV with declared types, matched to the files by the names in their headers, in whatever order they stand.
+
+    Everything is read as text and converted by ``try_cast``: ids declared as strings keep leading zeros and precision,
+    a text that is no number becomes NULL. Paths whose headers differ are scanned apart and stacked by name. Within one
+    path all files must share a header, which the reader checks; a column that a header lacks raises ValueError.
+    """
+    scans = []
+    for header, paths in _by_header(spark, path).items():
+        lacking = [f.name for f in schema.fields if f.name not in header]
+        if lacking:
+            raise ValueError(f"{paths} have no columns {lacking}")
+        text = _read_text(spark, paths, header)
+        scans.append(text.select(*[_typed(f) for f in schema.fields]))
+    return reduce(DataFrame.unionByName, scans)
+
+
+def _by_header(spark: SparkSession, path: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """The paths grouped by the header of their files; only the first line of a path is read."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for p in _paths(path):
+        groups.setdefault(tuple(spark.read.options(**CSV_QUOTING).csv(p).columns), []).append(p)
+    return groups
+
+
+def _read_text(spark: SparkSession, paths: list[str], header: tuple[str, ...]) -> DataFrame:
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
+    return spark.read.options(**CSV_QUOTING, enforceSchema="false").schema(schema).csv(paths)
+
+
+def _typed(field: T.StructField) -> Column:
+    return F.col(f"`{field.name}`").try_cast(field.dataType).alias(field.name)
 
 
 def scan_inferred_csv(spark: SparkSession, path: str | Sequence[str],
                       string_columns: Sequence[str] = ("fullVisitorId",)) -> DataFrame:
     """CSV with guessed types. The named columns are read as text whatever they look like:
-    casting an inferred number back to text would already have lost digits."""
-    guessed = spark.read.options(**CSV_QUOTING, inferSchema="true").csv(_paths(path)).schema
+    casting an inferred number back to text would already have lost digits. Types are guessed from the paths that share
+    the first header; other paths are matched to it by name."""
+    first = next(iter(_by_header(spark, path).values()))
+    guessed = spark.read.options(**CSV_QUOTING, inferSchema="true").csv(first).schema
     declared = T.StructType([
         T.StructField(f.name, T.StringType() if f.name in string_columns else f.dataType) for f in guessed.fields
     ])
@@ -66,13 +98,5 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread_few(df: DataFrame, scan: DataFrame, *by: str) -> DataFrame:
-    """Spread rows over all cores before heavy per-row parsing, only if the scan behind them has fewer tasks
-    than there are cores (a few files that cannot be split). A large input never meets the condition, so it
-    is not shuffled."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return df if scan.rdd.getNumPartitions() >= cores else df.repartition(cores, *by)
-
-
 def _paths(path: str | Sequence[str]) -> list[str]:
     return [path] if isinstance(path, str) else list(path)

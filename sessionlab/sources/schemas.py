@@ -5,74 +5,67 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-_TYPES = {
-    "": T.StringType(),
-    "int": T.IntegerType(),
-    "long": T.LongType(),
-    "double": T.DoubleType(),
-    "boolean": T.BooleanType(),
-}
 
+def struct(**kinds: str | T.DataType) -> T.StructType:
+    """Fields in the order given, with type names or types."""
+    out = T.StructType()
+    for name, kind in kinds.items():
+        out.add(name, kind)
+    return out
 
-def struct(spec: str) -> T.StructType:
-    """``"a b:boolean c"`` to a StructType; fields without a type are strings."""
-    fields = []
-    for item in spec.split():
-        name, _, kind = item.partition(":")
-        fields.append(T.StructField(name, _TYPES[kind]))
-    return T.StructType(fields)
-
-
-def _with(base: T.StructType, **extra: T.DataType) -> T.StructType:
-    return T.StructType(base.fields + [T.StructField(k, v) for k, v in extra.items()])
 
+# Fixed values from here on: columns and fields of the export, in file order.
 
 # Version 1 of the export: 12 columns, four of them JSON objects as text.
 SESSIONS_V1 = struct(
-    "channelGrouping date fullVisitorId device geoNetwork sessionId socialEngagementType "
-    "totals trafficSource visitId visitNumber:double visitStartTime:long"
-)
+    channelGrouping="string", date="string", device="string", fullVisitorId="string", geoNetwork="string",
+    sessionId="string", socialEngagementType="string", totals="string", trafficSource="string", visitId="string",
+    visitNumber="double", visitStartTime="long")
 
 # Version 2: no sessionId; adds two columns that hold Python-literal lists.
 SESSIONS_V2 = struct(
-    "channelGrouping customDimensions date device fullVisitorId geoNetwork hits socialEngagementType "
-    "totals trafficSource visitId:int visitNumber:int visitStartTime:long"
-)
-
-ADWORDS = struct("adNetworkType gclId slot page isVideoAd:boolean")
-DEVICE = struct("browser operatingSystem deviceCategory isMobile:boolean")
-GEO = struct("continent subContinent country region metro city networkDomain")
-TOTALS = struct("visits hits pageviews bounces newVisits transactionRevenue")
-TRAFFIC = _with(struct("campaign source medium keyword referralPath adContent isTrueDirect:boolean"),
-                adwordsClickInfo=ADWORDS)
+    channelGrouping="string", customDimensions="string", date="string", device="string", fullVisitorId="string",
+    geoNetwork="string", hits="string", socialEngagementType="string", totals="string", trafficSource="string",
+    visitId="integer", visitNumber="integer", visitStartTime="long")
+
+ADWORDS = struct(
+    adNetworkType="string", gclId="string", slot="string", page="string", isVideoAd="boolean")
+DEVICE = struct(
+    browser="string", operatingSystem="string", deviceCategory="string", isMobile="boolean")
+GEO = struct(
+    continent="string", subContinent="string", country="string", region="string", metro="string", city="string",
+    networkDomain="string")
+TOTALS = struct(
+    visits="string", hits="string", pageviews="string", bounces="string", newVisits="string",
+    transactionRevenue="string")
+TRAFFIC = struct(
+    campaign="string", source="string", medium="string", keyword="string", referralPath="string",
+    adContent="string", isTrueDirect="boolean").add("adwordsClickInfo", ADWORDS)
 
 JSON_COLUMNS = {"device": DEVICE, "geoNetwork": GEO, "totals": TOTALS, "trafficSource": TRAFFIC}
 
-DIMENSIONS = T.ArrayType(struct("index value"))
+DIMENSIONS = T.ArrayType(struct(index="string", value="string"))
 
 # Hit sub-objects known to be empty (experiment, customVariables, customMetrics, publisher_infos,
 # customDimensions) are left out of the parse schema, so they are never materialised.
 PRODUCT = struct(
-    "productSKU v2ProductName v2ProductCategory productVariant productBrand productPrice "
-    "localProductPrice isImpression:boolean"
-)
-PROMOTION = struct("promoId promoName promoCreative promoPosition")
-HIT = _with(
-    # numbers arrive as quoted text: cast them after parsing (HIT_NUMBERS)
-    struct("hitNumber time hour minute isInteraction:boolean isEntrance:boolean isExit:boolean type dataSource"),
-    page=struct("pageTitle pagePath pagePathLevel2 pagePathLevel3"),
-    appInfo=struct("screenName landingScreenName exitScreenName screenDepth"),
-    transaction=struct("currencyCode"),
-    item=struct("currencyCode"),
-    social=struct("socialNetwork hasSocialSourceReferral socialInteractionNetworkAction"),
-    eCommerceAction=struct("action_type step"),
-    product=T.ArrayType(PRODUCT),
-    promotion=T.ArrayType(PROMOTION),
-)
+    productSKU="string", v2ProductName="string", v2ProductCategory="string", productVariant="string",
+    productBrand="string", productPrice="string", localProductPrice="string", isImpression="boolean")
+PROMOTION = struct(promoId="string", promoName="string", promoCreative="string", promoPosition="string")
+# Numbers arrive as quoted text: cast them after parsing (HIT_NUMBERS).
+HIT = struct(
+    hitNumber="string", time="string", hour="string", minute="string", isInteraction="boolean", isEntrance="boolean",
+    isExit="boolean", type="string", dataSource="string",
+    page=struct(pageTitle="string", pagePath="string", pagePathLevel2="string", pagePathLevel3="string"),
+    appInfo=struct(screenName="string", landingScreenName="string", exitScreenName="string", screenDepth="string"),
+    transaction=struct(currencyCode="string"), item=struct(currencyCode="string"),
+    social=struct(socialNetwork="string", hasSocialSourceReferral="string", socialInteractionNetworkAction="string"),
+    eCommerceAction=struct(action_type="string", step="string"),
+    product=T.ArrayType(PRODUCT), promotion=T.ArrayType(PROMOTION))
 HITS = T.ArrayType(HIT)
 HIT_NUMBERS = {"hitNumber": "int", "time": "bigint", "hour": "int", "minute": "int"}
 
-RESULT = struct("fullVisitorId PredictedLogRevenue:double")
+RESULT = struct(fullVisitorId="string", PredictedLogRevenue="double")
 
 # Texts that mean "missing" in the export.
 NA_TOKENS = (
