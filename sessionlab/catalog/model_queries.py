@@ -84,20 +84,6 @@ def index_setdiff(spark, d):
 
 # --- matrix and learners ------------------------------------------------------------------------------------
 
-FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "day_of_year"]
-
-
-def _matrix(spark, d):
-    """Line items: a label that depends on quantity and discount, with a fold by order."""
-    items = table(spark, d, "lineitem")
-    rows = items.withColumns({
-        "day_of_year": F.dayofyear("l_shipdate"),
-        "y": F.log1p(F.col("l_quantity") * (1 + F.col("l_discount") * 10)),
-        "row_id": F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
-    })
-    rows = P.group_kfold_portable(rows, "l_orderkey", 3).withColumn("is_val", F.col("fold") == 0)
-    return M.assemble(rows, FEATURES, "y", keep=["row_id", "fold", "is_val"])
-
 
 @query("assemble", f"""
 WITH {S} SELECT event_id, CASE WHEN revenue IS NULL THEN -999.0 ELSE revenue END AS f0, CAST(k AS DOUBLE) AS f1,
@@ -109,57 +95,88 @@ def assemble(spark, d):
     return matrix.select("event_id", *[F.get("a", F.lit(i)).alias(f"f{i}") for i in range(3)], F.round("y", 6).alias("y"))
 
 
-SMALL = M.BoostSettings(max_iter=4, depth=3, step=0.3)
+# One tree of depth 1 without sampling, on a column of two values: a prediction is the mean label of the training rows in
+# the same half, which SQL can say for every row.
+STUMP = M.BoostSettings(max_iter=1, depth=1, step=1.0, subsample=1.0, min_rows=1)
+STUMP_FEATURES = ["half", "same", "also_same"]
+_LINES = f"""lines AS (
+  SELECT l_orderkey, l_linenumber, l_quantity, {_MD5_FOLD.format('l_orderkey', 3)} AS fold, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS half,
+         ln(1 + l_quantity * (1 + l_discount * 10)) AS y FROM lineitem),
+sums AS (SELECT fold, half, sum(y) AS s, count(*) AS n FROM lines GROUP BY ALL),
+fits AS (SELECT f.fold, g.half, sum(CASE WHEN g.fold <> f.fold THEN g.s END) / sum(CASE WHEN g.fold <> f.fold THEN g.n END) AS pred
+         FROM (SELECT DISTINCT fold FROM lines) f, sums g GROUP BY ALL)"""
+
+
+def _halves(spark, d):
+    """Line items with a column of two values and two constant ones; a fold by order."""
+    items = table(spark, d, "lineitem").withColumns({
+        "half": (F.col("l_quantity") > 25).cast("int"), "same": F.lit(1), "also_same": F.lit(2),
+        "y": F.log1p(F.col("l_quantity") * (1 + F.col("l_discount") * 10))})
+    rows = P.group_kfold_portable(items, "l_orderkey", 3).withColumn("is_val", F.col("fold") == 0)
+    return M.assemble(rows, STUMP_FEATURES, "y", keep=["l_orderkey", "l_linenumber", "l_quantity", "fold", "is_val"])
+
+
+def _predicted(df, column):
+    return df.select("l_orderkey", "l_linenumber", "l_quantity", F.round(column, 6).alias("pred"))
 
 
 @query("fit_boosted", f"""
-SELECT {_MD5_FOLD.format('l_orderkey', 3)} = 0 AS is_val, count(*) AS n, TRUE AS better_than_mean, TRUE AS within_rounds
-FROM lineitem GROUP BY ALL""")
+WITH {_LINES} SELECT l_orderkey, l_linenumber, l_quantity, round(pred, 6) AS pred
+FROM lines JOIN fits ON fits.half = lines.half AND fits.fold = 0""")
 def fit_boosted(spark, d):
-    """Early-stopped trees; both parts are predicted better than by their mean."""
-    matrix = _matrix(spark, d)
-    model = M.fit_boosted(matrix, "y", "is_val", SMALL)
-    error = F.avg(F.pow(F.col("prediction") - F.col("y"), F.lit(2.0)))
-    return model.transform(matrix).groupBy("is_val").agg(
-        F.count(F.lit(1)).alias("n"), (error < F.var_pop("y")).alias("better_than_mean"),
-        F.lit(model.getNumTrees <= SMALL.max_iter).alias("within_rounds"))
+    """Trained on the rows that are not for validation; every row is predicted."""
+    matrix = _halves(spark, d)
+    return _predicted(M.fit_boosted(matrix, "y", "is_val", STUMP).transform(matrix), "prediction")
 
 
-@query("refit_scaled_rounds", """
-SELECT count(*) AS n, TRUE AS rounds_match FROM lineitem""")
+@query("refit_scaled_rounds", f"""
+WITH {_LINES}, rounds AS (SELECT CAST(round(1 + avg(CASE WHEN fold = 0 THEN 1 ELSE 0 END)) AS INTEGER) AS r FROM lines),
+whole AS (SELECT half, avg(y) AS pred FROM lines GROUP BY half)
+SELECT l_orderkey, l_linenumber, l_quantity, round(pred, 6) AS pred, r AS rounds FROM lines JOIN whole USING (half), rounds""")
 def refit_scaled_rounds(spark, d):
-    matrix = _matrix(spark, d)
-    model, rounds = M.refit_scaled_rounds(matrix, "y", "is_val", M.BoostSettings(max_iter=2, depth=3, step=0.3))
-    return model.transform(matrix).agg(F.count("prediction").alias("n"), F.lit(model.getNumTrees == rounds).alias("rounds_match"))
+    """Rounds scaled by the share of validation rows; the refit learns from all rows."""
+    matrix = _halves(spark, d)
+    model, rounds = M.refit_scaled_rounds(matrix, "y", "is_val", STUMP)
+    return _predicted(model.transform(matrix), "prediction").withColumn("rounds", F.lit(rounds))
 
 
 @query("oof_predict", f"""
-SELECT {_MD5_FOLD.format('l_orderkey', 3)} AS fold, count(*) AS n, count(*) AS predicted, TRUE AS non_negative
-FROM lineitem GROUP BY ALL""")
+WITH {_LINES} SELECT l_orderkey, l_linenumber, l_quantity, lines.fold, round(pred, 6) AS pred
+FROM lines JOIN fits ON fits.half = lines.half AND fits.fold = lines.fold""")
 def oof_predict(spark, d):
-    """Every row is predicted once, by the model that did not train on its fold."""
-    out = M.oof_predict(_matrix(spark, d), "y", "row_id", "fold", 3, settings=M.BoostSettings(max_iter=2, depth=3, step=0.3))
-    return out.train.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count("pred").alias("predicted"),
-                                         (F.min("pred") >= 0).alias("non_negative"))
+    """Every row, repeated ones too, is predicted by the model that did not train on its fold."""
+    out = M.oof_predict(_halves(spark, d), "y", M.k_folds("fold", 3), settings=STUMP)
+    return out.train.select("l_orderkey", "l_linenumber", "l_quantity", "fold", F.round("pred", 6).alias("pred"))
 
 
-@query("fold_average", """
-SELECT count(DISTINCT l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey) AS rows_scored, TRUE AS in_range
-FROM lineitem""")
+@query("fold_average", f"""
+WITH {_LINES} SELECT l_orderkey, l_linenumber, l_quantity, round(p, 6) AS pred
+FROM lines JOIN (SELECT half, avg(pred) AS p FROM fits GROUP BY half) USING (half)""")
 def fold_average(spark, d):
-    """Test rows get the mean of the fold models, one row each."""
-    matrix = _matrix(spark, d)
-    out = M.oof_predict(matrix, "y", "row_id", "fold", 3, test=matrix.drop("y", "fold"),
-                        settings=M.BoostSettings(max_iter=2, depth=3, step=0.3))
-    low, high = matrix.agg(F.min("y"), F.max("y")).first()
-    return out.test.agg(F.count("pred").alias("rows_scored"),
-                        ((F.min("pred") >= low - 1) & (F.max("pred") <= high + 1)).alias("in_range"))
-
-
-@query("feature_importance")
+    """Test rows get the mean of the fold models; no row is merged."""
+    matrix = _halves(spark, d)
+    return _predicted(M.oof_predict(matrix, "y", M.k_folds("fold", 3), test=matrix.drop("y", "fold"), settings=STUMP).test, "pred")
+
+
+@query("oof_expanding", f"""
+WITH {_LINES} SELECT l_orderkey, l_linenumber, l_quantity, lines.fold, round(pred, 6) AS pred
+FROM lines LEFT JOIN (
+  SELECT 1 AS fold, half, avg(y) AS pred FROM lines WHERE fold = 0 GROUP BY half
+  UNION ALL SELECT 2, half, avg(y) FROM lines WHERE fold < 2 GROUP BY half) e ON e.fold = lines.fold AND e.half = lines.half""")
+def oof_expanding(spark, d):
+    """Expanding windows: each part is predicted from those before it, the first from none."""
+    folds = [(F.col("fold") < i, F.col("fold") == i) for i in (1, 2)]
+    out = M.oof_predict(_halves(spark, d), "y", folds, settings=STUMP)
+    return out.train.select("l_orderkey", "l_linenumber", "l_quantity", "fold", F.round("pred", 6).alias("pred"))
+
+
+@query("feature_importance", f"""
+WITH {_LINES} SELECT 'half' AS feature, CASE WHEN count(DISTINCT half) = 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS gain FROM lines
+UNION ALL SELECT 'same', 0.0 UNION ALL SELECT 'also_same', 0.0""")
 def feature_importance(spark, d):
-    model = M.fit_boosted(_matrix(spark, d), "y", "is_val", SMALL)
-    return M.feature_importance(model, FEATURES, spark)
+    """Only one column carries a signal, so all gain is its."""
+    model = M.fit_boosted(_halves(spark, d), "y", "is_val", STUMP)
+    return M.feature_importance(model, STUMP_FEATURES, spark)
 
 
 _PCA = ("l_quantity", "l_discount", "l_tax", "l_linenumber")
