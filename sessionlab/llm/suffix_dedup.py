@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ SPAN = 50
 GRAM = 16
 #: Anchor rows that are sorted together; a larger group is worked off in slices of this size.
 BLOCK = 20_000
+#: Bytes of text that one step turns into arrays: few enough for them to stay in the processor's cache.
+CHUNK = 1 << 18
 _U = np.uint64
 
 
@@ -45,39 +48,39 @@ def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
 
 
 def anchors_of(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Anchors in concatenated rows: place, hash, and the first and last window start that each is smallest in."""
+    """Anchors in concatenated rows: place, hash, first and last start of the windows that each is smallest in, and the
+    hash of all bytes of these windows."""
     width, n = span - gram + 1, len(data)
     none = np.zeros(0, np.int64)
     if n < span:
-        return none, none.astype(np.uint64), none, none
+        return none, none.astype(np.uint64), none, none, none.astype(np.uint64)
     prefix = prefix_hash(data)
     place = np.arange(n - gram + 1)
     hashes = range_hash(prefix, place, place + gram) | _U(1)
     least = _sliding(hashes, width, np.minimum)  # by window start
-    inside = np.zeros(len(least) + 1, dtype=np.int32)  # windows that lie in one row
-    begin, end = offsets[:-1], offsets[1:] - span + 1
-    full = end > begin
-    np.add.at(inside, begin[full], 1)
-    np.add.at(inside, end[full], -1)
-    least = np.where(np.cumsum(inside[:-1]) > 0, least, _U(0))
+    for begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        least[max(begin, end - span + 1):end] = 0  # windows that would leave their row
     padded = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
     best = _sliding(padded, width, np.maximum)  # largest minimum of the windows that hold a gram
     at = np.flatnonzero(hashes == best)
-    # Each window belongs to the first of its smallest grams, so the windows of an anchor are a run.
-    starts = np.flatnonzero(least)
-    owner = np.searchsorted(at, starts)
-    want = least[starts]
-    while True:
-        wrong = hashes[at[owner]] != want
-        if not wrong.any():
-            break
-        owner[wrong] += 1
-    first = np.full(len(at), -1, dtype=np.int64)
-    last = np.full(len(at), -2, dtype=np.int64)
-    first[owner[::-1]] = starts[::-1]
-    last[owner] = starts
-    keep = first >= 0
-    return at[keep], hashes[at[keep]], first[keep], last[keep]
+    values = hashes[at]
+    # Windows side by side with one minimum belong to its first gram in them, and to the next one where that falls out.
+    edge = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
+    first, last, want = edge, np.append(edge[1:], len(least)) - 1, least[edge]
+    first, last, want = first[want > 0], last[want > 0], want[want > 0]
+    parts = []
+    while len(first):
+        owner = np.searchsorted(at, first)
+        while (wrong := values[owner] != want).any():
+            owner[wrong] += 1
+        until = np.minimum(last, at[owner])
+        parts.append((owner, first, until))
+        more = until < last
+        first, last, want = until[more] + 1, last[more], want[more]
+    owner, first, last = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (none, none, none)
+    order = np.argsort(owner, kind="stable")
+    owner, first, last = owner[order], first[order], last[order]
+    return at[owner], values[owner], first, last, range_hash(prefix, first, last + span)
 
 
 def _suffix_less(data: np.ndarray, prefix: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,61 +152,98 @@ def suffix_sort(data: np.ndarray, starts: np.ndarray, depth: int = SPAN) -> tupl
     return order, equal
 
 
-def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """(anchor, doc_id, place) of each text; a text that a task has met already is left to the row that came first."""
+def _packed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``text`` replaced by ``__packed``, compressed for the shuffle."""
+    schema = widened(docs.drop("text").schema, "__packed", "binary")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        press = zstandard.ZstdCompressor(level=1).compress
         for batch in chunks(batches, "text"):
+            packed = [None if t is None else press(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            rest = batch.select(schema.names[:-1])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(packed, pa.binary())], names=schema.names)
+    return docs.select(*[F.col(f"`{n}`") for n in schema.names[:-1]], "text").mapInArrow(run, schema)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with ``__packed`` turned back into ``text`` (binary), a few rows at a time."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    for batch in chunks(batches, "__packed", CHUNK // 2):
+        at = batch.schema.get_field_index("__packed")
+        yield batch.set_column(at, "text", pa.array([None if p is None else open_(p) for p in batch.column(at).to_pylist()], pa.binary()))
+
+
+def _anchor_rows(docs: DataFrame) -> DataFrame:
+    """(anchor, content, doc_id, start, size) of each text: an anchor's hash, and the bytes of its windows by hash, place
+    and length. A text whose like with a smaller doc_id the task has met is left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
+        for batch in chunks(batches, "text", CHUNK):
             data, offsets = flat_bytes(batch.column("text"))
-            fresh = []
-            for k in range(batch.num_rows):
-                mark = xxhash.xxh3_128_digest(data[offsets[k]:offsets[k + 1]])
-                fresh.append(mark not in seen)
-                seen.add(mark)
-            at, hashes, _, _ = anchors_of(data, offsets)
-            row = np.searchsorted(offsets, at, side="right") - 1
-            keep = np.array(fresh, dtype=bool)[row]
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            fresh = np.zeros(len(ids), dtype=bool)
+            for k, doc in enumerate(ids.tolist()):
+                mark = xxhash.xxh3_128_digest(data[offsets[k]:offsets[k + 1]])
+                fresh[k] = doc < seen.get(mark, doc + 1)
+                if fresh[k]:
+                    seen[mark] = doc
+            _, hashes, first, last, content = anchors_of(data, offsets)
+            row = np.searchsorted(offsets, first, side="right") - 1
+            keep = fresh[row]
+            row, first = row[keep], first[keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[keep].view(np.int64)), pa.array(ids[row[keep]]), pa.array((at - offsets[row])[keep])],
-                names=["anchor", "doc_id", "place"])
-    return docs.mapInArrow(run, "anchor long, doc_id long, place long")
+                [pa.array(hashes[keep].view(np.int64)), pa.array(content[keep].view(np.int64)), pa.array(ids[row]),
+                 pa.array(first - offsets[row]), pa.array((last[keep] + SPAN - first).astype(np.int32))],
+                names=["anchor", "content", "doc_id", "start", "size"])
+    return docs.mapInArrow(run, "anchor long, content long, doc_id long, start long, size int")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Of rows sorted by anchor and doc_id, those (doc_id, place) whose anchor occurs in more than one document."""
+def _met(rows: DataFrame) -> DataFrame:
+    """(doc_id, start, end) from rows sorted by anchor, content and doc_id. Bytes that a smaller document holds around the
+    same anchor are covered; where an anchor has several contents, the first row of each is to be compared window by
+    window and comes with a null end."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, known = None, None  # rows of the last anchor while it has one document; the last anchor known to be shared
+        held, mixed = None, None  # first rows that wait for more of their anchor; the last anchor known to be mixed
         for batch in batches:
-            cells = [batch.column(k).to_numpy() for k in range(3)]
+            cells = [batch.column(k).to_numpy() for k in range(5)] + [np.zeros(batch.num_rows, dtype=bool)]
             if held is not None:
                 cells = [np.concatenate(x) for x in zip(held, cells, strict=True)]
-            anchor, doc, place = cells
-            if not len(anchor):
+            anchor, content, doc, start, size, told = cells
+            n = len(anchor)
+            if not n:
                 continue
-            first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-            stop = np.append(first[1:], len(anchor))
-            many = doc[first] != doc[stop - 1]
-            many[0] |= known is not None and known == anchor[0]
-            tail = first[-1] if not many[-1] else len(anchor)
-            known = anchor[-1] if many[-1] else None
-            held = [x[tail:].copy() for x in cells]
-            keep = np.repeat(many, stop - first)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(place[keep])], ["doc_id", "place"])
-    return rows.mapInArrow(run, "doc_id long, place long")
+            group = np.concatenate(([True], anchor[1:] != anchor[:-1]))
+            part = group | np.concatenate(([True], content[1:] != content[:-1]))
+            least = doc[np.flatnonzero(part)][np.cumsum(part) - 1]
+            number = np.cumsum(group) - 1
+            many = np.bincount(number, part) > 1
+            many[0] |= mixed is not None and mixed == anchor[0]
+            lone = (doc == least) & ~told
+            wait = lone & ~many[number] & (number == number[-1])
+            again, ask = doc > least, lone & many[number]
+            mixed = anchor[-1] if many[-1] else None
+            keep = np.flatnonzero(wait)
+            if many[-1]:  # only the smallest document of the last content is still needed
+                keep = np.flatnonzero(part)[-1:]
+                told = np.ones(n, dtype=bool)
+            held = [x[keep].copy() for x in (anchor, content, doc, start, size, told)]
+            pick = np.concatenate([np.flatnonzero(again), np.flatnonzero(ask)])
+            end = pa.array(start[pick] + size[pick], mask=np.arange(len(pick)) >= int(again.sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[pick]), pa.array(start[pick]), end], ["doc_id", "start", "end"])
+    return rows.mapInArrow(run, "doc_id long, start long, end long")
 
 
 def _contexts(found: DataFrame) -> DataFrame:
-    """(anchor, doc_id, start, bytes) for each shared anchor (places) of a text: all bytes of the windows it belongs to."""
+    """(anchor, doc_id, start, bytes): all bytes of the windows of the anchors that begin at ``starts`` of a text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in _unpacked(batches):
             data, offsets = flat_bytes(batch.column("text"))
-            at, hashes, first, last = anchors_of(data, offsets)
-            row = np.searchsorted(offsets, at, side="right") - 1
-            wanted = batch.column("places")
+            _, hashes, first, last, _ = anchors_of(data, offsets)
+            row = np.searchsorted(offsets, first, side="right") - 1
+            wanted = batch.column("starts")
             counts = np.diff(wanted.offsets.to_numpy())
             want = wanted.flatten().to_numpy() + np.repeat(offsets[:-1], counts)
-            keep = np.flatnonzero(np.isin(at, want))
+            keep = np.flatnonzero(np.isin(first, want))
             ids = batch.column("doc_id").to_numpy()
             parts = [data[a:b].tobytes() for a, b in zip(first[keep].tolist(), (last[keep] + SPAN).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -282,15 +322,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     marks = stored(docs.select("doc_id", F.octet_length("text").alias("n"), F.sha2("text", 256).alias("digest")), "digests")
     first = marks.where(f"n >= {SPAN}").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(
         "first < last").select("digest", "first")
-    copies = stored(marks.join(first, "digest").where("doc_id > first").select("doc_id", "first", "n").distinct(), "copies")
-    rows = _anchor_rows(docs).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "place")
-    shared = stored(_shared(rows), "shared")
-    places = (shared.join(copies, "doc_id", "left").select(F.coalesce("first", "doc_id").alias("doc_id"), "place")
-              .groupBy("doc_id").agg(F.collect_set("place").alias("places")))
-    # Which documents share anchors is not bounded: texts and places meet in a shuffle.
-    found = docs.join(places.hint("merge"), "doc_id")
-    contexts = _contexts(found.select("doc_id", "text", "places")).repartition("anchor").sortWithinPartitions("anchor", "doc_id")
-    spans = _covered(contexts).unionByName(copies.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end")))
+    copies = stored(marks.join(first, "digest").where("doc_id > first").select("doc_id", "n").distinct(), "copies")
+    rows = _anchor_rows(docs).repartition("anchor").sortWithinPartitions("anchor", "content", "doc_id")
+    met = stored(_met(rows), "met")
+    starts = met.where("end is null").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    # Which documents are to be compared is not bounded: texts and places meet in a shuffle.
+    found = _packed(docs).join(starts.hint("merge"), "doc_id").select("doc_id", "__packed", "starts")
+    contexts = _contexts(found).repartition("anchor").sortWithinPartitions("anchor", "doc_id")
+    whole = copies.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end"))
+    spans = _covered(contexts).unionByName(met.where("end is not null")).unionByName(whole)
     return stored(spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")), "repeats")
 
 
@@ -298,13 +338,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with ``kept`` (binary: the bytes that stay) and ``removed`` (array of start, end: maximal removed runs)."""
     docs = docs.drop("kept", "removed")
     spans = repeated_spans(docs).select(F.col("doc_id").alias("__doc"), F.col("spans").alias("__spans"))
-    joined = docs.join(spans.hint("merge"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    joined = _packed(docs).join(spans.hint("merge"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
     schema = widened(widened(docs.schema, "kept", "binary"), "removed", "array<struct<start:bigint,end:bigint>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        runs_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for batch in _unpacked(batches):
             kept, removed = [], []
-            for text, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
                 runs: list[list[int]] = []
                 for s in spans or []:
                     if runs and s["start"] <= runs[-1][1]:
@@ -317,10 +358,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     at = b
                 kept.append(b"".join([*out, (text or b"")[at:]]))
                 removed.append([{"start": a, "end": b} for a, b in runs])
-            batch = batch.drop_columns(["__spans"])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(kept, pa.binary()),
-                 pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], schema=pa.schema(
-                    [*batch.schema, pa.field("kept", pa.binary()),
-                     pa.field("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))
+            columns = {n: batch.column(n) for n in schema.names[:-2]}
+            columns["text"] = columns["text"].cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(kept, pa.binary()), pa.array(removed, runs_type)],
+                                             names=schema.names)
     return joined.mapInArrow(run, schema)

@@ -160,7 +160,7 @@ def test_suffix_sort_and_anchors():
         windows = [data[i:i + depth].tobytes() for i in starts]
         got = [windows[i] for i in order]
         assert got == sorted(windows) and equal.tolist() == [False, *(a == b for a, b in zip(got, got[1:], strict=False))]
-    at, _, first, last = anchors_of(data, np.array([0, 120, 120, 300]))
+    _, _, first, last, _ = anchors_of(data, np.array([0, 120, 120, 300]))
     starts = sorted(s for a, b in zip(first, last, strict=True) for s in range(a, b + 1))
     assert starts == [*range(71), *range(120, 251)]  # each window of each row has one anchor
 
