@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from sessionlab.catalog.inputs import FLAT, S, raw_sessions, sessions, table
@@ -164,11 +165,23 @@ FROM t""")
 def one_hot(spark, d):
     size = F.when(F.col("p_size") <= 10, "L").when(F.col("p_size") <= 30, "M").otherwise("S")
     part = table(spark, d, "part").select("p_partkey", "p_type", size.alias("size"))
-    return E.one_hot(part, E.fit_levels(part, ["p_type", "size"]))
+    return E.one_hot(part, E.fit_kept_levels(part, ["p_type", "size"], 0.0001))
 
 
 # --- function values --------------------------------------------------------------------------------------
 
+@query("one_hot_many", """
+SELECT c_custkey, (SELECT count(*) + 1 + count(DISTINCT c_mktsegment) + 1 FROM customer) AS slots,
+  CAST(dense_rank() OVER (ORDER BY CAST(c_custkey AS VARCHAR)) AS INTEGER) AS first_slot
+FROM customer""")
+def one_hot_many(spark, d):
+    """As many levels as rows, and a second column of five: two entries in a sparse vector of all slots."""
+    hot = E.one_hot_vector(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), ["c_custkey", "c_mktsegment"])
+    slots = vector_to_array("hot")
+    return hot.select("c_custkey", F.size(slots).cast("long").alias("slots"),
+                      (F.array_position(slots, F.lit(1.0)) - 1).cast("int").alias("first_slot"))
+
+
 @query("function_sequence", f"""
 WITH {S} SELECT event_id, upper(coalesce(channel, '(Missing)')) AS channel, CAST(year(ts) AS INTEGER) AS year FROM s""")
 def function_sequence(spark, d):

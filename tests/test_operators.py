@@ -170,10 +170,42 @@ def test_lump_and_one_hot(spark):
     df = spark.createDataFrame([("a",)] * 10 + [("b",)] * 9 + [("c",)] + [(None,)], "f string")
     lumped = E.explicit_na(E.lump_rare(df, E.fit_kept_levels(df, ["f"], 0.05)), ["f"])
     assert {r["f"] for r in lumped.collect()} == {"a", "b", "Other", "(Missing)"}
-    wide = E.one_hot(lumped.withColumn("g", F.col("f")), E.fit_levels(lumped.withColumn("g", F.col("f")), ["f", "g"]))
+    wide = E.one_hot(lumped.withColumn("g", F.col("f")), {c: ["(Missing)", "Other", "a", "b"] for c in ("f", "g")})
     assert wide.columns == ["f(Missing)", "fOther", "fa", "fb", "gOther", "ga", "gb"]
+    hot = {(r["f"], tuple(r["hot"].toArray())) for r in E.one_hot_vector(df, ["f"]).collect()}
+    assert hot == {(None, (1, 0, 0, 0)), ("a", (0, 1, 0, 0)), ("b", (0, 0, 1, 0)), ("c", (0, 0, 0, 1))}
+
+
+def test_one_hot_of_more_than_a_thousand_levels(spark):
+    df = spark.range(1500).selectExpr("concat('level', id) AS f")
+    first = E.one_hot_vector(df, ["f"]).where("f = 'level0'").first()["hot"]
+    assert (first.size, first.indices.tolist()) == (1501, [1])
+
+
+def test_sorts_are_in_order(spark, sf_dir):
+    from sessionlab.catalog import QUERIES
+    for name, key in (("sort_by_date", ("o_orderdate", "o_orderkey")), ("sort_multi", ("user_id", "ts", "event_id"))):
+        got = [tuple(r[k] for k in key) for r in QUERIES[name](spark, sf_dir).collect()]
+        assert got == sorted(got)
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    from sessionlab.sources.readers import scan_typed_csv
+    from sessionlab.sources.schemas import struct
+    (tmp_path / "a.csv").write_text("device,id\ndev,0123\n")
+    (tmp_path / "b.csv").write_text("id,extra,device\n0456,x,other\n")
+    schema = struct(id="string", device="string")
+    got = scan_typed_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], schema)
+    assert rows(got) == [("0123", "dev"), ("0456", "other")]
     with pytest.raises(ValueError):
-        E.fit_levels(df, ["f"], limit=2)
+        scan_typed_csv(spark, str(tmp_path / "a.csv"), struct(id="string", lacking="string"))
+
+
+def test_joins_on_names_with_dots(spark):
+    from sessionlab.operators.joins import left_join_nullsafe
+    a = spark.createDataFrame([(1, "x"), (2, None)], "v int, `k.a` string")
+    b = spark.createDataFrame([("x", 7), (None, 8)], "`k.a` string, w int")
+    assert rows(left_join_nullsafe(a, b, "k.a").select("v", "w")) == [(1, 7), (2, 8)]
 
 
 def test_union_fill_and_align(spark):
