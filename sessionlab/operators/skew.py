@@ -233,5 +233,6 @@ def dense_codes(df: DataFrame, group: str, value: str) -> DataFrame:
     indexed = placed.withColumn("_task", task).join(F.broadcast(offsets), "_task").select(
         group, value, (F.col("_offset") + F.col("_at") - F.shiftleft(F.col("_task"), 33)).alias("_index"))
     start = indexed.groupBy(F.col(group).alias("_g")).agg(F.min("_index").alias("_start"))
-    return indexed.join(start, F.col(group).eqNullSafe(F.col("_g"))).select(
+    # One row per group, and the groups are columns of a table: a known bound.
+    return indexed.join(F.broadcast(start), F.col(group).eqNullSafe(F.col("_g"))).select(
         group, value, (F.col("_index") - F.col("_start") + 1).cast("int").alias("code"))
