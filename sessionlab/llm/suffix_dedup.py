@@ -253,7 +253,7 @@ def _contexts(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "anchor long, doc_id long, start long, bytes binary")
 
 
-def _block_spans(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, parts: list[bytes]) -> tuple[np.ndarray, ...]:
+def _block_spans(doc: np.ndarray, start: np.ndarray, parts: list[bytes]) -> tuple[np.ndarray, ...]:
     """(doc_id, start, end) covered in one block of rows sorted by anchor and doc_id, and the rows first with their bytes."""
     index: dict[bytes, int] = {}
     first = np.array([index.setdefault(p, k) for k, p in enumerate(parts)], dtype=np.int64)
@@ -293,26 +293,25 @@ def _covered(contexts: DataFrame) -> DataFrame:
         rows: list[tuple] = []
         carried = 0
 
-        def work(block: list[tuple], old: int) -> tuple[pa.RecordBatch, np.ndarray]:
+        def work(block: list[tuple]) -> tuple[pa.RecordBatch, np.ndarray]:
             anchor, doc, start, parts = zip(*block, strict=True)
-            doc_ids, a, b, lone = _block_spans(np.array(anchor), np.array(doc), np.array(start), list(parts))
-            del old
-            return pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(a), pa.array(b)], ["doc_id", "start", "end"]), lone
+            ids, a, b, first = _block_spans(np.array(doc), np.array(start), list(parts))
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(a), pa.array(b)], ["doc_id", "start", "end"]), first
 
         for batch in batches:
             rows += zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
             while len(rows) - carried > BLOCK:
                 cut = next((k for k in range(len(rows) - 1, carried, -1) if rows[k][0] != rows[k - 1][0]), 0)
                 block = rows[:cut] or rows
-                out, lone = work(block, carried)
+                out, first = work(block)
                 yield out
                 if cut:
                     rows, carried = rows[cut:], 0
                 else:  # one anchor fills the block: its distinct bytes go on, each with its smallest document
-                    rows = [block[k] for k in lone.tolist()]
+                    rows = [block[k] for k in first.tolist()]
                     carried = len(rows)
         if rows:
-            yield work(rows, carried)[0]
+            yield work(rows)[0]
     return contexts.mapInArrow(run, "doc_id long, start long, end long")
 
 
