@@ -149,21 +149,21 @@ def nearest(rows: DataFrame, k: int = 5, every: int = 50, wanted: float = WANTED
     stock = placed.withColumn("part", F.pmod(F.xxhash64("vec_id"), of_cell).cast("int"))
 
     def rerank(stock: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        ids, out = stock["vec_id"].to_numpy(), []
+        ids = stock["vec_id"].to_numpy()
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
         if len(ids) and len(asked):
             x, q = matrix(stock["x"].tolist(), width), matrix(asked["q"].tolist(), width)
-            unit = _unit(x)
-            for at in range(0, len(q), 256):
-                rough = _unit(q[at:at + 256]) @ unit.T
-                for n, row in enumerate(rough):
-                    own = int(asked["query_id"].iat[at + n])
-                    row[ids == own] = -2
-                    edge = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -2
-                    near = np.flatnonzero((row >= edge - 1e-9) & (row > -1.5))
-                    score = pair_cosines(x[near], np.broadcast_to(q[at + n], (len(near), width)))
-                    best = np.lexsort((ids[near], -score))[:k]
-                    out.append(pd.DataFrame({"query_id": own, "vec_id": ids[near][best], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            unit, own = _unit(x), asked["query_id"].to_numpy()
+            for at in range(0, len(q), 128):
+                rough = _unit(q[at:at + 128]) @ unit.T
+                rough[own[at:at + 128, None] == ids] = -2
+                edge = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(rough), -2.0)
+                i, j = np.nonzero((rough >= edge[:, None] - 1e-9) & (rough > -1.5))
+                score = [pair_cosines(x[j[n:n + (1 << 16)]], q[i[n:n + (1 << 16)] + at]) for n in range(0, len(i), 1 << 16)]
+                best = pd.DataFrame({"query_id": own[i + at], "vec_id": ids[j], "score": np.concatenate([np.zeros(0), *score])})
+                best = best.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+                out.append(best[best.groupby("query_id").cumcount() < k])
+        return pd.concat(out[1:] or out, ignore_index=True)
 
     found = stock.groupBy("cell", "part").cogroup(queries.groupBy("cell", "part")).applyInPandas(
         rerank, "query_id long, vec_id long, score double")
