@@ -86,14 +86,14 @@ def test_python_literal(spark, text, value):
 
 
 def test_bare_true_becomes_boolean(spark):
-    kind = X.struct("a:boolean b:boolean c")
+    kind = X.struct(a="boolean", b="boolean", c="string")
     assert tuple(one(spark, "{'a': True, 'b': False, 'c': None}", parse_pyliteral("c", kind))) == (True, False, None)
 
 
 def test_failures_are_counted(spark):
     df = spark.createDataFrame([("[{'index': '1'}]",), ("[{'index': ",), (None,)], "t string")
     parsed = df.withColumn("p", parse_pyliteral("t", X.DIMENSIONS))
-    assert parsed.agg(parse_failures("t", "p")).first()[0] == 1
+    assert parsed.agg(parse_failures("t", X.DIMENSIONS)).first()[0] == 1
 
 
 @pytest.mark.parametrize("text, left", [
