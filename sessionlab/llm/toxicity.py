@@ -101,15 +101,14 @@ def sample_rows(docs: DataFrame, labels: DataFrame, grade: str, rows: int = FIT_
         F.col("doc_id").alias("row"), "grade", "text")
 
 
-def severity_grades(counts: list[tuple[int, int]], label: int) -> int:
-    """Grade of a labelled row from its 0/1 label and (marked words, words): 0 if not toxic, else 1 to 3 by their share.
+def severity_grades(marked: np.ndarray, words: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Grades of labelled rows from 0/1 labels and counts of marked words and all words: 0 if not toxic, else 1 to 3 by
+    their share.
 
     The labels at hand say only whether a text is toxic; how much of it is sets the order within the toxic ones.
     """
-    if not label:
-        return 0
-    share = sum(n for n, _ in counts) / max(1, counts[0][1] if counts else 1)
-    return 1 + (share >= 0.01) + (share >= 0.03)
+    share = marked / words
+    return np.where(label > 0, 1 + (share >= 0.01) + (share >= 0.03), 0)
 
 
 def fit_ordinal(x: list[np.ndarray], y: np.ndarray, width: int, ridge: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
@@ -155,16 +154,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, vocab
         return OrdinalModel({}, (50.0,))
     chosen = _marked_words(counts, float(sizes[False]), float(sizes[True]), 4.0, vocabulary)
     place = {w: k for k, w in enumerate(chosen)}
-    by_row: dict[int, tuple[int, list[tuple[str, int, int]]]] = {}
-    per_row = (counts.groupBy("row").agg(
-        F.first("grade").alias("grade"),
-        F.collect_list(F.when(F.col("word").isin(*chosen), F.struct("word", "n", "total"))).alias("found")))
-    for r in per_row.collect():
-        by_row[r["row"]] = (r["grade"], [tuple(f) for f in r["found"]])
+    rows_at = {r["row"]: (k, r["grade"]) for k, r in enumerate(counts.select("row", "grade").distinct().collect())}
+    # What is fetched is bounded by the sampled rows and the vocabulary, and comes in columns.
+    words = counts.sparkSession.createDataFrame(list(place.items()), "word string, place int")
+    found = counts.join(F.broadcast(words), "word").select("row", "place", "n", "total").toArrow()
     counts.unpersist()
-    strong = {w for w, z in chosen.items() if z >= 12.0}
-    y = np.array([severity_grades([(n, t) for w, n, t in found if w in strong], g) for g, found in by_row.values()])
-    x = [np.array([place[w] for w, _, _ in found], dtype=np.int64) for _, found in by_row.values()]
+    row = np.array([rows_at[r][0] for r in found.column("row").to_pylist()], dtype=np.int64)
+    cell, n, total = (found.column(c).to_numpy().astype(np.int64) for c in ("place", "n", "total"))
+    strong = np.array([z >= 12.0 for z in chosen.values()], dtype=bool)
+    marked = np.bincount(row, n * strong[cell], minlength=len(rows_at)) if len(row) else np.zeros(len(rows_at))
+    words_in = np.ones(len(rows_at), dtype=np.int64)
+    words_in[row] = np.maximum(total, 1)
+    label = np.array([g for _, g in rows_at.values()])
+    y = severity_grades(marked, words_in, label)
+    order = np.argsort(row, kind="stable")
+    x = np.split(cell[order], np.cumsum(np.bincount(row, minlength=len(rows_at)))[:-1])
     _, y = np.unique(y, return_inverse=True)  # grades that occur, in order
     weights, cuts = fit_ordinal(x, y, len(place))
     return OrdinalModel({w: float(weights[k]) for w, k in place.items()}, tuple(float(c) for c in cuts))
