@@ -156,11 +156,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, vocab
     place = {w: k for k, w in enumerate(chosen)}
     rows_at = {r["row"]: (k, r["grade"]) for k, r in enumerate(counts.select("row", "grade").distinct().collect())}
     # What is fetched is bounded by the sampled rows and the vocabulary, and comes in columns.
-    words = counts.sparkSession.createDataFrame(list(place.items()), "word string, place int")
-    found = counts.join(F.broadcast(words), "word").select("row", "place", "n", "total").toArrow()
+    found = counts.where(F.col("word").isin(*chosen)).select("row", "word", "n", "total").toArrow()
     counts.unpersist()
     row = np.array([rows_at[r][0] for r in found.column("row").to_pylist()], dtype=np.int64)
-    cell, n, total = (found.column(c).to_numpy().astype(np.int64) for c in ("place", "n", "total"))
+    cell = np.array([place[w] for w in found.column("word").to_pylist()], dtype=np.int64)
+    n, total = (found.column(c).to_numpy().astype(np.int64) for c in ("n", "total"))
     strong = np.array([z >= 12.0 for z in chosen.values()], dtype=bool)
     marked = np.bincount(row, n * strong[cell], minlength=len(rows_at)) if len(row) else np.zeros(len(rows_at))
     words_in = np.ones(len(rows_at), dtype=np.int64)
