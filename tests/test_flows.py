@@ -1,12 +1,15 @@
 """The flows on the session export of the small tables."""
 
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
+from sessionlab.catalog import flow_queries
 from sessionlab.catalog.inputs import raw_sessions
-from sessionlab.operators.modelling import BoostSettings
+from sessionlab.operators.modelling import BoostSettings, assemble, best_round, fit_boosted
 from sessionlab.plans import hits_flatten, single_level, two_level
-from sessionlab.plans.features import TWO_LEVEL, VISITOR
+from sessionlab.plans.features import SINGLE_LEVEL, TWO_LEVEL, VISITOR
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +32,41 @@ def test_features_do_not_change_the_row_count(parts):
     assert out.filter("NOT is_test AND y IS NULL").count() == 0
 
 
+@pytest.mark.parametrize("name,plan", [("single_level_scores", single_level), ("two_level_scores", two_level)])
+def test_registered_flows_run_the_whole_job(spark, sf_dir, monkeypatch, name, plan):
+    signature, calls = inspect.signature(plan.score_visitors), []
+
+    class Stop(Exception):
+        pass
+
+    def record(*args, **kwargs):
+        calls.append(signature.bind(*args, **kwargs))
+        calls[0].apply_defaults()
+        raise Stop
+
+    monkeypatch.setattr(plan, "score_visitors", record)
+    with pytest.raises(Stop):
+        getattr(flow_queries, name)(spark, sf_dir)
+    used = calls[0].arguments
+    assert used["settings"] == (SINGLE_LEVEL if plan is single_level else TWO_LEVEL)
+    assert used.get("v", 5) == 5 and used.get("components", 20) == 20
+    boosts = [b for b in used.values() if isinstance(b, BoostSettings)]
+    assert len(boosts) == (1 if plan is single_level else 2)
+    assert all(b.max_iter == 5000 and b.depth >= 7 and b.bins == 255 and b.patience >= 100 for b in boosts)
+
+
+def test_patience_outlasts_a_poor_round(spark):
+    settings = BoostSettings(patience=2)
+    assert best_round([5.0, 4.0, 4.5, 3.0, 3.5, 3.6, 1.0], settings) == (4, True)
+    assert best_round([5.0, 4.0, 4.5], settings) == (2, False)
+    assert best_round([3.0, 3.0, 3.0], settings) == (1, True)
+    rows = [(float(k % 7), float((k * 13) % 5), float((k * k) % 11), k % 3 == 0) for k in range(60)]
+    matrix = assemble(spark.createDataFrame(rows, "a double, b double, y double, val boolean"), ["a", "b"], "y", ["val"]).persist()
+    settings = BoostSettings(max_iter=12, depth=2, step=0.5, min_rows=1, patience=3)
+    whole = fit_boosted(matrix.filter("not val"), "y", None, settings).evaluateEachIteration(matrix.filter("val"), "squared")
+    assert fit_boosted(matrix, "y", "val", settings).getNumTrees == best_round(whole, settings)[0]
+
+
 @pytest.mark.slow
 def test_full_two_level_features(parts):
     coded, features = two_level.session_matrix(*parts)
