@@ -6,6 +6,10 @@ Finding what to sort. In each text the gram with the smallest hash of every SPAN
 windows have the same anchor at the same place, so only documents that share an anchor can share a window, and only the
 windows around shared anchors are sorted: rows that meet under an anchor are streamed in order of doc_id, never gathered.
 
+Frequent anchors. An anchor with more than HOT_ROWS rows is not left to one task: its rows are dealt by the bytes around it, and
+where these differ, by single windows. Bytes that are frequent themselves are known from a sample of the documents, with a
+document that holds them: rows of larger documents are covered by it and need not meet, so only the few smaller ones do.
+
 Sorting. The suffixes at these windows are sorted by merging: prefix polynomial hashes and a binary search give the
 common extension of two suffixes, so one comparison takes the logarithm of SPAN steps. Neighbours that agree over SPAN
 bytes by hash are compared byte by byte before they count as equal.
@@ -17,11 +21,14 @@ repeat a doc_id with the same text are alike; doc_id is expected to identify a t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +39,10 @@ SPAN = 50
 GRAM = 16
 #: Anchor rows that are sorted together; a larger group is worked off in slices of this size.
 BLOCK = 20_000
+#: Rows of an anchor above which they are dealt to many tasks, and of how many documents one is looked at to find such anchors.
+#: Neither changes the result.
+HOT_ROWS = 20_000
+SAMPLE = 16
 #: Bytes of text that one step turns into arrays: few enough for them to stay in the processor's cache.
 CHUNK = 1 << 18
 _U = np.uint64
@@ -173,9 +184,78 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(at, "text", pa.array([None if p is None else open_(p) for p in batch.column(at).to_pylist()], pa.binary()))
 
 
-def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """(anchor, content, doc_id, start, size) of each text: an anchor's hash, and the bytes of its windows by hash, place
-    and length. A text whose like with a smaller doc_id the task has met is left out."""
+@dataclass(frozen=True)
+class Frequent:
+    """Anchors above the row limit (sorted); frequent contents with their anchor and a document that holds them (sorted by
+    content); frequent windows of these anchors with a document that holds them."""
+
+    anchors: np.ndarray
+    contents: np.ndarray
+    owners: np.ndarray
+    holders: np.ndarray
+    windows: dict[bytes, int]
+
+    def hot(self, anchor: np.ndarray) -> np.ndarray:
+        return _found_in(self.anchors, anchor)[0]
+
+    def told(self, anchor: np.ndarray, content: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Rows whose content a smaller document is known to hold."""
+        known, at = _found_in(self.contents, content)
+        if not len(self.contents):
+            return known
+        return known & (self.owners[at] == anchor) & (self.holders[at] < doc)
+
+
+def _found_in(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each wanted value is in the sorted ``values``, and where."""
+    if not len(values):
+        return np.zeros(len(wanted), dtype=bool), np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+    return values[at] == wanted, at
+
+
+def _frequent(docs: DataFrame) -> Broadcast[Frequent]:
+    """What is frequent, from a sample of the documents. At most one in HOT_ROWS anchor rows comes to the driver, with its windows."""
+    context = docs.sparkSession.sparkContext
+    nothing = np.zeros(0, np.int64)
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    plain = context.broadcast(Frequent(nothing, nothing, nothing, nothing, {}))
+    seen = stored(_anchor_rows(some, plain).groupBy("anchor", "content").agg(
+        F.min("doc_id").alias("holder"), F.count(F.lit(1)).alias("n")), "sampled")
+    limit = HOT_ROWS // SAMPLE
+    anchors = seen.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > limit).select("anchor").toArrow()
+    anchors = np.sort(anchors.column(0).to_numpy())
+    if not len(anchors):
+        return plain
+    contents = seen.where(F.col("n") > limit).select("content", "anchor", "holder").orderBy("content").toArrow()
+    hot = context.broadcast(anchors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", CHUNK):
+            data, offsets = flat_bytes(batch.column("text"))
+            _, hashes, first, last, _ = anchors_of(data, offsets)
+            row = np.searchsorted(offsets, first, side="right") - 1
+            keep = np.flatnonzero(_found_in(hot.value, hashes.view(np.int64))[0])
+            many = (last - first + 1)[keep]
+            begin = np.repeat(first[keep], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            ids = np.repeat(batch.column("doc_id").to_numpy()[row[keep]], many)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([data[a:a + SPAN].tobytes() for a in begin.tolist()], pa.binary()), pa.array(ids)], names=["window", "doc_id"])
+
+    windows = some.mapInArrow(run, "window binary, doc_id long").groupBy("window").agg(
+        F.min("doc_id").alias("holder"), F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).toArrow()
+    return context.broadcast(Frequent(
+        anchors, *(contents.column(k).to_numpy() for k in range(3)),
+        dict(zip(windows.column(0).to_pylist(), windows.column(1).to_pylist(), strict=True))))
+
+
+#: How a row of an anchor is dealt: with all others of its anchor, with those of its content, or alone as it is known to be covered.
+PLAIN, BY_CONTENT, TOLD = range(3)
+
+
+def _anchor_rows(docs: DataFrame, frequent: Broadcast[Frequent]) -> DataFrame:
+    """(anchor, content, doc_id, start, size, way, spread) of each text: an anchor's hash, and the bytes of its windows by hash,
+    place and length; rows are dealt by anchor and spread. A text whose like with a smaller doc_id the task has met is left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         for batch in chunks(batches, "text", CHUNK):
@@ -191,24 +271,34 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
             row = np.searchsorted(offsets, first, side="right") - 1
             keep = fresh[row]
             row, first = row[keep], first[keep]
+            anchor, content, doc = hashes[keep].view(np.int64), content[keep].view(np.int64), ids[row]
+            told = frequent.value.told(anchor, content, doc)
+            way = np.where(told, TOLD, np.where(frequent.value.hot(anchor), BY_CONTENT, PLAIN)).astype(np.int8)
+            spread = np.choose(way, [np.int64(0), content, doc])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[keep].view(np.int64)), pa.array(content[keep].view(np.int64)), pa.array(ids[row]),
-                 pa.array(first - offsets[row]), pa.array((last[keep] + SPAN - first).astype(np.int32))],
-                names=["anchor", "content", "doc_id", "start", "size"])
-    return docs.mapInArrow(run, "anchor long, content long, doc_id long, start long, size int")
+                [pa.array(anchor), pa.array(content), pa.array(doc), pa.array(first - offsets[row]),
+                 pa.array((last[keep] + SPAN - first).astype(np.int32)), pa.array(way), pa.array(spread)],
+                names=["anchor", "content", "doc_id", "start", "size", "way", "spread"])
+    return docs.mapInArrow(run, "anchor long, content long, doc_id long, start long, size int, way tinyint, spread long")
 
 
 def _met(rows: DataFrame) -> DataFrame:
     """(doc_id, start, end) from rows sorted by anchor, content and doc_id. Bytes that a smaller document holds around the
     same anchor are covered; where an anchor has several contents, the first row of each is to be compared window by
-    window and comes with a null end."""
+    window and comes with a null end. Other contents of an anchor dealt by content lie elsewhere: it counts as having several."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, mixed = None, None  # first rows that wait for more of their anchor; the last anchor known to be mixed
         for batch in batches:
-            cells = [batch.column(k).to_numpy() for k in range(5)] + [np.zeros(batch.num_rows, dtype=bool)]
+            way = batch.column(5).to_numpy()
+            if (way == TOLD).any():
+                known = batch.filter(pa.array(way == TOLD))
+                end = known.column(3).to_numpy() + known.column(4).to_numpy()
+                yield pa.RecordBatch.from_arrays([known.column(2), known.column(3), pa.array(end)], ["doc_id", "start", "end"])
+                batch = batch.filter(pa.array(way != TOLD))
+            cells = [batch.column(k).to_numpy() for k in range(6)] + [np.zeros(batch.num_rows, dtype=bool)]
             if held is not None:
                 cells = [np.concatenate(x) for x in zip(held, cells, strict=True)]
-            anchor, content, doc, start, size, told = cells
+            anchor, content, doc, start, size, way, told = cells
             n = len(anchor)
             if not n:
                 continue
@@ -216,7 +306,7 @@ def _met(rows: DataFrame) -> DataFrame:
             part = group | np.concatenate(([True], content[1:] != content[:-1]))
             least = doc[np.flatnonzero(part)][np.cumsum(part) - 1]
             number = np.cumsum(group) - 1
-            many = np.bincount(number, part) > 1
+            many = (np.bincount(number, part) > 1) | (way[np.flatnonzero(group)] == BY_CONTENT)
             many[0] |= mixed is not None and mixed == anchor[0]
             lone = (doc == least) & ~told
             wait = lone & ~many[number] & (number == number[-1])
@@ -226,15 +316,32 @@ def _met(rows: DataFrame) -> DataFrame:
             if many[-1]:  # only the smallest document of the last content is still needed
                 keep = np.flatnonzero(part)[-1:]
                 told = np.ones(n, dtype=bool)
-            held = [x[keep].copy() for x in (anchor, content, doc, start, size, told)]
+            held = [x[keep].copy() for x in (anchor, content, doc, start, size, way, told)]
             pick = np.concatenate([np.flatnonzero(again), np.flatnonzero(ask)])
             end = pa.array(start[pick] + size[pick], mask=np.arange(len(pick)) >= int(again.sum()))
             yield pa.RecordBatch.from_arrays([pa.array(doc[pick]), pa.array(start[pick]), end], ["doc_id", "start", "end"])
     return rows.mapInArrow(run, "doc_id long, start long, end long")
 
 
-def _contexts(found: DataFrame) -> DataFrame:
-    """(anchor, doc_id, start, bytes): all bytes of the windows of the anchors that begin at ``starts`` of a text."""
+def _windows(anchor: int, doc: int, start: int, text: bytes, known: dict[bytes, int]) -> Iterator[tuple]:
+    """Rows of ``_contexts`` for each window of a frequent anchor; runs of windows that a smaller document is known to hold are one."""
+    run = -1
+    for k in range(len(text) - SPAN + 1):
+        window = text[k:k + SPAN]
+        if known.get(window, doc) < doc:
+            run = k if run < 0 else run
+            continue
+        if run >= 0:
+            yield anchor, doc, doc, start + run, None, start + k - 1 + SPAN
+            run = -1
+        yield anchor, xxhash.xxh3_64_intdigest(window) - (1 << 63), doc, start + k, window, None
+    if run >= 0:
+        yield anchor, doc, doc, start + run, None, start + len(text)
+
+
+def _contexts(found: DataFrame, frequent: Broadcast[Frequent]) -> DataFrame:
+    """(anchor, spread, doc_id, start, bytes, end): all bytes of the windows of the anchors that begin at ``starts`` of a text; those of
+    frequent anchors window by window. With an end the bytes are known to be covered. Rows are dealt by anchor and spread."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _unpacked(batches):
             data, offsets = flat_bytes(batch.column("text"))
@@ -245,12 +352,21 @@ def _contexts(found: DataFrame) -> DataFrame:
             want = wanted.flatten().to_numpy() + np.repeat(offsets[:-1], counts)
             keep = np.flatnonzero(np.isin(first, want))
             ids = batch.column("doc_id").to_numpy()
+            anchor, doc, start = hashes[keep].view(np.int64), ids[row[keep]], (first - offsets[row])[keep]
+            hot = frequent.value.hot(anchor)
             parts = [data[a:b].tobytes() for a, b in zip(first[keep].tolist(), (last[keep] + SPAN).tolist(), strict=True)]
+            rest = np.flatnonzero(~hot)
+            none = pa.nulls(len(rest), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[keep].view(np.int64)), pa.array(ids[row[keep]]),
-                 pa.array((first - offsets[row])[keep]), pa.array(parts, pa.binary())],
-                names=["anchor", "doc_id", "start", "bytes"])
-    return found.mapInArrow(run, "anchor long, doc_id long, start long, bytes binary")
+                [pa.array(anchor[rest]), pa.array(np.zeros(len(rest), np.int64)), pa.array(doc[rest]), pa.array(start[rest]),
+                 pa.array([parts[k] for k in rest.tolist()], pa.binary()), none], names=kind.names)
+            each = [w for k in np.flatnonzero(hot).tolist() for w in _windows(
+                int(anchor[k]), int(doc[k]), int(start[k]), parts[k], frequent.value.windows)]
+            if each:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*each, strict=True), kind.types, strict=True)], names=kind.names)
+    kind = pa.schema([("anchor", pa.int64()), ("spread", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()),
+                      ("bytes", pa.binary()), ("end", pa.int64())])
+    return found.mapInArrow(run, "anchor long, spread long, doc_id long, start long, bytes binary, end long")
 
 
 def _block_spans(doc: np.ndarray, start: np.ndarray, parts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -288,26 +404,30 @@ def _block_spans(doc: np.ndarray, start: np.ndarray, parts: list[bytes]) -> tupl
 
 
 def _covered(contexts: DataFrame) -> DataFrame:
-    """(doc_id, start, end) of bytes that windows in smaller documents cover; rows come sorted by anchor and doc_id."""
+    """(doc_id, start, end) of bytes that windows in smaller documents cover; rows come sorted by anchor, spread and doc_id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         carried = 0
 
         def work(block: list[tuple]) -> tuple[pa.RecordBatch, np.ndarray]:
-            anchor, doc, start, parts = zip(*block, strict=True)
+            _, _, doc, start, parts = zip(*block, strict=True)
             ids, a, b, first = _block_spans(np.array(doc), np.array(start), list(parts))
             return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(a), pa.array(b)], ["doc_id", "start", "end"]), first
 
         for batch in batches:
-            rows += zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
+            known = pc.is_valid(batch.column(5))
+            if pc.any(known).as_py():
+                yield batch.filter(known).select(["doc_id", "start", "end"])
+                batch = batch.filter(pc.invert(known))
+            rows += zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)
             while len(rows) - carried > BLOCK:
-                cut = next((k for k in range(len(rows) - 1, carried, -1) if rows[k][0] != rows[k - 1][0]), 0)
+                cut = next((k for k in range(len(rows) - 1, carried, -1) if rows[k][:2] != rows[k - 1][:2]), 0)
                 block = rows[:cut] or rows
                 out, first = work(block)
                 yield out
                 if cut:
                     rows, carried = rows[cut:], 0
-                else:  # one anchor fills the block: its distinct bytes go on, each with its smallest document
+                else:  # one anchor or window fills the block: its distinct bytes go on, each with its smallest document
                     rows = [block[k] for k in first.tolist()]
                     carried = len(rows)
         if rows:
@@ -322,12 +442,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     first = marks.where(f"n >= {SPAN}").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(
         "first < last").select("digest", "first")
     copies = stored(marks.join(first, "digest").where("doc_id > first").select("doc_id", "n").distinct(), "copies")
-    rows = _anchor_rows(docs).repartition("anchor").sortWithinPartitions("anchor", "content", "doc_id")
+    frequent = _frequent(docs)
+    rows = _anchor_rows(docs, frequent).repartition("anchor", "spread").sortWithinPartitions("anchor", "content", "doc_id")
     met = stored(_met(rows), "met")
     starts = met.where("end is null").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
     # Which documents are to be compared is not bounded: texts and places meet in a shuffle.
     found = _packed(docs).join(starts.hint("merge"), "doc_id").select("doc_id", "__packed", "starts")
-    contexts = _contexts(found).repartition("anchor").sortWithinPartitions("anchor", "doc_id")
+    contexts = _contexts(found, frequent).repartition("anchor", "spread").sortWithinPartitions("anchor", "spread", "doc_id")
     whole = copies.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end"))
     spans = _covered(contexts).unionByName(met.where("end is not null")).unionByName(whole)
     return stored(spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")), "repeats")

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -17,6 +18,7 @@ from check_oracles import compare, connect
 from sessionlab.llm.byte_bpe import Encoder, PrefixTable, Ranks, decode_documents, encode_documents
 from sessionlab.llm.embedding_dedup import embedding_components
 from sessionlab.llm.packing import best_plan, cut_documents, pack_pieces, plan_lengths
+from sessionlab.llm import suffix_dedup
 from sessionlab.llm.suffix_dedup import anchors_of, remove_repeats, suffix_sort
 from sessionlab.llm.url_filter import judge_urls
 from sessionlab.llm.vector_search import nearest, walk_cells
@@ -151,6 +153,30 @@ def test_repeated_bytes(spark, monkeypatch, block):
     assert remove_repeats(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("hot,sample", [(0, 1), (10, 3), (40, 2)])
+def test_frequent_anchors_are_dealt_to_many_tasks(spark, monkeypatch, hot, sample):
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", hot)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", sample)
+    rng = random.Random(hot)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(130))
+    tails = ["".join(rng.choice("ijkl") for _ in range(60)) for _ in range(4)]
+    other = lambda: "".join(rng.choice("mnopqrstuvwxyzé") for _ in range(rng.randint(30, 70)))
+    rows = [(i, other() + passage + (rng.choice(tails) if i % 3 == 0 else "") + other()) for i in range(120)]
+    rows += [(1000 + i, other() + passage[:rng.randint(49, 80)] + other()) for i in range(10)] + [(2000, rows[3][1]), (2001, None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r["doc_id"]: bytes(r["kept"]) for r in remove_repeats(df).collect()} == brute_repeats(rows)
+    # Rows that meet: few, though every anchor of the passage is in 130 documents and its edges are different in each.
+    docs = df.where("text is not null")
+    frequent = suffix_dedup._frequent(docs)
+    assert frequent.value.windows
+    met = suffix_dedup._anchor_rows(docs, frequent).groupBy("anchor", "spread").count()
+    assert met.agg(F.max("count")).first()[0] < 45
+    starts = suffix_dedup._anchor_rows(docs, frequent).groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    found = suffix_dedup._packed(docs).join(starts, "doc_id").select("doc_id", "__packed", "starts")
+    assert suffix_dedup._contexts(found, frequent).groupBy("anchor", "spread").count().agg(F.max("count")).first()[0] < 45
+
+
 def test_suffix_sort_and_anchors():
     rng = random.Random(5)
     for depth in (9, 20, 50):
