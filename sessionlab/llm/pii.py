@@ -37,10 +37,11 @@ _CANDIDATES = {
     "ident": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){3,7}(?![A-Za-z0-9])",
     "person": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame)\.?\x20[A-Z][a-z]{2,20}(?![A-Za-z])",
 }
-#: What a text must hold for a pattern to be tried at all.
+#: What a text must hold for a pattern to be tried at all: each match of the pattern implies it.
 _NEEDS = {"email": "contains(text, '@')", "phone": "contains(text, '+')", "ip": "text rlike '[0-9][.][0-9]'",
-          "card": "text rlike '[0-9][0-9 -]{10}'", "secret": "text rlike '[0-9]'", "line": "text rlike '[0-9]{3}-[0-9]{4}'",
-          "ident": "text rlike '[0-9]{4}'", "person": "text rlike '(?:Mr|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame)'"}
+          "card": "text rlike '[0-9][0-9 -]{10}'", "line": "text rlike '[0-9]{3}-[0-9]{4}'",
+          "secret": "text rlike 'AKIA[0-9A-Z]{16}|(?i:password|passwd|secret|token|api[_-]?key) {0,2}[=:]'",
+          "ident": "text rlike '[0-9]{3}-[0-9]{2}-[0-9]|[A-Z]{2}[0-9]{2} ?[0-9A-Z]{4}'", "person": "text rlike '(?:Mr|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame)'"}
 _CONTEXT = 40
 _GAZETTEER = ("password", "passwd", "secret", "token", "key", "akia", "herr", "frau", "madame", "monsieur", "iban")
 _CUES = ("call", "phone", "tel", "contact", "login", "user", "account", "name", "dear", "ssn", "passport")
