@@ -75,6 +75,18 @@ def json_normalize(spark, d):
         "visitId", F.col("hitNumber").try_cast("int").alias("hitNumber"), "`page.pageTitle`", "`appInfo.exitScreenName`", "`transaction.currencyCode`")
 
 
+@query("json_normalize_union", f"""
+WITH {S} SELECT event_id, k, CASE WHEN k % 2 = 0 THEN event_type END AS "a.even", CASE WHEN k % 2 = 1 THEN TRUE END AS "a.b.odd",
+  CASE WHEN k % 3 = 0 THEN 'it''s' END AS third FROM s""")
+def json_normalize_union(spark, d):
+    """Keys that only some rows have."""
+    inner = F.when(F.col("k") % 2 == 0, F.concat(F.lit("'even': '"), "event_type", F.lit("'"))).otherwise(F.lit("'b': {'odd': True, 'e': []}"))
+    third = F.when(F.col("k") % 3 == 0, F.lit(", 'third': \"it's\"")).otherwise(F.lit(""))
+    text = F.concat(F.lit("{'a': {"), inner, F.lit("}"), third, F.lit(", 'none': {}}"))
+    out = N.json_normalize_union(sessions(spark, d).select("event_id", "k", text.alias("t")), "t")
+    return out.select("event_id", "k", "`a.even`", "`a.b.odd`", "third")
+
+
 @query("json_strip_sentinel", f"""
 WITH {FLAT} SELECT "visitId", browser, "operatingSystem", "deviceCategory", "isMobile" FROM flat""")
 def json_strip_sentinel(spark, d):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionlab.functions.columns import ColumnLike, col
-from sessionlab.functions.literals import parse_pyliteral, strip_sentinel
+from sessionlab.functions.literals import PYTHON_QUOTING, parse_pyliteral, pyliteral_to_json, strip_sentinel
 from sessionlab.operators.cleaning import quoted
 
 
@@ -92,6 +92,41 @@ def literal_eval(df: DataFrame, column: str, schema: T.DataType) -> DataFrame:
     return df.withColumn(column, parse_pyliteral(quoted(column), schema))
 
 
+def literal_infer_schema(df: DataFrame, column: str) -> T.DataType:
+    """Union of all keys in a whole column of Python literals, with merged types: one mergeable aggregate. Lists and objects
+    that are empty in all rows are left out; a key that is always None is text."""
+    value = F.from_json(pyliteral_to_json(quoted(column)), "variant", PYTHON_QUOTING)
+    text = df.agg(F.schema_of_variant_agg(value).alias("s")).first()["s"] or "VOID"
+    words = _AS_DDL | {"VOID": "VOID"}
+    return _with_content(T.DataType.fromDDL(_VARIANT_TYPES.sub(lambda m: words.get(m[0], m[0]), text))) or T.StringType()
+
+
+def _with_content(kind: T.DataType) -> T.DataType | None:
+    if isinstance(kind, T.StructType):
+        kinds = {f.name: T.StringType() if isinstance(f.dataType, T.NullType) else _with_content(f.dataType) for f in kind.fields}
+        return T.StructType([T.StructField(n, k) for n, k in kinds.items() if k is not None]) if any(kinds.values()) else None
+    if isinstance(kind, T.ArrayType):
+        inner = _with_content(kind.elementType)
+        return None if inner is None else T.ArrayType(inner)
+    return None if isinstance(kind, T.NullType) else _json_types(kind)
+
+
+def merged_schema(declared: T.DataType, seen: T.DataType) -> T.DataType:
+    """Declared fields with their declared types, then the other fields seen, at every depth."""
+    if isinstance(declared, T.ArrayType) and isinstance(seen, T.ArrayType):
+        return T.ArrayType(merged_schema(declared.elementType, seen.elementType))
+    if not (isinstance(declared, T.StructType) and isinstance(seen, T.StructType)):
+        return declared
+    more = {f.name: f.dataType for f in seen.fields}
+    both = [T.StructField(f.name, merged_schema(f.dataType, more.pop(f.name, f.dataType))) for f in declared.fields]
+    return T.StructType(both + [T.StructField(n, k) for n, k in more.items()])
+
+
+def json_normalize_union(df: DataFrame, column: str) -> DataFrame:
+    """``json_normalize`` of Python-literal text by all keys that occur in any row; a row without a key has NULL."""
+    return json_normalize(literal_eval(df, column, literal_infer_schema(df, column)), column)
+
+
 def empty_array_default(c: ColumnLike) -> Column:
     """``[]`` as ``[{}]``: an array with one empty element, so that every row survives an explode."""
     c = col(c)

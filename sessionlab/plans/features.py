@@ -72,15 +72,16 @@ TWO_LEVEL = FeatureSettings(
 )
 
 
-def typed_sessions(export: DataFrame, is_test: bool, with_lists: bool = False) -> DataFrame:
+def typed_sessions(export: DataFrame, is_test: bool, with_lists: bool = False, hits: T.ArrayType = X.HITS) -> DataFrame:
     """Parse the JSON columns, take the label out, tag the origin, and give each row an id made of its own
     columns. With ``with_lists`` the first custom dimension and the first hit are added in the same row,
-    so there is no join on keys that may repeat."""
+    so there is no join on keys that may repeat. Hits are parsed by the schema ``hits``; lists inside a hit are no features."""
     lists = ["customDimensions", "hits"]
     base = export.drop(*([] if with_lists else lists), "socialEngagementType", "sessionId", "campaignCode")
     if with_lists:
         base = dimension_first(literal_eval(base, "customDimensions", X.DIMENSIONS), "customDimensions")
-        base = base.withColumnRenamed("hits", "hits_text").transform(first_hit_columns)
+        base = base.withColumnRenamed("hits", "hits_text").transform(first_hit_columns, schema=hits)
+        base = K.drop_cols(base, K.columns_of(base, T.ArrayType))
     flat = json_flatten(base, X.JSON_COLUMNS, sep="_")
     row_id = F.concat_ws("_", VISITOR, "visitId", START)
     return flat.withColumns({

@@ -61,6 +61,8 @@ HIT = struct(
     transaction=struct(currencyCode="string"), item=struct(currencyCode="string"),
     social=struct(socialNetwork="string", hasSocialSourceReferral="string", socialInteractionNetworkAction="string"),
     eCommerceAction=struct(action_type="string", step="string"),
+    contentGroup=struct(**{f"{name}{k}": "string" for name in ("contentGroup", "previousContentGroup") for k in range(1, 6)}),
+    exceptionInfo=struct(isFatal="boolean"), promotionActionInfo=struct(promoIsView="boolean", promoIsClick="boolean"),
     product=T.ArrayType(PRODUCT), promotion=T.ArrayType(PROMOTION))
 HITS = T.ArrayType(HIT)
 HIT_NUMBERS = {"hitNumber": "int", "time": "bigint", "hour": "int", "minute": "int"}

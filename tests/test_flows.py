@@ -9,7 +9,7 @@ from sessionlab.catalog import flow_queries
 from sessionlab.catalog.inputs import raw_sessions
 from sessionlab.operators.modelling import BoostSettings, assemble, best_round, fit_boosted
 from sessionlab.plans import hits_flatten, single_level, two_level
-from sessionlab.plans.features import SINGLE_LEVEL, TWO_LEVEL, VISITOR
+from sessionlab.plans.features import SINGLE_LEVEL, TWO_LEVEL, VISITOR, typed_sessions
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +24,26 @@ def test_first_hit_keeps_every_session(parts):
     assert hits_flatten.hits_table(train, test).count() == train.count() + test.count()
 
 
+def test_hit_keys_outside_the_list_are_kept(spark):
+    first = "[{'hitNumber': '1', 'latency': {'ms': 12, 'host': \"it's\"}, 'contentGroup': {'contentGroup1': 'a', 'contentGroup9': 'z'}, 'experiment': []}]"
+    other = "[{'hitNumber': '2', 'exceptionInfo': {'isFatal': True}, 'promotionActionInfo': {'promoIsView': True}, 'publisher': [{'p': 'x'}]}]"
+    frames = [spark.createDataFrame([("v", 5, t)], "fullVisitorId string, visitStartTime long, hits string") for t in (first, other)]
+    out = {r["hitNumber"]: r.asDict() for r in hits_flatten.hits_table(*frames).collect()}
+    assert (out[1]["latency_ms"], out[1]["latency_host"], out[1]["contentGroup_contentGroup1"], out[1]["contentGroup_contentGroup9"]) == (
+        12, "it's", "a", "z")
+    assert out[2]["latency_ms"] is None and out[2]["exceptionInfo_isFatal"] and out[2]["promotionActionInfo_promoIsView"]
+    assert [r["p"] for r in out[2]["publisher"]] == ["x"] and "experiment" not in out[1]
+    empty = [f.limit(0) for f in frames]
+    assert hits_flatten.hits_table(*empty).count() == 0
+
+
+def test_flow_c_parses_all_hit_keys(parts):
+    train, test = (p.withColumn("hits", F.regexp_replace("hits", "'hitNumber'", "'rare': 'r', 'many': ['a'], 'hitNumber'")) for p in parts)
+    out = typed_sessions(train, False, with_lists=True, hits=hits_flatten.hit_schema(train, test))
+    assert out.filter("rare = 'r'").count() == out.filter("hitNumber is not null").count() > 0
+    assert "many" not in out.columns
+
+
 def test_features_do_not_change_the_row_count(parts):
     train, test = parts
     out = single_level.session_features(train, test)
