@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import rows
+from sessionlab.catalog import scalar_queries
 from sessionlab.operators import aggregates as A
 from sessionlab.operators import cleaning as K
 from sessionlab.operators import encoding as E
@@ -176,6 +177,14 @@ def test_lump_and_one_hot(spark):
     assert hot == {(None, (1, 0, 0, 0)), ("a", (0, 1, 0, 0)), ("b", (0, 0, 1, 0)), ("c", (0, 0, 0, 1))}
 
 
+def test_one_hot_query_keeps_a_rare_level(spark, tmp_path):
+    kind = F.when(F.col("id") == 7, "RARE").when(F.col("id") == 8, F.lit(None)).otherwise("ECONOMY")
+    spark.range(20_000).select(F.col("id").alias("p_partkey"), kind.alias("p_type"), (F.col("id") % 40).alias("p_size")).write.parquet(
+        f"{tmp_path}/part.parquet")
+    out = scalar_queries.one_hot(spark, str(tmp_path))
+    assert [r["p_partkey"] for r in out.where("p_typeRARE = 1").collect()] == [7]
+
+
 def test_one_hot_of_more_than_a_thousand_levels(spark):
     df = spark.range(1500).selectExpr("concat('level', id) AS f")
     first = E.one_hot_vector(df, ["f"]).where("f = 'level0'").first()["hot"]
