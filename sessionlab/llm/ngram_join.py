@@ -238,6 +238,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
 
 
 def keep_one_per_component(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents whose doc_id is the smallest of their component, with all their columns."""
-    parts = jaccard_components(docs, words, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(parts, "doc_id", "left_semi")
+    """The documents whose doc_id is the smallest of their component, with all their columns. A row without a
+    doc_id has no place in that order: it is kept and removes nothing."""
+    known = docs.where("doc_id is not null")
+    parts = jaccard_components(known, words, num, den).where("doc_id = component_id").select("doc_id").distinct()
+    return known.join(parts, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -15,7 +15,8 @@ common extension of two suffixes, so one comparison takes the logarithm of SPAN
 bytes by hash are compared byte by byte before they count as equal.
 
 Texts are UTF-8 bytes, null is empty; equal texts are settled by their digest; matches never cross documents. Rows that
-repeat a doc_id with the same text are alike; doc_id is expected to identify a text otherwise.
+repeat a doc_id with the same text are alike; doc_id is expected to identify a text otherwise. A row without a doc_id has no place in the order: it is
+kept whole and covers nothing.
 """
 
 from __future__ import annotations
@@ -437,7 +438,7 @@ def _covered(contexts: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id and ``spans`` (sorted, apart, with start and end) of the bytes to remove; documents that keep all are left out."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     marks = stored(docs.select("doc_id", F.octet_length("text").alias("n"), F.sha2("text", 256).alias("digest")), "digests")
     first = marks.where(f"n >= {SPAN}").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(
         "first < last").select("digest", "first")

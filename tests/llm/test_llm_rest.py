@@ -177,6 +177,13 @@ def test_frequent_anchors_are_dealt_to_many_tasks(spark, monkeypatch, hot, sampl
     assert suffix_dedup._contexts(found, frequent).groupBy("anchor", "spread").count().agg(F.max("count")).first()[0] < 45
 
 
+def test_rows_without_an_id_keep_their_bytes(spark):
+    text = "the same passage of more than fifty bytes, to be found in each of the rows"
+    df = spark.createDataFrame([(None, text), (2, text), (3, f"so: {text}"), (None, None), (None, f"x {text}")], "doc_id long, text string").coalesce(1)
+    got = sorted((r["doc_id"] or 0, bytes(r["kept"]).decode()) for r in remove_repeats(df).collect())
+    assert got == [(0, ""), (0, text), (0, f"x {text}"), (2, text), (3, "so: ")]
+
+
 def test_suffix_sort_and_anchors():
     rng = random.Random(5)
     for depth in (9, 20, 50):
