@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from sessionlab.llm.byte_bpe import decode_documents, encode_documents
 from sessionlab.llm.common import table
+from sessionlab.llm.conversation_repair import damage, repair_report
 from sessionlab.llm.embedding_dedup import embedding_components
 from sessionlab.llm.line_dedup import remove_repeated_lines
 from sessionlab.llm.ngram_join import jaccard_components
 from sessionlab.llm.packing import cut_documents, pack_pieces
+from sessionlab.llm.periodic_runs import find_runs
 from sessionlab.llm.pii import BASE, KINDS, find_personal_data, spans_text
+from sessionlab.llm.sharding import shard_documents
 from sessionlab.llm.suffix_dedup import remove_repeats
 from sessionlab.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -126,3 +129,46 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select(
         "page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def plant_runs(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)``; in one document of ten, by crc32 of its id, words from some place on repeat the first few."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    cut = docs.withColumns({"h": h, "words": F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([^\\x20\\x09-\\x0D]+)"), F.lit(1))})
+    n = F.size("words").cast("long")
+    a = F.pmod(g, n)
+    sized = cut.withColumns({"a": F.when(n > 0, a).cast("int")})
+    sized = sized.withColumn("p", (F.floor((n - F.col("a")) / (F.pmod(g, F.lit(8)) + 3)) + 1).cast("int"))
+    places = F.sequence(F.col("a"), (n - 1).cast("int"))
+    again = F.transform(places, lambda i: F.get("words", F.col("a") + F.pmod(i - F.col("a"), F.col("p"))))
+    return sized.select("doc_id", F.when((F.pmod(F.col("h"), F.lit(10)) == 0) & (n > 0), F.array_join(
+        F.concat(F.slice("words", F.lit(1), F.col("a")), again), " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(plant_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # Longest first; of equal length the one that starts first, then the shorter period.
+    best = F.get(F.array_sort(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period")))), F.lit(0))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(
+        ",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    run = found.withColumn("best", best)
+    return run.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+        (-F.col("best.shorter")).alias("length"), F.col("best.period").alias("period"),
+        F.expr("-best.shorter * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair_report(talks, damage(talks))
