@@ -95,6 +95,30 @@ def scan_chunked(spark, d):
     return _parsed(R.scan_chunked(spark, _export(spark, d, "chunks", 2000), X.SESSIONS_V2))
 
 
+@query("load_pieces", f"""
+WITH {FLAT} SELECT "visitId", "fullVisitorId", "visitStartTime", date, "channelGrouping" FROM flat""")
+def load_pieces(spark, d):
+    """Pieces of one file: a first run stops after two of them, a second one loads the rest, a third finds nothing."""
+    wanted = X.struct(visitId="integer", fullVisitorId="string", visitStartTime="long", date="string", channelGrouping="string")
+    folder, target, log = _export(spark, d, "incoming", 1000), scratch_path(spark, "loaded"), scratch_path(spark, "load-log")
+    R.load_pieces(spark, folder, wanted, target, log, files_per_piece=1, pieces=2)
+    R.load_pieces(spark, folder, wanted, target, log)
+    return R.load_pieces(spark, folder, wanted, target, log)
+
+
+@query("scan_records_over_lines", """
+SELECT doc_id, nullif(text, '') AS text, source, FALSE AS page FROM documents
+UNION ALL SELECT page_id, url, 'web', TRUE FROM pages""")
+def scan_records_over_lines(spark, d):
+    """Texts with line feeds, quotes and commas are written and read back, beside files whose records are lines.
+    A CSV file knows no empty text: it comes back as NULL."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "source", F.lit(False).alias("page"))
+    urls = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("text"), F.lit("web").alias("source"),
+                                           F.lit(True).alias("page"))
+    paths = [Wr.sink_csv(df, scratch_path(spark, "lines")) for df in (docs, urls)]
+    return R.scan_typed_csv(spark, paths, docs.schema)
+
+
 @query("scan_multi", """
 SELECT o_orderkey, o_custkey, o_orderstatus, NULL AS o_orderpriority FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'
 UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, NULL FROM orders

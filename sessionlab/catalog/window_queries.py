@@ -8,7 +8,6 @@ from sessionlab.catalog.aggregate_queries import KURT3, SKEW3, digits_of, rounde
 from sessionlab.catalog.inputs import S, sessions, table
 from sessionlab.catalog.registry import query
 from sessionlab.operators import windows as W
-from sessionlab.operators.skew import fit_slices
 
 _OVER = "OVER (PARTITION BY user_id ORDER BY start, event_id)"
 
@@ -40,10 +39,9 @@ WITH {S} SELECT event_id, round(lag(start, 1) {_OVER} / 3600.0, 6) AS prev_start
   round(lag(start, 2) {_OVER} / 3600.0, 6) AS prev_start_2, round(lead(start, 1) {_OVER} / 3600.0, 6) AS next_start_1,
   round(lead(start, 2) {_OVER} / 3600.0, 6) AS next_start_2 FROM s""")
 def neighbour_session_sliced(spark, d):
-    """The same with a limit so low that every busy visitor is cut into slices."""
+    """The same with a limit so low that the rows are cut into blocks of 20, so that most visitors cross an edge."""
     rows = _visits(spark, d)
-    slices = fit_slices(rows, "user_id", "start", hot_rows=20)
-    out = W.neighbour_sessions(rows, "user_id", "start", ["event_id"], 2, slices=slices).drop("user_id", "start")
+    out = W.neighbour_sessions(rows, "user_id", "start", ["event_id"], 2, hot_rows=20).drop("user_id", "start")
     return rounded(out, *[c for c in out.columns if c != "event_id"], digits=6)
 
 

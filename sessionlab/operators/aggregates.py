@@ -17,7 +17,7 @@ from sessionlab.functions.columns import (
 )
 from sessionlab.operators.cleaning import quoted
 from sessionlab.operators.joins import bounded, left_join_nullsafe
-from sessionlab.operators.skew import COUNTER_VALUES, exact_quantile
+from sessionlab.operators.skew import COUNTER_VALUES, exact_quantiles
 from sessionlab.session import cut_lineage
 
 STATS: dict[str, Callable[[Column], Column]] = {
@@ -36,7 +36,11 @@ STATS: dict[str, Callable[[Column], Column]] = {
 
 
 def count_by(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    return df.groupBy(*_all(keys)).agg(F.count(F.lit(1)).alias(name))
+
+
+def _all(names: Sequence[str]) -> list[Column]:
+    return [quoted(n) for n in names]
 
 
 def stats_by(df: DataFrame, keys: Sequence[str], measures: Sequence[str], stats: Sequence[str],
@@ -50,10 +54,11 @@ def stats_by(df: DataFrame, keys: Sequence[str], measures: Sequence[str], stats:
         STATS[s](quoted(m)).alias(f"{m}_{s}")
         for m in measures for s in stats if not (s == "median" and m in spread)
     ]
-    out = df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
-    for m in spread:
-        out = left_join_nullsafe(out, exact_quantile(df, keys, m, 0.5, f"{m}_median"), keys)
-    return out.select(*keys, *[f"{m}_{s}" for m in measures for s in stats])
+    out = df.groupBy(*_all(keys)).agg(*aggs) if aggs else df.select(*_all(keys)).distinct()
+    if spread:
+        halves = exact_quantiles(df, keys, sorted(spread), [0.5])
+        out = left_join_nullsafe(out, halves.withColumnsRenamed({f"{m}_0": f"{m}_median" for m in spread}), keys)
+    return out.select(*_all(keys), *_all([f"{m}_{s}" for m in measures for s in stats]))
 
 
 def _wide_measures(df: DataFrame, measures: Sequence[str]) -> set[str]:
@@ -101,12 +106,12 @@ def distinct_by(df: DataFrame, keys: Sequence[str], column: str, count_null: boo
                 name: str = "n_distinct") -> DataFrame:
     """Distinct values per group. Spark first removes duplicates on (keys, value), so a hot group is
     spread over tasks by its values."""
-    expr = distinct_with_null(column) if count_null else F.count_distinct(quoted(column))
-    return df.groupBy(*keys).agg(expr.alias(name))
+    expr = distinct_with_null(quoted(column)) if count_null else F.count_distinct(quoted(column))
+    return df.groupBy(*_all(keys)).agg(expr.alias(name))
 
 
 def count_nonnull_by(df: DataFrame, keys: Sequence[str], column: str, name: str = "n") -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(quoted(column)).alias(name))
+    return df.groupBy(*_all(keys)).agg(F.count(quoted(column)).alias(name))
 
 
 # --- many keys at once --------------------------------------------------------------------------------
@@ -124,7 +129,7 @@ def long_group_stats(df: DataFrame, keys: Sequence[str], measures: Sequence[str]
     partial aggregates."""
     text = df.select(*[quoted(k).cast("string").alias(k) for k in keys],
                      *[quoted(m).alias(f"_m_{m}") for m in measures])
-    long = text.unpivot([f"_m_{m}" for m in measures], [quoted(k) for k in keys], "key_name", "key_value")
+    long = text.unpivot(_all([f"_m_{m}" for m in measures]), [quoted(k) for k in keys], "key_name", "key_value")
     long = long.withColumnsRenamed({f"_m_{m}": m for m in measures})
     return stats_by(long, ["key_name", "key_value"], measures, stats, wide)
 
@@ -172,16 +177,16 @@ def attach_distinct_counts(df: DataFrame, keys: Sequence[str], column: str, suff
 def mean_all_by(df: DataFrame, key: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Average of every numeric feature per key."""
     columns = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name != key]
-    return df.groupBy(key).agg(*[F.avg(quoted(c)).alias(c) for c in columns])
+    return df.groupBy(quoted(key)).agg(*[F.avg(quoted(c)).alias(c) for c in columns])
 
 
 def rollup_by(df: DataFrame, key: str, y: str, name: str = "y") -> DataFrame:
-    return df.groupBy(key).agg(rollup_log_sum(y).alias(name))
+    return df.groupBy(quoted(key)).agg(rollup_log_sum(y).alias(name))
 
 
 def pivot_wide(df: DataFrame, key: str, number: str, value: str, count: int, prefix: str = "pred") -> DataFrame:
     """``pred1 .. predN`` per key. The pivot values are given, so no job runs to find them."""
-    wide = df.groupBy(key).pivot(number, list(range(1, count + 1))).agg(F.first(value))
+    wide = df.groupBy(quoted(key)).pivot(quoted(number), list(range(1, count + 1))).agg(F.first(quoted(value)))
     return wide.withColumnsRenamed({str(i): f"{prefix}{i}" for i in range(1, count + 1)})
 
 
@@ -198,7 +203,7 @@ ROW_STATS: Mapping[str, Callable[[Column], Column]] = {
 def rowwise_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     """The statistics across ``pred1 .. predN`` of a key, taken from the at most N long rows that the
     pivot is made of: same values, no row loop."""
-    return df.groupBy(key).agg(*[fn(quoted(value)).alias(name) for name, fn in ROW_STATS.items()])
+    return df.groupBy(quoted(key)).agg(*[fn(quoted(value)).alias(name) for name, fn in ROW_STATS.items()])
 
 
 def error_of(df: DataFrame, prediction: str, label: str) -> DataFrame:

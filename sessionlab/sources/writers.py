@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+# White space around a text is part of it.
+CSV_WRITING = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def sink_csv(df: DataFrame, path: str) -> str:
-    df.write.options(header="true", quote='"', escape='"').csv(path)
+    df.write.options(**CSV_WRITING).csv(path)
     return path
 
 
 def sink_split(df: DataFrame, path: str, rows_per_file: int) -> str:
     """At most ``rows_per_file`` rows in each file; the split happens inside the writing task."""
-    df.write.options(header="true", quote='"', escape='"', maxRecordsPerFile=str(rows_per_file)).csv(path)
+    df.write.options(**CSV_WRITING, maxRecordsPerFile=str(rows_per_file)).csv(path)
     return path
 
 

@@ -30,48 +30,74 @@ def skewed(spark):
     return spark.createDataFrame(data, "visitor string, start long, id long").repartition(4).cache()
 
 
-@pytest.mark.parametrize("limit", [10, 60, 100_000])
-def test_sliced_neighbours_equal_plain_window(skewed, limit):
-    slices = skew.fit_slices(skewed, "visitor", "start", limit)
-    assert (slices.cuts is None) == (limit == 100_000)
-    got = skew.sliced_neighbours(skewed, "visitor", "start", ["id"], 3, 3, slices)
+@pytest.mark.parametrize("limit", [3, 10, 60, 100_000])
+def test_neighbours_across_blocks_equal_plain_window(skewed, limit):
+    got = skew.neighbours_in_order(skewed, "visitor", "start", ["id"], 3, 3, limit)
     w = Window.partitionBy("visitor").orderBy("start", "id")
     want = skewed.withColumns({f"prev_{k}": F.lag("start", k).over(w) for k in (1, 2, 3)}
                               | {f"next_{k}": F.lead("start", k).over(w) for k in (1, 2, 3)})
     assert rows(got.select(*want.columns)) == rows(want)
 
 
-@pytest.mark.parametrize("limit", [10, 60])
-def test_sliced_row_number_equals_plain_window(skewed, limit):
-    slices = skew.fit_slices(skewed, "visitor", "start", limit)
-    got = skew.sliced_row_number(skewed, "visitor", "start", ["id"], "n", slices)
+@pytest.mark.parametrize("limit", [1, 10, 60, 100_000])
+def test_row_number_across_blocks_equals_plain_window(skewed, limit):
+    got = skew.number_in_order(skewed, "visitor", "start", ["id"], "n", limit)
     want = skewed.withColumn("n", F.row_number().over(Window.partitionBy("visitor").orderBy("start", "id")))
     assert rows(got) == rows(want)
 
 
-def test_slices_stay_below_the_limit_without_ties(spark):
-    df = spark.range(5000).select(F.lit("a").alias("k"), F.col("id").alias("t"))
-    slices = skew.fit_slices(df, "k", "t", 500)
-    sizes = [r["n"] for r in skew.with_slice(df, slices).groupBy("_slice").agg(F.count(F.lit(1)).alias("n")).collect()]
-    assert max(sizes) <= 520 and sum(sizes) == 5000
+def test_tied_rows_are_cut_into_blocks(spark):
+    df = spark.range(20_000).select(F.lit("a").alias("k.x"), F.lit(7).alias("t.y"), F.lit("same").alias("z"))
+    sizes = [r["count"] for r in skew.in_order(df, "k.x", "t.y", ["z"], 500).groupBy("_block").count().collect()]
+    assert max(sizes) == 500 and sum(sizes) == 20_000
+    got = skew.number_in_order(df, "k.x", "t.y", ["z"], "n", 500)
+    assert [r[0] for r in got.select("n").orderBy("n").collect()] == list(range(1, 20_001))
+    near = skew.neighbours_in_order(df, "k.x", "t.y", [], 1, 1, 500)
+    assert near.filter("prev_1 is null").count() == near.filter("next_1 is null").count() == 1
 
 
-@pytest.mark.parametrize("accuracy", [20, 10_000])
-@pytest.mark.parametrize("p", [0.0, 0.25, 0.5, 0.9, 1.0])
-def test_exact_quantile(spark, p, accuracy):
-    """A coarse sketch forces the bracket path; the result stays exact."""
+@pytest.mark.parametrize("counters", [50, 100_000])
+@pytest.mark.parametrize("shape", ["even", "tied", "spread"])
+def test_exact_quantiles(spark, shape, counters):
+    """Few counters force the brackets, and their narrowing; the result stays exact."""
     import numpy as np
     rng = random.Random(3)
-    data = [(g, float(rng.randrange(1000))) for g in ("a", "b", None) for _ in range(1 + 600 * (g is not None))]
-    df = spark.createDataFrame(data, "g string, v double")
-    got = {r["g"]: r["quantile"] for r in skew.exact_quantile(df, ["g"], "v", p, accuracy=accuracy).collect()}
+    draw = {"even": lambda: float(rng.randrange(3000)), "tied": lambda: float(rng.choice([0] * 9 + [rng.randrange(500)])),
+            "spread": lambda: rng.choice([-1, 1]) * 10.0 ** rng.uniform(-200, 200)}[shape]
+    data = [(g, draw(), draw() if rng.random() < 0.8 else None) for g in ("a", "b", None) for _ in range(1 + 900 * (g is not None))]
+    df = spark.createDataFrame(data, "`g.x` string, v double, `w.x` double")
+    probabilities = [0.0, 0.5, 0.9]
+    got = {r[0]: r[1:] for r in skew.exact_quantiles(df, ["g.x"], ["v", "w.x"], probabilities, counters).collect()}
     for g in ("a", "b", None):
-        assert got[g] == pytest.approx(float(np.quantile([v for k, v in data if k == g], p)))
+        want = []
+        for column in (1, 2):
+            have = [r[column] for r in data if r[0] == g and r[column] is not None]
+            want += np.quantile(have, probabilities).tolist() if have else [None] * 3
+        assert list(got[g]) == [pytest.approx(x, rel=1e-9) if x is not None else None for x in want]
 
 
 def test_exact_quantile_without_keys(spark):
     df = spark.range(101).select(F.col("id").cast("double").alias("v"))
     assert skew.exact_quantile(df, [], "v", 0.5).first()["quantile"] == 50.0
+    assert skew.exact_quantile(df, [], "v", 0.5, counters=3).first()["quantile"] == 50.0
+    assert skew.global_quantiles(df.limit(0), "v", [0.5]) == []
+
+
+def test_dotted_names(spark):
+    data = [("a", 1.0, 1), ("a", 3.0, 2), (None, 5.0, 3)]
+    df = spark.createDataFrame(data, "`k.x` string, `m.n` double, `t.u` int")
+    assert rows(A.count_by(df, "k.x")) == [("a", 2), (None, 1)]
+    got = A.stats_by(df, ["k.x"], ["m.n"], ["mean", "median", "sum"])
+    assert got.columns == ["k.x", "m.n_mean", "m.n_median", "m.n_sum"] and rows(got) == [("a", 2.0, 2.0, 4.0), (None, 5.0, 5.0, 5.0)]
+    assert rows(A.distinct_by(df, ["k.x"], "m.n")) == [("a", 2), (None, 1)]
+    assert rows(A.count_nonnull_by(df, ["k.x"], "m.n")) == [("a", 2), (None, 1)]
+    assert rows(A.mean_all_by(df, "k.x", ["m.n"])) == [("a", 2.0), (None, 5.0)]
+    assert rows(A.attach_group_stats(df, ["k.x"], ["m.n"], ["max"])) == [("a", 1.0, 1, 3.0), ("a", 3.0, 2, 3.0), (None, 5.0, 3, 5.0)]
+    assert rows(A.attach_distinct_counts(df, ["k.x"], "t.u")) == [("a", 1.0, 1, 2), ("a", 3.0, 2, 2), (None, 5.0, 3, 1)]
+    assert rows(W.group_broadcast(df, "k.x", ["m.n"], ["min"])) == [("a", 1.0, 1, 1.0), ("a", 3.0, 2, 1.0), (None, 5.0, 3, 5.0)]
+    assert W.neighbour_sessions(df, "k.x", "t.u", ["m.n"], 1).count() == 3
+    assert rows(W.row_number_per_key(df, "k.x", "t.u", ["m.n"]).select("`t.u`", "n")) == [(1, 1), (2, 2), (3, 1)]
+    assert W.first_n_per_key(df, "k.x", "t.u", ["m.n"], 1).count() == 2
 
 
 def test_dense_codes(spark):
