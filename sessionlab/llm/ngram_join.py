@@ -1,30 +1,30 @@
 """N-gram Jaccard join: documents whose shingle sets reach a Jaccard similarity, exactly, by skipping work that the
 relations between sets make needless.
 
-Distribution. A set is cut by hash range into more blocks than two linked sets can differ in tokens, so two linked sets
-agree on at least one block that is not empty. The block number, its content and the size class form an index key; sets
-that meet under no key are never compared, whatever single shingles they share. Sets joined by keys, directly or over
-others, form a neighbourhood.
+Index. All sets order their tokens alike: by how often the token's counter was met in the corpus, rare ones first. A set
+is listed under each token of its prefix, so that two linked sets share at least one list. An entry holds the set's size
+and a parity sketch: the bits in which two sketches differ are no more than the tokens in which the sets differ, so most
+pairs of a list are ruled out at once, and a pair is never lost. What is left joins sets into neighbourhoods. Nothing is
+decided here, and sets that share a passage, but too little of it, do not meet.
 
-Join. Inside a neighbourhood (or a pair of its blocks, when it is too large for one task) index lists are walked by
-set size and token position: list blocks outside the sizes and positions that can still reach the overlap are skipped.
-A set that is highly similar to one just answered takes over that set's overlaps and corrects them with the lists of the
-tokens in which the two differ; links that lie inside one component already are not looked at again.
+Join. Inside a neighbourhood (or a pair of its parts, when it is too large for one task) index lists are kept in order of
+the position that a token has in the set. For a set, the blocks of a list whose positions can't begin a link any more are
+skipped; only if some entry remains are overlaps counted, over the larger sets alone. A set that is highly similar to one
+just answered takes over that set's overlaps and corrects them with the lists of the tokens in which the two differ.
 
 Null and empty texts have empty sets and link with nothing; equal sets always link; rows that repeat a doc_id count as
-one document only if their text is the same, else each text links for that doc_id.
+one document only if their text is the same, else each text links for that doc_id. Rows without a doc_id link with nothing
+and have no component.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessionlab.llm.common import chunks, flat_bytes, mix, shingle_sets, stored
@@ -33,44 +33,19 @@ from sessionlab.llm.components import connected_components
 _U = np.uint64
 #: Sets and shingles of one side of a comparison task.
 TILE_SETS, TILE_TOKENS = 4096, 4_000_000
+#: Counters that stand for the frequency of shingles (a fixed size, whatever the corpus).
+COUNTERS = 1 << 16
+#: A list of more entries is joined into one neighbourhood without looking at its pairs.
+LIST_SETS = 4096
+#: Lists up to this length are compared many at a time.
+SHORT = 12
+#: Once a task has met a token about so often, further sets with it are tied together inside the task.
+TASK_SETS = 64
 
 
-class Blocks:
-    """How sets of a size are cut into blocks for the similarity ``num / den``."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.step = math.log(den / num * 1.0001)  # linked sizes lie in one class or in two neighbouring ones
-        # Mean tokens in a block at the smallest size of a class pair; more blocks allow for those empty by chance.
-        fill = (num / den) / ((den - num) / num)
-        self.slack = math.exp(-fill) * 2.5
-
-    def size_class(self, n: int) -> int:
-        return int(math.log(n) / self.step + 1e-9)
-
-    def count(self, c: int) -> tuple[int, int]:
-        """Blocks, and how many of them may be empty, for a smaller set of class c and its partners (class c or c + 1).
-
-        The union of linked sets has at most den / num times the smaller set's tokens, so they differ in at most
-        (den - num) / num times these.
-        """
-        largest = math.exp(self.step * (c + 1)) + 1
-        differ = math.floor(largest * (self.den - self.num) / self.num)
-        spare = 2 + math.ceil(self.slack * differ) if differ else 0
-        return differ + 1 + spare, spare
-
-    def keys(self, tokens: np.ndarray) -> np.ndarray:
-        """Index keys of a set: one for each block that is not empty, as smaller and as larger partner."""
-        c, out = self.size_class(len(tokens)), []
-        for base in ((c - 1, c) if c else (c,)):
-            n, spare = self.count(base)
-            block = ((tokens >> _U(32)) * _U(n)) >> _U(32)
-            cut = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-            content = np.add.reduceat(mix(tokens), cut)
-            out.append(mix(content + block[cut] * _U(0x9E3779B97F4A7C15) + _U((base + 1) * 0x632BE59BD9B4E019 % 2**64)))
-            if n - len(cut) > spare:  # so many empty blocks that a partner may agree on no other: meet such sets
-                out.append(mix(np.array([base + 1], dtype=np.uint64) * _U(0xA0761D6478BD642F)))
-        return np.concatenate(out)
+def prefix_length(n: int, num: int, den: int) -> int:
+    """Tokens of a set of n under which a link of it must be found: it shares num / den of the larger set at least."""
+    return n - -(-n * num // den) + 1
 
 
 def _signature(tokens: np.ndarray) -> tuple[int, int]:
@@ -82,67 +57,233 @@ def _signature(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def shingle_signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, and a 128-bit signature (hi, lo) of each document's shingle set."""
+    """doc_id, n_shingles, and a 128-bit signature (hi, lo) of each document's shingle set; and from each task, rows that
+    say how many sets hold a token of each counter (``counter``, ``met``; null in the documents' rows)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n_shingles", "hi", "lo", "counter", "met"]
+        total = np.zeros(COUNTERS, dtype=np.int64)
         for batch in chunks(batches, "text"):
             sets = list(shingle_sets(*flat_bytes(batch.column("text")), words))
             marks = [_signature(s) for s in sets]
+            total += np.bincount((np.concatenate(sets) % _U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+            none = pa.nulls(len(sets), pa.int64())
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())],
-                names=["doc_id", "n_shingles", "hi", "lo"])
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long")
+                pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), none, none], names=names)
+        used = np.flatnonzero(total)
+        none = pa.nulls(len(used), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(used), pa.array(total[used])], names=names)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        run, "doc_id long, n_shingles long, hi long, lo long, counter long, met long")
 
 
-def _index_entries(docs: DataFrame, words: int, blocks: Blocks) -> DataFrame:
-    """(key, node): index keys of each set, once for each set and task; the node is the low half of its signature."""
+def _counters(marks: DataFrame) -> np.ndarray:
+    """How many sets hold a token of each counter, over all documents; ``COUNTERS`` numbers reach the driver."""
+    found = marks.where("counter is not null").groupBy("counter").agg(F.sum("met").alias("met")).toPandas()
+    out = np.zeros(COUNTERS, dtype=np.int64)
+    out[found["counter"].to_numpy(dtype=np.int64)] = found["met"].to_numpy(dtype=np.int64)
+    return out
+
+
+def sketch_of(tokens: np.ndarray) -> np.ndarray:
+    """256 parity bits as four words; a set of at most 256 tokens uses the first two only."""
+    width = 128 if len(tokens) <= 256 else 256
+    place = (mix(tokens) >> _U(40)).astype(np.int64) % width
+    bits = np.bincount(place, minlength=256) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.uint64)
+
+
+def sketches_differ(a: np.ndarray, b: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """Bits in which sketches differ (rows of four words); ``wide`` says where both sets have all four."""
+    def folded(x: np.ndarray) -> np.ndarray:
+        return x[..., :2] ^ x[..., 2:]
+    narrow = np.bitwise_count(folded(a) ^ folded(b)).sum(axis=-1, dtype=np.int64)
+    full = np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+    return np.where(wide, full, narrow)
+
+
+def _index_entries(docs: DataFrame, words: int, num: int, den: int, counted: np.ndarray) -> DataFrame:
+    """(key, kind, node, size, four words of sketch): the entries of the index lists, once for each set and task.
+
+    Kind 1 is an entry. Where a task has met a token very often, it ties the sets it meets from then on to the first of
+    these: kind 2 says that ``key`` and ``node`` are two such sets; kind 0 is that first one's entry, which stands for all
+    of them and joins the whole list."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        met = np.zeros(1 << 21, dtype=np.int32)
+        first: dict[int, int] = {}
         for batch in chunks(batches, "text"):
-            keys, nodes = [], []
+            keys, nodes, sizes, sketches = [], [], [], []
             for s in shingle_sets(*flat_bytes(batch.column("text")), words):
+                if not len(s):
+                    continue
                 node = _signature(s)[1]
-                if len(s) and node not in seen:
-                    seen.add(node)
-                    keys.append(blocks.keys(s))
-                    nodes.append(np.full(len(keys[-1]), node, dtype=np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
-    return docs.select("text").mapInArrow(run, "key long, node long")
+                if node in seen:
+                    continue
+                seen.add(node)
+                rare = counted[(s % _U(COUNTERS)).astype(np.int64)]
+                prefix = s[np.lexsort((s, rare))[:prefix_length(len(s), num, den)]]
+                keys.append(prefix)
+                nodes.append(np.full(len(prefix), node, dtype=np.int64))
+                sizes.append(np.full(len(prefix), len(s), dtype=np.int32))
+                sketches.append(np.broadcast_to(sketch_of(s), (len(prefix), 4)))
+            if not keys:
+                continue
+            key, node, size, sketch = (np.concatenate(x) for x in (keys, nodes, sizes, sketches))
+            slot = (key % _U(len(met))).astype(np.int64)
+            often = met[slot] >= TASK_SETS
+            np.add.at(met, slot, 1)
+            key, kind = key.view(np.int64).copy(), np.ones(len(key), dtype=np.int8)
+            for i in np.flatnonzero(often).tolist():
+                stands = first.setdefault(int(key[i]), int(node[i]))
+                if stands == node[i]:
+                    kind[i] = 0
+                else:
+                    key[i], kind[i] = stands, 2
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key), pa.array(kind), pa.array(node), pa.array(size),
+                 *[pa.array(np.ascontiguousarray(sketch[:, w]).view(np.int64)) for w in range(4)]],
+                names=["key", "kind", "node", "size", "s0", "s1", "s2", "s3"])
+    return docs.select("text").mapInArrow(
+        run, "key long, kind byte, node long, size int, s0 long, s1 long, s2 long, s3 long")
+
+
+def _may_link(size: np.ndarray, other: np.ndarray, differ: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of these sizes (the first not larger) may link if they differ in ``differ`` tokens at least."""
+    both = size + other
+    # The overlap o must be num / den of the union both - o; the sets then differ in both - 2 * o tokens.
+    overlap = -(-num * both // (num + den))
+    return (other * num <= size * den) & (differ <= both - 2 * overlap)
+
+
+def _list_links(node: np.ndarray, size: np.ndarray, sketch: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Pairs that join the sets of one list (in order of size) wherever two of them may link; not all such pairs."""
+    label = np.arange(len(node))
+    for i in range(len(node) - 1):
+        rest = i + 1 + np.flatnonzero(label[i + 1:] != label[i])
+        if not len(rest):
+            if (label == label[i]).all():
+                return
+            continue
+        wide = (size[rest] > 256) & (size[i] > 256)
+        hits = rest[_may_link(size[i], size[rest],
+                              sketches_differ(sketch[i], sketch[rest], wide), num, den)]
+        for j in hits.tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                yield int(node[i]), int(node[j])
+
+
+def candidate_links(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): pairs of sets that hold together all sets which may link, from the index lists.
+
+    A task reads its lists one after another, sorted; short lists are compared together, and one of more than ``LIST_SETS``
+    entries, or with an entry that stands for many, is joined as it streams by."""
+    dealt = entries.repartition("key").sortWithinPartitions("key", "kind", "size", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # columns of the list that the last batch may not have ended
+        star: tuple[int, int] | None = None  # (key, node) of a list that is joined as it streams by
+        for batch in batches:
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names]
+            cols = [np.concatenate((h, c)) for h, c in zip(held, cols, strict=True)] if held else cols
+            key, kind = cols[0], cols[1]
+            a, b = [key[kind == 2]], [cols[2][kind == 2]]
+            cols = [c[kind < 2] for c in cols]
+            key, kind, node, size = cols[:4]
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+            ends = np.append(starts[1:], len(key))
+            held, left, right = [], [], []
+            for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
+                if star and star[0] != key[lo]:
+                    star = None
+                if star or kind[lo] == 0 or hi - lo > LIST_SETS:
+                    star = star or (int(key[lo]), int(node[lo]))
+                    a.append(np.full(hi - lo, star[1]))
+                    b.append(node[lo:hi])
+                elif hi == len(key):
+                    held = [c[lo:hi] for c in cols]
+                elif hi - lo > 1:
+                    left.append(lo)
+                    right.append(hi)
+            yield from _compared(cols, left, right, a, b, num, den)
+        if held and len(held[0]) > 1:
+            yield from _compared(held, [0], [len(held[0])], [], [], num, den)
+    return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def _compared(cols: list[np.ndarray], left: list[int], right: list[int], a: list[np.ndarray], b: list[np.ndarray],
+              num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The links of the lists [left, right) of a batch, after the given ones; short lists of one length are compared at once."""
+    node, size = cols[2], cols[3].astype(np.int64)
+    sketch = np.column_stack([c.view(np.uint64) for c in cols[4:8]]) if len(node) else np.zeros((0, 4), np.uint64)
+    lo, hi = np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+    for k in range(2, SHORT + 1):
+        begin = lo[hi - lo == k]
+        if not len(begin):
+            continue
+        x, y = (begin[:, None] + t[None, :] for t in np.triu_indices(k, 1))
+        wide = (size[x] > 256) & (size[y] > 256)
+        ok = _may_link(size[x], size[y], sketches_differ(sketch[x], sketch[y], wide), num, den)
+        ok[ok[:, :k - 1].all(axis=1), k - 1:] = False  # the smallest set joins them all
+        a.append(node[x[ok]])
+        b.append(node[y[ok]])
+    long = hi - lo > SHORT
+    for i, j in zip(lo[long].tolist(), hi[long].tolist(), strict=True):
+        pairs = list(_list_links(node[i:j], size[i:j], sketch[i:j], num, den))
+        a.append(np.array([p[0] for p in pairs], dtype=np.int64))
+        b.append(np.array([p[1] for p in pairs], dtype=np.int64))
+    if a:
+        found = np.unique(np.column_stack((np.concatenate(a), np.concatenate(b))), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)], names=["a", "b"])
 
 
 def _tokens(docs: DataFrame, words: int) -> DataFrame:
+    """``docs`` with ``tokens`` in place of ``text``, only the rows whose set is the one their ``node`` names."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            sets = [s.tobytes() for s in shingle_sets(*flat_bytes(batch.column("text")), words)]
+            sets = list(shingle_sets(*flat_bytes(batch.column("text")), words))
+            own = np.array([_signature(s)[1] for s in sets], dtype=np.int64) == batch.column("node").to_numpy()
             place = batch.schema.get_field_index("text")
-            yield batch.set_column(place, "tokens", pa.array(sets, pa.binary()))
+            yield batch.set_column(place, "tokens", pa.array([s.tobytes() for s in sets], pa.binary())).filter(pa.array(own))
     kept = [f"{n} {t}" for n, t in docs.dtypes if n != "text"]
     return docs.select(*[n for n in docs.columns if n != "text"], "text").mapInArrow(
         run, ", ".join([*kept, "tokens binary"]))
 
 
-def skip_join(sets: list[np.ndarray], num: int, den: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links (indices) between sorted token sets with Jaccard similarity num / den or more: a spanning forest of them.
+def skip_join(sets: list[np.ndarray], num: int, den: int, left: np.ndarray | None = None,
+              weights: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links between sorted token sets with Jaccard similarity num / den or more: a spanning forest of them (indices), and
+    the weight of the sets that each set links with.
 
-    ``left`` marks two sides; then only links from one side to the other are looked for, apart from equal sets.
+    ``left`` marks two sides; then only links from one side to the other are looked for.
     """
     order = np.array(sorted(range(len(sets)), key=lambda i: len(sets[i])), dtype=np.int64)
     sets = [sets[i] for i in order]
     side = None if left is None else np.asarray(left)[order]
+    weight = np.ones(len(sets), dtype=np.int64) if weights is None else np.asarray(weights, dtype=np.int64)[order]
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     _, token, count = np.unique(flat, return_inverse=True, return_counts=True)
-    # Index lists hold sets in order of size; tokens in the order of their frequency, rare ones first.
+    # Tokens in the order of their frequency, rare ones first; the place of a token in its set is its position.
     rank = np.empty(len(count), dtype=np.int64)
     rank[np.argsort(count, kind="stable")] = np.arange(len(count))
     token = rank[token]
-    starts = np.concatenate(([0], np.cumsum(np.bincount(token, minlength=len(count)))))
-    lists = owner[np.argsort(token, kind="stable")]
     ends = np.concatenate(([0], np.cumsum(sizes)))
-    own = [np.sort(token[ends[i]:ends[i + 1]]) for i in range(len(sets))]
+    by_set = np.lexsort((token, owner))
+    token = token[by_set]
+    position = np.arange(len(token)) - np.repeat(ends[:-1], sizes)
+    own = [token[ends[i]:ends[i + 1]] for i in range(len(sets))]
+    lists = owner[np.argsort(token, kind="stable")]  # per token, its sets in order of size
+    starts = np.concatenate(([0], np.cumsum(np.bincount(token, minlength=len(count)))))
+    # The prefix index: per token, sets in order of the position that the token has in them.
+    early = position < sizes[owner] - -(-sizes[owner] * num // den) + 1
+    p_token, p_set, p_place = token[early], owner[early], position[early]
+    by_place = np.lexsort((p_place, p_token))
+    p_set, p_place = p_set[by_place], p_place[by_place]
+    p_starts = np.concatenate(([0], np.cumsum(np.bincount(p_token, minlength=len(count)))))
     parent = np.arange(len(sets))
+    links = np.zeros(len(sets), dtype=np.int64)
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -150,91 +291,116 @@ def skip_join(sets: list[np.ndarray], num: int, den: int, left: np.ndarray | Non
             i = parent[i]
         return i
 
-    def walk(tokens: np.ndarray, into: np.ndarray, sign: int, last: int) -> None:
+    def walk(tokens: np.ndarray, into: np.ndarray, sign: int, after: int) -> None:
         for t in tokens.tolist():
             part = lists[starts[t]:starts[t + 1]]
-            into[part[:np.searchsorted(part, last)] if last < len(sets) else part] += sign  # a list holds a set once
+            into[part[np.searchsorted(part, after, side="right"):]] += sign  # a list holds a set once
+
+    def begins(i: int, n: int, last: int) -> bool:
+        """Whether a list block of the set's prefix holds a larger set that may still link."""
+        reach = n * (den - num) // num  # no set of this size or more has a first common token beyond
+        for p, t in enumerate(own[i][:prefix_length(n, num, den)].tolist()):
+            a, b = p_starts[t], p_starts[t + 1]
+            if b - a < 2:
+                continue
+            b = a + int(np.searchsorted(p_place[a:b], reach, side="right"))  # later blocks are skipped
+            j, q = p_set[a:b], p_place[a:b]
+            m = sizes[j]
+            if ((j > i) & (j < last) & ((1 + np.minimum(n - p, m - q) - 1) * (num + den) >= num * (n + m))).any():
+                return True
+        return False
 
     forest, overlaps, held = [], None, None
     for i in range(len(sets)):
         n = int(sizes[i])
         if not n:
             continue
-        last = int(np.searchsorted(sizes, n * den // num, side="right"))  # sizes beyond are skipped in every list
+        last = int(np.searchsorted(sizes, n * den // num, side="right"))  # sizes beyond can't link
         answer = None
         if held is not None:
             gone = np.setdiff1d(own[held], own[i], assume_unique=True)
             new = np.setdiff1d(own[i], own[held], assume_unique=True)
             if len(gone) + len(new) <= n // 2:  # highly similar: derive this set's overlaps from the other's
-                answer = overlaps
-                walk(gone, answer, -1, len(sets))
-                walk(new, answer, 1, len(sets))
-                held = i
+                answer, held = overlaps, i
+                walk(gone, answer, -1, i)
+                walk(new, answer, 1, i)
         if answer is None:
-            # Positions after the prefix cannot begin a link: skip them unless the prefix meets another larger set.
-            prefix = own[i][:n - -(-n * num // den) + 1]
-            if not any(starts[t + 1] - starts[t] > 1 and lists[starts[t + 1] - 1] > i for t in prefix.tolist()):
+            if not begins(i, n, last):
                 continue
             answer = np.zeros(len(sets), dtype=np.int32)
-            walk(own[i], answer, 1, len(sets))
+            walk(own[i], answer, 1, i)
             held, overlaps = i, answer
         both = answer[i + 1:last]
         hits = np.flatnonzero(both * den >= num * (n + sizes[i + 1:last] - both)) + i + 1
         if side is not None:
             hits = hits[side[hits] != side[i]]
+        links[i] += weight[hits].sum()
+        links[hits] += weight[i]
         for j in hits.tolist():
             a, b = find(i), find(j)
             if a != b:
                 parent[max(a, b)] = min(a, b)
                 forest.append((int(order[i]), int(order[j])))
-    return forest
+    out = np.zeros(len(sets), dtype=np.int64)
+    out[order] = links
+    return forest, out
 
 
 def _neighbourhood_links(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Forest links (a, b) of the sets (doc_id, group, parts, tokens): every pair of a group's parts is one task's work."""
-    tiled = sets.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn(
+    """Of the sets (doc_id, weight, group, parts, node, tokens): forest links (a, b), and rows (a, null, n) that add to the
+    number of documents a set links with. Every pair of a group's parts is one task's work, and every pair of sets belongs
+    to one of them."""
+    tiled = sets.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn(
         "other", F.explode(F.expr("sequence(0, parts - 1)"))).select(
-        "doc_id", "tokens", "group", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+        "doc_id", "weight", "tokens", "node", "group", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id", ignore_index=True)
+        pdf = pdf.drop_duplicates("node").sort_values("node", ignore_index=True)
         left = None if pdf["low"].iat[0] == pdf["high"].iat[0] else (pdf["part"] == pdf["low"]).to_numpy()
-        found = skip_join([np.frombuffer(x, dtype=np.uint64) for x in pdf["tokens"]], num, den, left)
+        found, links = skip_join([np.frombuffer(x, dtype=np.uint64) for x in pdf["tokens"]], num, den, left, pdf["weight"].to_numpy())
         ids = pdf["doc_id"].to_numpy()
         a, b = (np.array([x[k] for x in found], dtype=np.int64) for k in (0, 1))
-        return pd.DataFrame({"a": ids[a], "b": ids[b]})
+        some = np.flatnonzero(links)
+        return pd.concat([
+            pd.DataFrame({"a": ids[a], "b": pd.array(ids[b], dtype="Int64"), "n": pd.array([pd.NA] * len(a), dtype="Int64")}),
+            pd.DataFrame({"a": pdf["node"].to_numpy()[some], "b": pd.array([pd.NA] * len(some), dtype="Int64"),
+                          "n": pd.array(links[some], dtype="Int64")})], ignore_index=True)
 
-    return tiled.groupBy("group", "low", "high").applyInPandas(run, "a long, b long")
+    return tiled.groupBy("group", "low", "high").applyInPandas(run, "a long, b long, n long")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of ``docs(doc_id, text)``.
+    """doc_id, n_shingles, component_id, n_links of each row of ``docs(doc_id, text)``.
 
     Two documents link when den * intersection >= num * union of their distinct ``words``-word shingles. component_id is
-    the smallest doc_id reachable by links, itself included. No link between different sets is lost and nothing is
-    capped; equal sets are represented by their smallest doc_id.
+    the smallest doc_id reachable by links, itself included; n_links the number of other rows linked directly. No link
+    between different sets is lost and nothing is capped; equal sets are represented by their smallest doc_id.
     """
     docs = docs.select("doc_id", "text")
-    blocks = Blocks(num, den)
-    marks = stored(shingle_signatures(docs, words), "signatures")
-    by_key = W.partitionBy("key").orderBy("node").rowsBetween(W.unboundedPreceding, 0)
-    met = (_index_entries(docs, words, blocks).withColumn("least", F.min("node").over(by_key))
-           .where("least != node").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
-    near = connected_components(met)
-    classes = marks.groupBy("hi", "lo").agg(
-        F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"))
+    seen = stored(shingle_signatures(docs, words), "signatures")
+    marks = seen.where("counter is null")
+    known = docs.where("doc_id is not null")
+    entries = _index_entries(known, words, num, den, _counters(seen))
+    near = connected_components(candidate_links(entries, num, den))
+    classes = marks.where("doc_id is not null").groupBy("hi", "lo").agg(
+        F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("weight"))
     near_sets = classes.join(near, classes["lo"] == near["node"]).where("n_shingles > 0").select(
-        "doc_id", "n_shingles", F.col("component").alias("group"))
+        "doc_id", "n_shingles", "weight", "node", F.col("component").alias("group"))
     parts = near_sets.groupBy("group").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("t")).where("m > 1").select(
         "group", F.greatest(F.ceil(F.col("m") / TILE_SETS), F.ceil(F.col("t") / TILE_TOKENS)).cast("int").alias("parts"))
-    members = stored(near_sets.join(parts, "group").select("doc_id", "group", "parts").distinct(), "members")
+    members = stored(near_sets.join(parts, "group").select("doc_id", "weight", "node", "group", "parts").distinct(), "members")
     # How many ids lie in neighbourhoods grows with the input: texts and ids meet in a shuffle at every size.
-    sets = _tokens(docs.join(members.hint("merge"), "doc_id"), words)
-    found = connected_components(_neighbourhood_links(sets, num, den))
-    label = classes.join(found, classes["doc_id"] == found["node"], "left").select(
-        "hi", "lo", F.coalesce("component", classes["doc_id"]).alias("component_id"))
-    return marks.join(label, ["hi", "lo"]).select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    sets = _tokens(known.join(members.hint("merge"), "doc_id"), words)
+    found = stored(_neighbourhood_links(sets, num, den), "set-links")
+    tied = connected_components(found.where("b is not null").select("a", "b"))
+    counts = found.where("b is null").groupBy(F.col("a").alias("lo_")).agg(F.sum("n").alias("n"))
+    label = classes.join(tied, classes["doc_id"] == tied["node"], "left").join(counts, F.col("lo") == F.col("lo_"), "left").select(
+        "hi", "lo", F.coalesce("component", classes["doc_id"]).alias("component_id"),
+        (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    linked = marks.where("doc_id is not null and n_shingles > 0").join(label, ["hi", "lo"]).select(
+        "doc_id", "n_shingles", "component_id", "n_links")
+    return linked.unionByName(marks.where("doc_id is null or n_shingles = 0").select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def keep_one_per_component(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sessionlab.llm import pii
 from sessionlab.llm.components import connected_components
 from sessionlab.llm.line_dedup import remove_repeated_lines
-from sessionlab.llm.ngram_join import Blocks, jaccard_components, keep_one_per_component, skip_join
+from sessionlab.llm.ngram_join import jaccard_components, keep_one_per_component, prefix_length, sketch_of, sketches_differ, skip_join
 from sessionlab.llm.toxicity import OrdinalModel, fit_ordinal, fit_toxicity, reject_toxic, score_toxicity
 
 WORDS = [f"w{k}" for k in range(60)]
@@ -41,6 +41,11 @@ def brute_components(rows, k, num):
     return label([i for i, _ in rows], links)
 
 
+def brute_links(rows, k, num):
+    sets = [(i, shingles(t, k)) for i, t in rows]
+    return {i: sum(100 * len(a & b) >= num * len(a | b) for m, (_, b) in enumerate(sets) if m != n and a and b) for n, (i, a) in enumerate(sets)}
+
+
 def documents(seed, n=120):
     rng = np.random.default_rng(seed)
     base = [" ".join(rng.choice(WORDS, rng.integers(1, 90))) for _ in range(12)]
@@ -61,21 +66,50 @@ def test_components_match_brute_force(spark, words, num):
     assert len(got) == len(rows)
     want = brute_components(rows, words, num)
     assert {i: r["component_id"] for i, r in got.items()} == want
+    assert {i: r["n_links"] for i, r in got.items()} == brute_links(rows, words, num)
     assert {i: r["n_shingles"] for i, r in got.items()} == {i: len(shingles(t, words)) for i, t in rows}
 
 
-def test_large_neighbourhood_is_split_without_loss(spark, monkeypatch):
-    monkeypatch.setattr("sessionlab.llm.ngram_join.TILE_SETS", 7)
+@pytest.mark.parametrize("limits", [{"TILE_SETS": 7}, {"TASK_SETS": 0}, {"TASK_SETS": 2}, {"LIST_SETS": 3}, {"SHORT": 1}, {"COUNTERS": 4},
+                                    {"TILE_SETS": 5, "TASK_SETS": 3, "LIST_SETS": 6, "SHORT": 2, "COUNTERS": 64}])
+def test_splitting_loses_nothing(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(f"sessionlab.llm.ngram_join.{name}", value)
     rows = documents(9)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in jaccard_components(df, 3, 80, 100).collect()}
+    assert {i: r["component_id"] for i, r in got.items()} == brute_components(rows, 3, 80)
+    assert {i: r["n_links"] for i, r in got.items()} == brute_links(rows, 3, 80)
+
+
+def test_documents_around_one_passage(spark):
+    """All share a passage; only those that share nearly all link. Sets of both sketch widths."""
+    rng = np.random.default_rng(6)
+    passage = [f"p{k}" for k in range(90)]
+    rows = []
+    for i in range(60):
+        words = [f"d{i // 3}x{k}" for k in range(int(rng.choice([10, 60, 250, 400])) if i % 3 == 0 else last)]
+        last = len(words)
+        body = words[:last // 2] + passage + words[last // 2:]
+        body[int(rng.integers(len(body)))] = f"own{i}"
+        rows.append((i, " ".join(body)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in jaccard_components(df, 5, 80, 100).collect()}
+    assert {i: r["component_id"] for i, r in got.items()} == brute_components(rows, 5, 80)
+    assert {i: r["n_links"] for i, r in got.items()} == brute_links(rows, 5, 80)
+
+
+def test_rows_without_an_id_link_with_nothing(spark):
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f"), (5, "a b c d e f"), (5, "something else here to read now")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in jaccard_components(df, 3, 90, 100).collect()}
-    assert got == brute_components(rows, 3, 90)
+    got = sorted((tuple(r) for r in jaccard_components(df, 3, 90, 100).collect()), key=str)
+    assert got == sorted([(None, 4, None, 0), (None, 4, None, 0), (4, 4, 4, 1), (5, 4, 4, 1), (5, 4, 5, 0)], key=str)
 
 
 def test_repeated_rows_and_empty_table(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert [tuple(r) for r in jaccard_components(df, 3, 90, 100).collect()] == [(1, 4, 1), (1, 4, 1), (2, 4, 1)]
+    assert [tuple(r) for r in jaccard_components(df, 3, 90, 100).collect()] == [(1, 4, 1, 2), (1, 4, 1, 2), (2, 4, 1, 2)]
     assert jaccard_components(df.limit(0), 3, 90, 100).collect() == []
 
 
@@ -87,26 +121,32 @@ def test_keep_one_keeps_all_columns_and_clean_documents(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 9, 11]
 
 
-def test_blocks_leave_no_linked_sets_apart():
+def test_prefixes_and_sketches_keep_linked_sets_together():
     rng = np.random.default_rng(4)
     for num in (60, 80, 90, 95):
-        blocks = Blocks(num, 100)
         for _ in range(300):
-            n = int(rng.integers(1, 400))
+            n = int(rng.integers(1, 700))
             x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
             gone = int(rng.integers(0, max(1, n * (100 - num) // num) + 1))
             y = np.unique(np.concatenate([x[gone // 2:], rng.integers(0, 2**63, gone - gone // 2, dtype=np.uint64)]))
             both = len(np.intersect1d(x, y))
             if len(y) and 100 * both >= num * (len(x) + len(y) - both):
-                assert set(blocks.keys(x).tolist()) & set(blocks.keys(y).tolist())
+                assert set(x[:prefix_length(len(x), num, 100)].tolist()) & set(y[:prefix_length(len(y), num, 100)].tolist())
+                wide = np.array(len(x) > 256 and len(y) > 256)
+                assert sketches_differ(sketch_of(x), sketch_of(y), wide) <= len(x) + len(y) - 2 * both
 
 
-def test_skip_join_forest_connects_what_links_connect():
+@pytest.mark.parametrize("sides", [False, True])
+def test_skip_join_finds_every_link(sides):
     rng = np.random.default_rng(8)
     base = rng.integers(0, 300, 60)
-    sets = [np.unique(np.where(rng.random(60) < 0.05, rng.integers(0, 300, 60), base)).astype(np.uint64) for _ in range(80)]
-    links = [(i, j) for i in range(80) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j]))]
-    assert label(range(80), skip_join(sets, 90, 100)) == label(range(80), links)
+    sets = [np.unique(np.where(rng.random(60) < 0.05, rng.integers(0, 300, 60), base)).astype(np.uint64)[:rng.integers(20, 60)] for _ in range(80)]
+    weights, left = rng.integers(1, 5, 80), (rng.random(80) < 0.5 if sides else None)
+    links = [(i, j) for i in range(80) for j in range(i) if (left is None or left[i] != left[j])
+             and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+    forest, counts = skip_join(sets, 80, 100, left, weights)
+    assert links and label(range(80), forest) == label(range(80), links)
+    assert counts.tolist() == [sum(int(weights[b]) for a, b in links + [(y, x) for x, y in links] if a == i) for i in range(80)]
 
 
 def test_connected_components_of_path_star_and_noise(spark):
