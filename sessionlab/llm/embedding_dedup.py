@@ -91,6 +91,9 @@ def _smallest_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def embedding_components(rows: DataFrame, threshold: float = 0.95) -> DataFrame:
     """vec_id, n_links (other vectors linked directly) and component_id (smallest vec_id reachable) of each row.
 
+    A row without a vec_id links with nothing and has no component; rows that repeat a vec_id count as one vector, which links
+    by each of their embeddings.
+
     The number of block pairs grows with the square of the vectors, as comparing all of them must; what a task holds is
     bounded by two blocks, and what it returns are counts and a star for each of its components, never its pairs.
     """
@@ -117,10 +120,13 @@ def embedding_components(rows: DataFrame, threshold: float = 0.95) -> DataFrame:
         rotate, "vec_id long, copies long, x binary, z binary, first double"), "rotated")
     blocks = -(-head["n"] // BLOCK)
     cuts = rotated.stat.approxQuantile("first", [k / blocks for k in range(1, blocks)], 0.1 / blocks) if blocks > 1 else []
-    block = F.lit(0)
-    for k in range(0, len(cuts), 1):
-        block = block + (F.col("first") > F.lit(cuts[k])).cast("int")
-    dealt = rotated.withColumn("block", block)
+    edges = np.array(cuts, dtype=float)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = np.searchsorted(edges, batch.column("first").to_numpy(zero_copy_only=False), side="left")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place.astype(np.int32))], [*batch.schema.names, "block"])
+    dealt = rotated.mapInArrow(deal, "vec_id long, copies long, x binary, z binary, first double, block int")
     ranges = dealt.groupBy("block").agg(F.min("first").alias("low"), F.max("first").alias("high"))
     # Unit vectors whose first coordinates are a and b have a cosine of at most cos(acos a - acos b).
     angle = lambda c: F.acos(F.greatest(F.least(F.col(c), F.lit(1.0)), F.lit(-1.0)))

@@ -4,7 +4,8 @@ Lines end at a line feed; blanks, tabs and carriage returns around them don't co
 neither belong to a window nor are removed. A window occurs later if its first occurrence has a smaller doc_id, or the
 same one and an earlier place. All lines that later occurrences cover are removed together, overlaps merged; windows are
 judged on the input. Null text is empty; documents with fewer than three lines stay as they are; rows that repeat a
-doc_id are treated as one document, so each loses what lies in it again.
+doc_id are treated as one document, so each loses what lies in it again. A row without a doc_id has no place in the order of
+documents: it is kept whole and removes nothing.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ def remove_repeated_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     Columns that bear the helper names are kept apart: ``n_removed`` is replaced.
     """
     docs = docs.drop("n_removed")
-    windows = stored(line_windows(docs, width), "line-windows")
+    windows = stored(line_windows(docs.where("doc_id is not null"), width), "line-windows")
     later = later_windows(windows).select(F.col("doc_id").alias("__doc"), F.col("places").alias("__places"))
     joined = docs.join(later, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
 

@@ -218,8 +218,11 @@ def spans_text(spans: Column) -> Column:
 
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind in brackets; overlapping spans become one mask."""
-    found = find_personal_data(docs)
+    """``docs`` with every span of ``text`` replaced by its kind in brackets; overlapping spans become one mask.
+
+    All columns are kept, whatever their names."""
+    others = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    found = find_personal_data(docs.withColumnsRenamed(others))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -232,4 +235,5 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
 
     done = F.aggregate("spans", start, step, lambda acc: F.concat(
         acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(F.col("text"))).select(docs.columns)
+    return found.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(F.col("text"))).select(
+        *[F.col(others.get(c, c)).alias(c) for c in docs.columns])

@@ -25,6 +25,8 @@ from sessionlab.llm.common import chunks, texts, widened
 FIT_ROWS = 12_000
 #: Words that may carry a weight; those that tell grades apart best.
 VOCABULARY = 2_000
+#: From which correlation with the label on (z by the root of the rows) a word marks a text as strongly toxic.
+STRONG = 0.15
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -93,10 +95,11 @@ def _marked_words(counts: DataFrame, low: float, high: float, least: float, limi
 def sample_rows(docs: DataFrame, labels: DataFrame, grade: str, rows: int = FIT_ROWS) -> DataFrame:
     """At most ``rows`` labelled rows (row, grade, text): labels by the hash of doc_id, joined to their documents.
 
-    Labels without a grade or a document are left out. The ids are bounded by ``rows``, so they can be broadcast.
+    Labels without a grade, an id or a document are left out; of labels that conflict the highest grade counts; rows that repeat
+    a doc_id are one document here. The ids are bounded by ``rows``, so they can be broadcast.
     """
     chosen = (labels.where(F.expr(grade).isNotNull()).select("doc_id", F.expr(grade).cast("int").alias("grade"))
-              .dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+              .groupBy("doc_id").agg(F.max("grade").alias("grade")).where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
         F.col("doc_id").alias("row"), "grade", "text")
 
@@ -161,7 +164,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, vocab
     row = np.array([rows_at[r][0] for r in found.column("row").to_pylist()], dtype=np.int64)
     cell = np.array([place[w] for w in found.column("word").to_pylist()], dtype=np.int64)
     n, total = (found.column(c).to_numpy().astype(np.int64) for c in ("n", "total"))
-    strong = np.array([z >= 12.0 for z in chosen.values()], dtype=bool)
+    # z grows with the root of the sample; divided by it, it says how strong a mark is, whatever was sampled.
+    strong = np.array([z >= STRONG * np.sqrt(len(rows_at)) for z in chosen.values()], dtype=bool)
     marked = np.bincount(row, n * strong[cell], minlength=len(rows_at)) if len(row) else np.zeros(len(rows_at))
     words_in = np.ones(len(rows_at), dtype=np.int64)
     words_in[row] = np.maximum(total, 1)

@@ -6,7 +6,8 @@ digit ratio, entropy, parameter counts and statistics of the host's suffix, whic
 
 Null urls and those without ``://`` have empty host and path and no rule; the trees judge their features like any
 others. If the decided urls are all of one kind, that verdict stands for the rest; without any, the rest is allowed.
-Repeated rows are judged alike.
+Repeated rows are judged alike, and count once in the fit. All other columns are kept, whatever their names. The trees'
+size (12 rounds of depth 4) is a setting like any other.
 """
 
 from __future__ import annotations
@@ -61,7 +62,8 @@ def _lexical(urls: DataFrame) -> DataFrame:
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], rows: int = FIT_ROWS) -> DataFrame:
     """``pages`` with host, path, rule and verdict; columns of these names are replaced."""
     pages = pages.drop("host", "path", "rule", "verdict")
-    urls = pages.withColumn("__url", F.coalesce("url", F.lit("")))
+    own = {c: f"__own_{i}" for i, c in enumerate(pages.columns)}  # no column is taken for a feature
+    urls = pages.withColumnsRenamed({c: n for c, n in own.items() if c != "url"}).withColumn("__url", F.coalesce("url", F.lit("")))
     host, path = url_parts(F.col("__url"))
     urls = _lexical(urls.withColumns({"__host": host, "__path": path}).withColumn(
         "__rule", longest_rule(rules, F.col("__host"), F.col("__path"))))
@@ -72,15 +74,18 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], rows: int = FIT_R
     prior = 0.0 if overall["share"] is None else overall["share"]
     suffixes = urls.groupBy("__suffix").agg(
         F.log1p(F.count("*")).alias("suffix_rows"),
-        ((F.coalesce(F.sum("__label"), F.lit(0.0)) + 5 * prior) / (F.count("__label") + 5)).alias("suffix_blocked"))
-    known = urls.join(suffixes, "__suffix")
+        F.coalesce(F.sum("__label"), F.lit(0.0)).alias("__sum"), F.count("__label").alias("__labels"))
+    # A decided url's own label is no part of its suffix's share: the trees must not read the answer off the feature.
+    mine = F.col("__label").isNotNull()
+    known = urls.join(suffixes, "__suffix").withColumn("suffix_blocked", (
+        F.col("__sum") - F.when(mine, F.col("__label")).otherwise(0.0) + 5 * prior) / (F.col("__labels") - F.when(mine, 1).otherwise(0) + 5))
     decided = {r["__label"] for r in urls.where("__label is not null").select("__label").distinct().collect()}
     if len(decided) < 2:
         rest = F.lit(BLOCK if decided == {1.0} else ALLOW)
         judged = urls.withColumn("__other", rest)
     else:
         assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="__features")
-        fit = stored(known.where("__label is not null").orderBy(F.xxhash64("__url"), "__url").limit(rows)
+        fit = stored(known.where("__label is not null").dropDuplicates(["__url"]).orderBy(F.xxhash64("__url"), "__url").limit(rows)
                      .select(*FEATURES, "__label"), "fit")
         trees = GBTClassifier(featuresCol="__features", labelCol="__label", predictionCol="__block", maxIter=12, maxDepth=4,
                               maxBins=64, stepSize=0.3, seed=17).setRawPredictionCol("").setProbabilityCol("")
@@ -88,5 +93,5 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], rows: int = FIT_R
         judged = model.transform(assemble.transform(known)).withColumn(
             "__other", F.when(F.col("__block") > 0.5, BLOCK).otherwise(ALLOW))
     return judged.select(
-        *pages.columns, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule.rule").alias("rule"),
+        *[F.col(n if c != "url" else c).alias(c) for c, n in own.items()], F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule.rule").alias("rule"),
         F.coalesce("__rule.verdict", "__other").alias("verdict"))

@@ -108,7 +108,9 @@ class MultiIndex:
 
 
 def nearest(rows: DataFrame, k: int = 5, every: int = 50, wanted: float = WANTED) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest found for each row whose vec_id is divisible by ``every``."""
+    """query_id, rank, vec_id, score of the k nearest found for each row whose vec_id is divisible by ``every``.
+
+    Rows without a vec_id take no part. A vec_id that repeats is no neighbour of itself, and stands for the nearest of its rows."""
     vectors = stored(usable_vectors(rows).select("vec_id", "x"), "vectors")
     sample = [bytes(r["x"]) for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("x").collect()]
     if not sample:

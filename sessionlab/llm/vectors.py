@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 def usable_vectors(rows: DataFrame) -> DataFrame:
     """(vec_id, key, x): doubles as bytes and their digest, of vectors that are not null, empty or zero and hold neither
-    null nor non-finite components; the others are left out."""
+    null nor non-finite components; the others, and rows without a vec_id, are left out."""
     e = F.col("embedding")
     fine = e.isNotNull() & F.forall(e, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) != float("inf")), F.lit(False))) & F.exists(
         e, lambda v: F.coalesce(v != 0, F.lit(False)))
@@ -27,7 +27,7 @@ def usable_vectors(rows: DataFrame) -> DataFrame:
             keys = [hashlib.blake2b(p, digest_size=16).digest() for p in parts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("vec_id"), pa.array(keys, pa.binary()), pa.array(parts, pa.binary())], ["vec_id", "key", "x"])
-    return rows.where(fine).select(F.col("vec_id").cast("long"), e.cast("array<double>").alias("x")).mapInArrow(
+    return rows.where(fine & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), e.cast("array<double>").alias("x")).mapInArrow(
         run, "vec_id long, key binary, x binary")
 
 

@@ -2,7 +2,8 @@
 
 The vocabulary drops white space, so a text's ids are those of its runs without ASCII white space end to end. Runs repeat:
 each task keeps the ids of those it has met, up to CACHE_RUNS, and forgets all when it is full. A run of letters that
-closing punctuation may follow goes to the merge model as it stands; any other run goes through the whole tokenizer.
+closing punctuation may follow goes to the merge model as it stands; any other run goes through the whole tokenizer, which
+also turns the strings of its special tokens, as they are spelt, into their ids.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.runs: dict[bytes, bytes] = {}
         self.closing: dict[str, bytes] = {}
@@ -62,7 +62,9 @@ def encode_texts(column: pa.Array, path: str, end: bytes) -> list[bytes]:
         _STATE[path] = WordEncoder(path)
     encoder = _STATE[path]
     cache = encoder.runs
-    rows = [(t or b"").lower().split() if (t or b"").isascii() else t.split() for t in column.cast(pa.binary()).to_pylist()]
+    # Lower case makes fewer runs, but would change what a special token's string is.
+    rows = [t.lower().split() if t.isascii() and b"<|" not in t else t.split()
+            for t in (t or b"" for t in column.cast(pa.binary()).to_pylist())]
     unknown = {run for row in rows for run in row}.difference(cache)
     if len(cache) + len(unknown) > CACHE_RUNS:
         cache.clear()

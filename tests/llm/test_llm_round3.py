@@ -7,13 +7,20 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from sessionlab.llm import conversation_repair as cr
+from sessionlab.llm.embedding_dedup import embedding_components
+from sessionlab.llm.line_dedup import remove_repeated_lines
 from sessionlab.llm.periodic_runs import find_runs, text_runs
+from sessionlab.llm.pii import mask_personal_data
 from sessionlab.llm.sharding import assign_shards, jump_hash, moved, shard_documents, with_slots, write_shards
+from sessionlab.llm.toxicity import fit_toxicity
+from sessionlab.llm.url_filter import judge_urls
+from sessionlab.llm.vector_search import nearest
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -293,3 +300,61 @@ def test_ties_in_turn_follow_role(spark):
     rows = [(1, 0, "user", "B."), (1, 0, "assistant", "A."), (1, 0, "system", "S.")]
     repair = cr.repair_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     assert [r["role"] for r in repair.rows.orderBy("pos").collect()] == ["assistant", "system", "user"]
+
+
+# --- rows without an id, clashing names, many blocks
+
+def test_lines_of_rows_without_an_id(spark):
+    rows = [(None, "a\nb\nc"), (1, "a\nb\nc"), (2, "x\na\nb\nc"), (None, "a\nb\nc")]
+    got = [(r["doc_id"], r["text"], r["n_removed"]) for r in remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(None, "a\nb\nc", 0), (1, "a\nb\nc", 0), (2, "x", 3), (None, "a\nb\nc", 0)], key=str)
+
+
+def test_vectors_without_an_id(spark):
+    rows = [(None, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (50, [1.0, 0.1]), (None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in embedding_components(df).collect()]
+    assert sorted(got, key=str) == sorted([(None, 0, None), (None, 0, None), (1, 1, 1), (2, 0, 2), (50, 1, 1)], key=str)
+    assert {(r["rank"], r["vec_id"]) for r in nearest(df).collect()} == {(1, 1), (2, 2)}
+
+
+def test_many_vector_blocks(spark, monkeypatch):
+    """Far more cuts than an expression could hold."""
+    from sessionlab.llm import embedding_dedup
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 1)
+    rows = [(k, [float(np.cos(k * 0.004)), float(np.sin(k * 0.004))]) for k in range(1200)]
+    df = spark.createDataFrame([r for r in rows if r[0] % 100 < 3 or r[0] > 700], "vec_id long, embedding array<double>").limit(560)
+    got = {r["vec_id"]: r["component_id"] for r in embedding_components(df, 0.9999).collect()}
+    assert len(set(got.values())) > 1 and all(got[k] == got[k - 1] for k in got if k - 1 in got)
+
+
+def test_masking_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "write to a.b@example.com now", "own", 3, "c")], "doc_id long, text string, base string, spans int, candidates string")
+    got = mask_personal_data(df)
+    assert got.columns == df.columns
+    assert tuple(got.first()) == (1, "write to [EMAIL] now", "own", 3, "c")
+
+
+def test_url_columns_of_any_name(spark):
+    rows = [(k, f"http://{'a' if k % 2 else 'b'}{k}.{'org' if k % 2 else 'com'}/{'x' if k % 2 else 'de'}/{k}", "keep") for k in range(40)] + [(99, "http://else.net/" + "p" * 50_000, "keep"), (100, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, length string").withColumn("depth", F.lit("d")).withColumn("__label", F.lit("l"))
+    got = judge_urls(df, [("allow", "org/"), ("block", "com/de/")])
+    assert got.columns == [*df.columns, "host", "path", "rule", "verdict"]
+    assert {(r["length"], r["depth"], r["__label"]) for r in got.where("page_id < 100").collect()} == {("keep", "d", "l")}
+    assert {r["verdict"] for r in got.collect()} == {"allow", "block"}
+
+
+def test_grades_do_not_depend_on_the_sample(spark):
+    rng = random.Random(3)
+    calm, bad = [f"w{k}" for k in range(300)], ["zorg", "blurk", "frix"]
+    docs, labels = [], []
+    for i in range(1200):
+        toxic = i % 3 == 0
+        words = [rng.choice(calm) for _ in range(200)]
+        for k in range(rng.choice([1, 4, 10]) if toxic else 0):
+            words[k * 7] = rng.choice(bad)
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    labels += [(0, 0), (None, 1), (5, None)]
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert [len(fit_toxicity(d, lab, rows).thresholds) for rows in (150, 1200)] == [3, 3]
