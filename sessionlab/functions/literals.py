@@ -30,11 +30,18 @@ _HEX_ESCAPE = r"\\x([0-9a-fA-F]{2})(?<=(?<!\\)(?:\\\\){0,8}\\x..)"
 
 
 def pyliteral_to_json(c: ColumnLike) -> Column:
-    """Rewrite the bare words and hex escapes of a Python literal; quotes stay as they are."""
-    out = col(c)
+    """Rewrite the bare words and hex escapes of a Python literal; quotes stay as they are.
+
+    A pass over the text is made only where the word or escape occurs in it at all."""
+    text = out = col(c)
     for word, replacement in _BARE_WORDS.items():
-        out = F.regexp_replace(out, _value_pattern(word), "$1" + replacement)
-    return F.regexp_replace(out, _HEX_ESCAPE, r"\\u00$1")
+        out = F.when(text.contains(word), F.regexp_replace(out, _value_pattern(word), "$1" + replacement)).otherwise(out)
+    return F.when(text.contains(r"\x"), F.regexp_replace(out, _HEX_ESCAPE, r"\\u00$1")).otherwise(out)
+
+
+def pyliteral_variant(c: ColumnLike) -> Column:
+    """A Python literal as a VARIANT: parsed once, whatever its keys. Text that does not parse gives NULL."""
+    return F.from_json(pyliteral_to_json(c), "variant", PYTHON_QUOTING)
 
 
 def parse_pyliteral(c: ColumnLike, schema: T.DataType) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionlab.functions.columns import ColumnLike, col
-from sessionlab.functions.literals import PYTHON_QUOTING, parse_pyliteral, pyliteral_to_json, strip_sentinel
+from sessionlab.functions.literals import parse_pyliteral, pyliteral_variant, strip_sentinel
 from sessionlab.operators.cleaning import quoted
 
 
@@ -95,10 +95,42 @@ def literal_eval(df: DataFrame, column: str, schema: T.DataType) -> DataFrame:
 def literal_infer_schema(df: DataFrame, column: str) -> T.DataType:
     """Union of all keys in a whole column of Python literals, with merged types: one mergeable aggregate. Lists and objects
     that are empty in all rows are left out; a key that is always None is text."""
-    value = F.from_json(pyliteral_to_json(quoted(column)), "variant", PYTHON_QUOTING)
-    text = df.agg(F.schema_of_variant_agg(value).alias("s")).first()["s"] or "VOID"
+    return variant_kind(df.agg(F.schema_of_variant_agg(pyliteral_variant(quoted(column))).alias("s")).first()["s"])
+
+
+def variant_kind(schema: str | None) -> T.DataType:
+    """The type that ``schema_of_variant_agg`` describes; what has no content in any row is left out, or text as a whole."""
     words = _AS_DDL | {"VOID": "VOID"}
-    return _with_content(T.DataType.fromDDL(_VARIANT_TYPES.sub(lambda m: words.get(m[0], m[0]), text))) or T.StringType()
+    kind = T.DataType.fromDDL(_VARIANT_TYPES.sub(lambda m: words.get(m[0], m[0]), schema or "VOID"))
+    return _with_content(kind) or T.StringType()
+
+
+def variant_as(c: ColumnLike, kind: T.DataType) -> Column:
+    """A VARIANT as a typed value; a part that does not fit its type is NULL."""
+    return F.try_variant_get(col(c), "$", kind.simpleString())
+
+
+def leaf_columns(value: Column, schema: T.StructType, taken: set[str], source: str, sep: str = "_") -> list[Column]:
+    """The leaves of a struct as columns named by their keys. A name that is taken gets the source's name in front; lists
+    are left out. ``taken`` grows by the names."""
+    out = []
+    for name, leaf in _leaves(value, schema, "", sep):
+        named = name if name not in taken else f"{source}{sep}{name}"
+        if named not in taken and not isinstance(_leaf_type(schema, name, sep), T.ArrayType):
+            taken.add(named)
+            out.append(leaf.alias(named))
+    return out
+
+
+def _leaf_type(schema: T.StructType, name: str, sep: str) -> T.DataType | None:
+    for f in schema.fields:
+        if f.name == name and not isinstance(f.dataType, T.StructType):
+            return f.dataType
+        if isinstance(f.dataType, T.StructType) and name.startswith(f.name + sep):
+            found = _leaf_type(f.dataType, name[len(f.name) + len(sep):], sep)
+            if found is not None:
+                return found
+    return None
 
 
 def _with_content(kind: T.DataType) -> T.DataType | None:

@@ -4,27 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionlab.functions import columns as C
+from sessionlab.functions.literals import pyliteral_variant
 from sessionlab.operators import cleaning as K
 from sessionlab.operators.aggregates import attach_distinct_counts, attach_group_stats, fit_key_sizes
 from sessionlab.operators.encoding import label_encode
 from sessionlab.operators.joins import union_fill
-from sessionlab.operators.nested import dimension_first, json_flatten, literal_eval
+from sessionlab.operators.nested import leaf_columns, merged_schema, variant_as, variant_kind
 from sessionlab.operators.windows import neighbour_sessions
-from sessionlab.plans.hits_flatten import first_hit_columns
+from sessionlab.plans.hits_flatten import flat_first_hit, hit_kind, seen_in, with_first_hit
 from sessionlab.sources import schemas as X
 
 VISITOR, START, ROW = "fullVisitorId", "visitStartTime", "session_key"
 # Columns that identify or label a row; never features.
 CONTROL = (ROW, VISITOR, "visitId", START, "date", "started", "is_test", "y")
-# Kept for profiles but left out of the model.
-NOT_FEATURES = ("hits",)
-
 # Named pair features, name -> (first, second).
 NAMED_CROSSES = {
     "browser_dev": ("browser", "deviceCategory"),
@@ -53,7 +52,7 @@ class FeatureSettings:
     calendar_pairs: tuple[str, ...] = ()
 
 
-SINGLE_LEVEL = FeatureSettings()
+SINGLE_LEVEL = FeatureSettings(measures=("pageviews", "hits"))
 
 # The keys and statistics of the two-level flow.
 TWO_LEVEL = FeatureSettings(
@@ -72,17 +71,60 @@ TWO_LEVEL = FeatureSettings(
 )
 
 
-def typed_sessions(export: DataFrame, is_test: bool, with_lists: bool = False, hits: T.ArrayType = X.HITS) -> DataFrame:
-    """Parse the JSON columns, take the label out, tag the origin, and give each row an id made of its own
-    columns. With ``with_lists`` the first custom dimension and the first hit are added in the same row,
-    so there is no join on keys that may repeat. Hits are parsed by the schema ``hits``; lists inside a hit are no features."""
-    lists = ["customDimensions", "hits"]
-    base = export.drop(*([] if with_lists else lists), "socialEngagementType", "sessionId", "campaignCode")
+@dataclass(frozen=True)
+class ExportShape:
+    """What the texts of an export hold: the type of each JSON column and of a hit, with all keys that occur, and how many
+    texts of each column did not parse."""
+
+    columns: dict[str, T.StructType]
+    hit: T.StructType | None
+    failures: dict[str, int]
+
+
+def parse_export(export: DataFrame, with_lists: bool = False) -> DataFrame:
+    """The export with its JSON columns as VARIANT and, ``with_lists``, the first hit and the first custom dimension, in the
+    same row, so there is no join on keys that may repeat. Store the result: every text is parsed here, once, and nowhere
+    else. ``_<column>_failed`` marks texts that did not parse."""
+    have = [c for c in X.JSON_COLUMNS if c in export.columns]
+    lists = [] if with_lists else ["customDimensions", "hits"]
+    base = export.drop(*lists, "socialEngagementType", "sessionId", "campaignCode")
+    values = {c: F.try_parse_json(K.quoted(c)) for c in have}
     if with_lists:
-        base = dimension_first(literal_eval(base, "customDimensions", X.DIMENSIONS), "customDimensions")
-        base = base.withColumnRenamed("hits", "hits_text").transform(first_hit_columns, schema=hits)
+        values["customDimensions"] = pyliteral_variant("customDimensions")
+        base = with_first_hit(base)
+    parsed = base.withColumns({f"_{c}_text": K.quoted(c) for c in values} | values)
+    flags = {f"_{c}_failed": K.quoted(f"_{c}_text").isNotNull() & K.quoted(c).isNull() for c in values}
+    return parsed.withColumns(flags).drop(*[f"_{c}_text" for c in values])
+
+
+def export_shape(*parsed: DataFrame) -> ExportShape:
+    """The shape of all parts of a stored, parsed export together: one mergeable aggregate."""
+    stacked = reduce(DataFrame.unionByName, parsed)
+    columns = [c for c in X.JSON_COLUMNS if c in stacked.columns]
+    hit = ["_hit"] if "_hit" in stacked.columns else []
+    failed = [c for c in stacked.columns if c.startswith("_") and c.endswith("_failed")]
+    row = stacked.agg(*[seen_in(c).alias(c) for c in [*columns, *hit]],
+                      *[F.coalesce(F.sum(K.quoted(c).cast("long")), F.lit(0)).alias(c) for c in failed]).first()
+    return ExportShape({c: merged_schema(X.JSON_COLUMNS[c], variant_kind(row[c])) for c in columns},
+                       hit_kind(row["_hit"]) if hit else None, {c[1:-len("_failed")]: row[c] for c in failed})
+
+
+def typed_sessions(parsed: DataFrame, is_test: bool, shape: ExportShape) -> DataFrame:
+    """Put all keys of the JSON columns, of the first hit and of the first custom dimension in as columns, take the label
+    out, tag the origin, and give each row an id made of its own columns. Lists inside a hit are no features."""
+    base = parsed.drop(*[c for c in parsed.columns if c.startswith("_") and c.endswith("_failed") and c != "_hits_failed"])
+    if shape.hit is not None:
+        base = base.withColumns({"cD_index": F.try_variant_get("customDimensions", "$[0].index", "string"),
+                                 "cD_value": F.try_variant_get("customDimensions", "$[0].value", "string")}).drop("customDimensions")
+        base = flat_first_hit(base, shape.hit)
         base = K.drop_cols(base, K.columns_of(base, T.ArrayType))
-    flat = json_flatten(base, X.JSON_COLUMNS, sep="_")
+    kept = [c for c in base.columns if c not in shape.columns]
+    # The declared keys come first, so that theirs are the plain names.
+    taken, leaves = set(kept), []
+    typed = base.withColumns({c: variant_as(K.quoted(c), kind) for c, kind in shape.columns.items()})
+    for c, kind in shape.columns.items():
+        leaves += leaf_columns(K.quoted(c), kind, taken, c)
+    flat = typed.select(*[K.quoted(c) for c in kept], *leaves)
     row_id = F.concat_ws("_", VISITOR, "visitId", START)
     return flat.withColumns({
         ROW: row_id,
@@ -102,6 +144,7 @@ def clean_sessions(train: DataFrame, test: DataFrame | None, settings: FeatureSe
     exprs = {
         "started": C.epoch_to_ts(START),
         "pageviews": F.coalesce(F.col("pageviews").try_cast("int"), F.lit(0)),
+        "hits": F.coalesce(F.col("hits").try_cast("int"), F.lit(0)) if "hits" in have else None,
         "newVisits": C.equals_flag("newVisits", "1"),
         "bounces": C.presence_flag("bounces"),
         "isMobile": C.bool_to_int("isMobile"),
@@ -130,9 +173,10 @@ def add_features(df: DataFrame, settings: FeatureSettings) -> DataFrame:
     out = neighbour_sessions(df, VISITOR, START, ["visitId", ROW], settings.neighbours)
     counted = [k for k in settings.count_keys if k in have]
     grouped = [k for k in settings.group_keys if k in have]
-    sizes = fit_key_sizes(df, sorted({*counted, *grouped, *settings.measures}))
+    measures = [m for m in settings.measures if m in have]
+    sizes = fit_key_sizes(df, sorted({*counted, *grouped, *measures}))
     out = attach_distinct_counts(out, counted, VISITOR, sizes=sizes)
-    return attach_group_stats(out, grouped, list(settings.measures), list(settings.stats), sizes=sizes)
+    return attach_group_stats(out, grouped, measures, list(settings.stats), sizes=sizes)
 
 
 def numeric_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -141,7 +185,7 @@ def numeric_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
     The fits read ``df`` more than once, so pass a materialised table. A code varies when its text does, so
     the choice of columns comes first and only the columns that stay are encoded."""
     control = [c for c in CONTROL if c in df.columns]
-    usable = [f.name for f in df.schema.fields if f.name not in (*CONTROL, *NOT_FEATURES)
+    usable = [f.name for f in df.schema.fields if f.name not in CONTROL
               and isinstance(f.dataType, (T.StringType, T.NumericType, T.BooleanType))]
     features = K.fit_varying_cols(df.select(*[K.quoted(c) for c in usable]))
     kept = df.select(*control, *[K.quoted(c) for c in features])

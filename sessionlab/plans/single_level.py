@@ -16,7 +16,9 @@ from sessionlab.plans.features import (
     FeatureSettings,
     add_features,
     clean_sessions,
+    export_shape,
     numeric_features,
+    parse_export,
     typed_sessions,
 )
 from sessionlab.session import scratch_path
@@ -26,9 +28,10 @@ from sessionlab.sources.writers import materialize
 def session_features(train: DataFrame, test: DataFrame, settings: FeatureSettings = SINGLE_LEVEL) -> DataFrame:
     """Cleaned sessions of both parts with all features, before encoding."""
     spark = train.sparkSession
-    parsed = [materialize(typed_sessions(part, flag), scratch_path(spark, "parsed"))
-              for part, flag in ((train, False), (test, True))]
-    cleaned = materialize(clean_sessions(*parsed, settings), scratch_path(spark, "cleaned"))
+    parsed = [materialize(parse_export(part), scratch_path(spark, "parsed")) for part in (train, test)]
+    shape = export_shape(*parsed)
+    typed = [typed_sessions(part, flag, shape) for part, flag in zip(parsed, (False, True))]
+    cleaned = materialize(clean_sessions(*typed, settings), scratch_path(spark, "cleaned"))
     return add_features(cleaned, settings)
 
 

@@ -9,7 +9,7 @@ from sessionlab.catalog import flow_queries
 from sessionlab.catalog.inputs import raw_sessions
 from sessionlab.operators.modelling import BoostSettings, assemble, best_round, fit_boosted
 from sessionlab.plans import hits_flatten, single_level, two_level
-from sessionlab.plans.features import SINGLE_LEVEL, TWO_LEVEL, VISITOR, typed_sessions
+from sessionlab.plans.features import SINGLE_LEVEL, TWO_LEVEL, VISITOR, export_shape, parse_export, typed_sessions
 
 
 @pytest.fixture(scope="module")
@@ -39,11 +39,29 @@ def test_hit_keys_outside_the_list_are_kept(spark):
 
 def test_flow_c_parses_all_hit_keys(parts):
     train, test = (p.withColumn("hits", F.regexp_replace("hits", "'hitNumber'", "'rare': 'r', 'many': ['a'], 'hitNumber'")) for p in parts)
-    out = typed_sessions(train, False, with_lists=True, hits=hits_flatten.hit_schema(train, test))
+    parsed = [parse_export(p, with_lists=True) for p in (train, test)]
+    out = typed_sessions(parsed[0], False, export_shape(*parsed))
     assert out.filter("rare = 'r'").count() == out.filter("hitNumber is not null").count() > 0
     assert "many" not in out.columns
 
 
+def test_all_json_keys_and_failures(parts):
+    """Keys that no schema declares, a name that another column has, texts that do not parse."""
+    train, test = parts
+    more = F.regexp_replace("totals", "^\\{", '{"timeOnSite": 31, "sessionQuality": {"dim": "4"}, "browser": "lynx", "list": [1], ')
+    train = train.withColumn("totals", F.when(F.col("visitId") % 2 == 0, more).when(F.col("visitId") % 10 == 1, "{broken").otherwise(F.col("totals")))
+    train = train.withColumn("hits", F.when(F.col("visitId") % 10 == 3, "[{'broken'").otherwise(F.col("hits")))
+    parsed = [parse_export(p, with_lists=True) for p in (train, test)]
+    shape = export_shape(*parsed)
+    assert shape.failures == {"device": 0, "geoNetwork": 0, "trafficSource": 0, "customDimensions": 0,
+                              "totals": train.filter("visitId % 10 = 1").count(), "hits": train.filter("visitId % 10 = 3").count()}
+    out = typed_sessions(parsed[0], False, shape)
+    assert out.filter("timeOnSite = 31 and sessionQuality_dim = '4' and totals_browser = 'lynx'").count() == train.filter("visitId % 2 = 0").count()
+    assert out.filter("timeOnSite is null").count() == train.filter("visitId % 2 = 1").count()
+    assert "list" not in out.columns and out.filter("browser = 'lynx'").count() == 0
+    assert {"timeOnSite", "totals_browser", "hits"} <= set(typed_sessions(parsed[1], True, shape).columns)
+
+
 def test_features_do_not_change_the_row_count(parts):
     train, test = parts
     out = single_level.session_features(train, test)
@@ -89,7 +107,8 @@ def test_patience_outlasts_a_poor_round(spark):
 
 @pytest.mark.slow
 def test_full_two_level_features(parts):
-    coded, features = two_level.session_matrix(*parts)
+    coded, features, shape = two_level.session_matrix(*parts)
+    assert set(shape.failures.values()) == {0}
     assert coded.count() == sum(p.count() for p in parts)
     assert {"PC1", "PC20", "cD_value", "country_browser"} <= set(features)
     for key in ("country", "cD_value", "browser_dev", "hitNumber"):
