@@ -198,7 +198,8 @@ def _profile_sql(column, kind, numeric):
     top = f"FROM s WHERE {column} IS NOT NULL GROUP BY {column} ORDER BY count(*) DESC, CAST({column} AS VARCHAR) LIMIT 1"
     return (f"SELECT '{column}' AS \"column\", '{kind}' AS type, count(*) AS n_rows, count(*) - count({column}) AS missing, "
             f"count(DISTINCT {column}) AS \"distinct\", (SELECT CAST({column} AS VARCHAR) {top}) AS top, "
-            f"(SELECT count(*) {top}) AS top_n, {nums} FROM s")
+            f"(SELECT count(*) {top}) AS top_n, (SELECT string_agg(v || ': ' || n, chr(10) ORDER BY n DESC, v) FROM "
+            f"(SELECT CAST({column} AS VARCHAR) AS v, count(*) AS n {top[:-1]}10)) AS top_values, {nums} FROM s")
 
 
 @query("column_profile", f"WITH {S} " + " UNION ALL ".join([
@@ -239,6 +240,37 @@ def correlation_with_nulls(spark, d):
     return rounded(P.correlation(sessions(spark, d), ["revenue", "k"]), "r", digits=6)
 
 
+@query("correlation_all", """
+WITH t AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
+    nullif(l_linenumber, 3) AS gaps, 5 AS flat, CASE WHEN l_linenumber > 100 THEN 1 END AS nothing FROM lineitem),
+names AS (SELECT unnest(['l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax',
+    'gaps', 'flat', 'nothing']) AS name, generate_subscripts(range(11), 1) AS i),
+long AS (SELECT row_number() OVER () AS id, * FROM t),
+cells AS (SELECT id, unnest(range(1, 12)) AS i, unnest([l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
+    l_discount, l_tax, gaps, flat, nothing]::DOUBLE[]) AS v FROM long),
+r AS (SELECT x.i AS i, y.i AS j, corr(x.v, y.v) AS r FROM cells x JOIN cells y ON x.id = y.id AND x.i < y.i GROUP BY ALL)
+SELECT a.name AS a, b.name AS b, round(CASE WHEN isnan(r) THEN NULL ELSE r END, 5) AS r FROM r JOIN names a ON a.i = r.i JOIN names b ON b.i = r.j""")
+def correlation_all(spark, d):
+    """All numeric columns, one with gaps, one constant, one empty."""
+    items = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        F.nullif("l_linenumber", F.lit(3)).alias("gaps"), F.lit(5).alias("flat"), F.when(F.col("l_linenumber") > 100, 1).alias("nothing"))
+    return rounded(P.correlation(items), "r", digits=5)
+
+
+@query("distinct_by_sketch", f"""
+WITH {S} SELECT channel, count(DISTINCT user_id) AS exact, TRUE AS within FROM s GROUP BY channel""")
+def distinct_by_sketch(spark, d):
+    """Daily sketches merged per group: within three standard errors of the exact count."""
+    rows = sessions(spark, d).select("channel", F.to_date("ts").alias("day"), "user_id")
+    daily = A.distinct_sketches(rows, ["channel", "day"], "user_id")
+    merged = A.merged_distinct(daily, ["channel"])
+    exact = A.distinct_by(rows, ["channel"], "user_id", count_null=False, name="exact")
+    near = F.abs(F.col("estimate") - F.col("exact")) <= F.col("exact") * 3 * A.SKETCH_ERROR + 1
+    return exact.join(merged.withColumnRenamed("channel", "c"), F.col("channel").eqNullSafe(F.col("c"))).select(
+        "channel", "exact", near.alias("within"))
+
+
 @query("row_count", "SELECT count(*) AS n_rows, CAST(11 AS INTEGER) AS n_cols FROM lineitem")
 def row_count(spark, d):
     return A.row_count(table(spark, d, "lineitem"))

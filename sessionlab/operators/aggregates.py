@@ -110,6 +110,24 @@ def distinct_by(df: DataFrame, keys: Sequence[str], column: str, count_null: boo
     return df.groupBy(*_all(keys)).agg(expr.alias(name))
 
 
+#: Buckets of a distinct-count sketch, as a power of two, and its relative standard error.
+SKETCH_LOG = 12
+SKETCH_ERROR = 0.83 / 2 ** (SKETCH_LOG / 2)
+
+
+def distinct_sketches(df: DataFrame, keys: Sequence[str], column: str, name: str = "sketch") -> DataFrame:
+    """A mergeable sketch of the distinct values per group (NULL does not count), for tables that grow: store one per key and
+    day, and merge the days that are wanted. Exact counts are ``distinct_by``; this trades them for ``SKETCH_ERROR``."""
+    text = F.coalesce(quoted(column).cast("string"), F.lit(""))
+    # The sketch takes no NULL; a group of nothing but NULLs keeps an empty one.
+    return df.groupBy(*_all(keys)).agg(F.hll_sketch_agg(F.when(quoted(column).isNotNull(), text), F.lit(SKETCH_LOG)).alias(name))
+
+
+def merged_distinct(sketches: DataFrame, keys: Sequence[str], sketch: str = "sketch", name: str = "estimate") -> DataFrame:
+    """Estimated distinct values per group of stored sketches, whatever finer groups they were made for."""
+    return sketches.groupBy(*_all(keys)).agg(F.hll_sketch_estimate(F.hll_union_agg(quoted(sketch))).alias(name))
+
+
 def count_nonnull_by(df: DataFrame, keys: Sequence[str], column: str, name: str = "n") -> DataFrame:
     return df.groupBy(*_all(keys)).agg(F.count(quoted(column)).alias(name))
 
