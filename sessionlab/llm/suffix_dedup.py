@@ -188,13 +188,15 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @dataclass(frozen=True)
 class Frequent:
     """Anchors above the row limit (sorted); frequent contents with their anchor and a document that holds them (sorted by
-    content); frequent windows of these anchors with a document that holds them."""
+    content); frequent windows of these anchors (sorted by hash) with a document that holds them."""
 
     anchors: np.ndarray
     contents: np.ndarray
     owners: np.ndarray
     holders: np.ndarray
-    windows: dict[bytes, int]
+    window_marks: np.ndarray
+    window_bytes: np.ndarray
+    window_holders: np.ndarray
 
     def hot(self, anchor: np.ndarray) -> np.ndarray:
         return _found_in(self.anchors, anchor)[0]
@@ -220,7 +222,7 @@ def _frequent(docs: DataFrame) -> Broadcast[Frequent]:
     context = docs.sparkSession.sparkContext
     nothing = np.zeros(0, np.int64)
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
-    plain = context.broadcast(Frequent(nothing, nothing, nothing, nothing, {}))
+    plain = context.broadcast(Frequent(nothing, nothing, nothing, nothing, nothing, np.zeros((0, SPAN), np.uint8), nothing))
     seen = stored(_anchor_rows(some, plain).groupBy("anchor", "content").agg(
         F.min("doc_id").alias("holder"), F.count(F.lit(1)).alias("n")), "sampled")
     limit = HOT_ROWS // SAMPLE
@@ -245,9 +247,12 @@ def _frequent(docs: DataFrame) -> Broadcast[Frequent]:
 
     windows = some.mapInArrow(run, "window binary, doc_id long").groupBy("window").agg(
         F.min("doc_id").alias("holder"), F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).toArrow()
+    body = np.frombuffer(b"".join(windows.column(0).to_pylist()), dtype=np.uint8).reshape(-1, SPAN)
+    begin = np.arange(0, body.size, SPAN)
+    marks = range_hash(prefix_hash(body.ravel()), begin, begin + SPAN).view(np.int64)
+    order = np.argsort(marks, kind="stable")
     return context.broadcast(Frequent(
-        anchors, *(contents.column(k).to_numpy() for k in range(3)),
-        dict(zip(windows.column(0).to_pylist(), windows.column(1).to_pylist(), strict=True))))
+        anchors, *(contents.column(k).to_numpy() for k in range(3)), marks[order], body[order], windows.column(1).to_numpy()[order]))
 
 
 #: How a row of an anchor is dealt: with all others of its anchor, with those of its content, or alone as it is known to be covered.
@@ -324,25 +329,49 @@ def _met(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, start long, end long")
 
 
-def _windows(anchor: int, doc: int, start: int, text: bytes, known: dict[bytes, int]) -> Iterator[tuple]:
-    """Rows of ``_contexts`` for each window of a frequent anchor; runs of windows that a smaller document is known to hold are one."""
-    run = -1
-    for k in range(len(text) - SPAN + 1):
-        window = text[k:k + SPAN]
-        if known.get(window, doc) < doc:
-            run = k if run < 0 else run
-            continue
-        if run >= 0:
-            yield anchor, doc, doc, start + run, None, start + k - 1 + SPAN
-            run = -1
-        yield anchor, xxhash.xxh3_64_intdigest(window) - (1 << 63), doc, start + k, window, None
-    if run >= 0:
-        yield anchor, doc, doc, start + run, None, start + len(text)
+def _window_bytes(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The SPAN bytes from each place on, a row each."""
+    return np.lib.stride_tricks.sliding_window_view(data, SPAN)[begin] if len(begin) else np.zeros((0, SPAN), np.uint8)
+
+
+def _binary_rows(rows: np.ndarray) -> pa.Array:
+    """A binary array of the rows of a byte matrix."""
+    ends = np.arange(0, rows.size + 1, SPAN, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _windows(data: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, doc: np.ndarray, start: np.ndarray,
+             frequent: Frequent, kind: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_contexts`` for each window of frequent anchors, which begin at first to last; runs of windows that a smaller
+    document is known to hold are one row."""
+    many = last - first + 1
+    owner = np.repeat(np.arange(len(first)), many)
+    nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    begin = first[owner] + nth
+    body = _window_bytes(data, begin)
+    mark = range_hash(prefix_hash(data), begin, begin + SPAN).view(np.int64)
+    known, at = _found_in(frequent.window_marks, mark)
+    told = np.zeros(len(mark), dtype=bool)
+    some = np.flatnonzero(known)
+    told[some] = (frequent.window_bytes[at[some]] == body[some]).all(axis=1) & (frequent.window_holders[at[some]] < doc[owner[some]])
+    edge = np.concatenate(([True], owner[1:] != owner[:-1]))[:len(owner)]
+    opens = told & (edge | ~np.concatenate(([False], told[:-1])))
+    closes = told & (np.append(edge[1:], True) | ~np.append(told[1:], False))
+    run, upto = owner[opens], nth[closes] + SPAN
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(anchor[run]), pa.array(doc[run]), pa.array(doc[run]), pa.array(start[run] + nth[opens]),
+         pa.nulls(len(run), pa.binary()), pa.array(start[run] + upto)], names=kind.names)
+    rest = np.flatnonzero(~told)
+    own = owner[rest]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(anchor[own]), pa.array(mark[rest] | 1), pa.array(doc[own]), pa.array(start[own] + nth[rest]),
+         _binary_rows(body[rest]), pa.nulls(len(rest), pa.int64())], names=kind.names)
 
 
 def _contexts(found: DataFrame, frequent: Broadcast[Frequent]) -> DataFrame:
     """(anchor, spread, doc_id, start, bytes, end): all bytes of the windows of the anchors that begin at ``starts`` of a text; those of
-    frequent anchors window by window. With an end the bytes are known to be covered. Rows are dealt by anchor and spread."""
+    frequent anchors window by window, with an odd spread. With an end the bytes are known to be covered. Rows are dealt by anchor
+    and spread."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _unpacked(batches):
             data, offsets = flat_bytes(batch.column("text"))
@@ -355,16 +384,16 @@ def _contexts(found: DataFrame, frequent: Broadcast[Frequent]) -> DataFrame:
             ids = batch.column("doc_id").to_numpy()
             anchor, doc, start = hashes[keep].view(np.int64), ids[row[keep]], (first - offsets[row])[keep]
             hot = frequent.value.hot(anchor)
-            parts = [data[a:b].tobytes() for a, b in zip(first[keep].tolist(), (last[keep] + SPAN).tolist(), strict=True)]
             rest = np.flatnonzero(~hot)
+            parts = [data[a:b].tobytes() for a, b in zip(first[keep[rest]].tolist(), (last[keep[rest]] + SPAN).tolist(), strict=True)]
             none = pa.nulls(len(rest), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(anchor[rest]), pa.array(np.zeros(len(rest), np.int64)), pa.array(doc[rest]), pa.array(start[rest]),
-                 pa.array([parts[k] for k in rest.tolist()], pa.binary()), none], names=kind.names)
-            each = [w for k in np.flatnonzero(hot).tolist() for w in _windows(
-                int(anchor[k]), int(doc[k]), int(start[k]), parts[k], frequent.value.windows)]
-            if each:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*each, strict=True), kind.types, strict=True)], names=kind.names)
+                 pa.array(parts, pa.binary()), none], names=kind.names)
+            hot = np.flatnonzero(hot)
+            if len(hot):
+                pick = keep[hot]
+                yield from _windows(data, first[pick], last[pick], anchor[hot], doc[hot], start[hot], frequent.value, kind)
     kind = pa.schema([("anchor", pa.int64()), ("spread", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()),
                       ("bytes", pa.binary()), ("end", pa.int64())])
     return found.mapInArrow(run, "anchor long, spread long, doc_id long, start long, bytes binary, end long")
@@ -404,11 +433,35 @@ def _block_spans(doc: np.ndarray, start: np.ndarray, parts: list[bytes]) -> tupl
             np.concatenate([start[again] + size_of[again], start[rows] + run_b[pick]]), lone)
 
 
+def _window_spans(batch: pa.RecordBatch, held: list[np.ndarray]) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+    """(doc_id, start, end) of the single windows, sorted by anchor, hash and doc_id, whose bytes a smaller document of their
+    group holds; and the first row of the last group, which the next batch may go on with."""
+    anchor, spread, doc, start = (batch.column(k).to_numpy() for k in range(4))
+    body = flat_bytes(batch.column(4))[0].reshape(-1, SPAN)
+    cells = [anchor, spread, doc, start, body]
+    if held:
+        cells = [np.concatenate(x) for x in zip(held, cells, strict=True)]
+    anchor, spread, doc, start, body = cells
+    new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (spread[1:] != spread[:-1])))
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    same = (body == body[head]).all(axis=1)
+    found = same & (doc > doc[head])
+    first: dict[tuple[int, bytes], int] = {}
+    for k in np.flatnonzero(~same).tolist():  # other bytes of the same hash
+        found[k] = first.setdefault((int(head[k]), body[k].tobytes()), int(doc[k])) < doc[k]
+    last = head[-1:]
+    if not same[head[-1]:].all():  # a group that mixes bytes goes on as a whole
+        last = np.arange(head[-1], len(doc))
+    out = pa.RecordBatch.from_arrays([pa.array(doc[found]), pa.array(start[found]), pa.array(start[found] + SPAN)], ["doc_id", "start", "end"])
+    return out, [c[last].copy() for c in cells]
+
+
 def _covered(contexts: DataFrame) -> DataFrame:
     """(doc_id, start, end) of bytes that windows in smaller documents cover; rows come sorted by anchor, spread and doc_id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         carried = 0
+        held: list[np.ndarray] = []  # the first row of the last window group
 
         def work(block: list[tuple]) -> tuple[pa.RecordBatch, np.ndarray]:
             _, _, doc, start, parts = zip(*block, strict=True)
@@ -420,6 +473,11 @@ def _covered(contexts: DataFrame) -> DataFrame:
             if pc.any(known).as_py():
                 yield batch.filter(known).select(["doc_id", "start", "end"])
                 batch = batch.filter(pc.invert(known))
+            single = (batch.column(1).to_numpy() & 1).astype(bool)
+            if single.any():
+                out, held = _window_spans(batch.filter(pa.array(single)), held)
+                yield out
+                batch = batch.filter(pa.array(~single))
             rows += zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)
             while len(rows) - carried > BLOCK:
                 cut = next((k for k in range(len(rows) - 1, carried, -1) if rows[k][:2] != rows[k - 1][:2]), 0)
