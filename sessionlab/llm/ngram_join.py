@@ -4,8 +4,9 @@ relations between sets make needless.
 Index. All sets order their tokens alike: by how often the token's counter was met in the corpus, rare ones first. A set
 is listed under each token of its prefix, so that two linked sets share at least one list. An entry holds the set's size
 and a parity sketch: the bits in which two sketches differ are no more than the tokens in which the sets differ, so most
-pairs of a list are ruled out at once, and a pair is never lost. What is left joins sets into neighbourhoods. Nothing is
-decided here, and sets that share a passage, but too little of it, do not meet.
+pairs of a list are ruled out at once, and a pair is never lost. Pairs whose sketches are close join their sets; those that
+are merely possible are held against sketches as long as the sets, which leave few but true links. What is left makes
+neighbourhoods. Nothing is decided here, and sets that share a passage, but too little of it, do not meet.
 
 Join. Inside a neighbourhood (or a pair of its parts, when it is too large for one task) index lists are kept in order of
 the position that a token has in the set. For a set, the blocks of a list whose positions can't begin a link any more are
@@ -39,6 +40,8 @@ COUNTERS = 1 << 16
 LIST_SETS = 4096
 #: Lists up to this length are compared many at a time.
 SHORT = 12
+#: A list with more possible pairs per set than this is joined as well.
+LIST_PAIRS = 32
 #: Once a task has met a token about so often, further sets with it are tied together inside the task.
 TASK_SETS = 64
 
@@ -57,10 +60,10 @@ def _signature(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def shingle_signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, and a 128-bit signature (hi, lo) of each document's shingle set; and from each task, rows that
-    say how many sets hold a token of each counter (``counter``, ``met``; null in the documents' rows)."""
+    """doc_id, n_shingles, a 128-bit signature (hi, lo) and a long sketch of each document's shingle set; and from each task,
+    rows that say how many sets hold a token of each counter (``counter``, ``met``; null in the documents' rows)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_shingles", "hi", "lo", "counter", "met"]
+        names = ["doc_id", "n_shingles", "hi", "lo", "sketch", "counter", "met"]
         total = np.zeros(COUNTERS, dtype=np.int64)
         for batch in chunks(batches, "text"):
             sets = list(shingle_sets(*flat_bytes(batch.column("text")), words))
@@ -69,12 +72,13 @@ def shingle_signatures(docs: DataFrame, words: int) -> DataFrame:
             none = pa.nulls(len(sets), pa.int64())
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), none, none], names=names)
+                pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()),
+                pa.array([long_sketch(s) for s in sets], pa.binary()), none, none], names=names)
         used = np.flatnonzero(total)
         none = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(used), pa.array(total[used])], names=names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(used), pa.binary()), pa.array(used), pa.array(total[used])], names=names)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, hi long, lo long, counter long, met long")
+        run, "doc_id long, n_shingles long, hi long, lo long, sketch binary, counter long, met long")
 
 
 def _counters(marks: DataFrame) -> np.ndarray:
@@ -93,6 +97,19 @@ def sketch_of(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.uint64)
 
 
+def long_sketch(tokens: np.ndarray) -> bytes:
+    """Parity bits, at least as many as tokens (a power of two, 65,536 at most)."""
+    width = min(max(64, 1 << (max(1, len(tokens)) - 1).bit_length()), 1 << 16)
+    place = (mix(tokens ^ _U(0x2545F4914F6CDD1D)) >> _U(40)).astype(np.int64) % width
+    return np.packbits((np.bincount(place, minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def long_sketches_differ(a: bytes, b: bytes) -> int:
+    """Bits in which two long sketches differ, the longer one folded to the shorter's length."""
+    x, y = (np.frombuffer(s, dtype=np.uint64) for s in sorted((a, b), key=len))
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 def sketches_differ(a: np.ndarray, b: np.ndarray, wide: np.ndarray) -> np.ndarray:
     """Bits in which sketches differ (rows of four words); ``wide`` says where both sets have all four."""
     def folded(x: np.ndarray) -> np.ndarray:
@@ -156,26 +173,41 @@ def _may_link(size: np.ndarray, other: np.ndarray, differ: np.ndarray, num: int,
     return (other * num <= size * den) & (differ <= both - 2 * overlap)
 
 
-def _list_links(node: np.ndarray, size: np.ndarray, sketch: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int]]:
-    """Pairs that join the sets of one list (in order of size) wherever two of them may link; not all such pairs."""
-    label = np.arange(len(node))
+def _close(differ: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """Whether sketches are so much alike that their sets are joined without a further look."""
+    return differ <= np.where(wide, 64, 32)
+
+
+def _list_links(node: np.ndarray, size: np.ndarray, sketch: np.ndarray, num: int, den: int) -> list[tuple[int, int, bool]]:
+    """The pairs of one list (in order of size) that may link, as (a, b, sure): of those whose sketches are close, as many
+    as join what they join; of the others, all that are not joined so."""
+    label, found, doubtful = np.arange(len(node)), [], 0
     for i in range(len(node) - 1):
         rest = i + 1 + np.flatnonzero(label[i + 1:] != label[i])
         if not len(rest):
             if (label == label[i]).all():
-                return
+                break
             continue
         wide = (size[rest] > 256) & (size[i] > 256)
-        hits = rest[_may_link(size[i], size[rest],
-                              sketches_differ(sketch[i], sketch[rest], wide), num, den)]
-        for j in hits.tolist():
+        differ = sketches_differ(sketch[i], sketch[rest], wide)
+        may = _may_link(size[i], size[rest], differ, num, den)
+        near = may & _close(differ, wide)
+        for j in rest[near].tolist():
             if label[j] != label[i]:
                 label[label == label[j]] = label[i]
-                yield int(node[i]), int(node[j])
+                found.append((int(node[i]), int(node[j]), True))
+        far = rest[may & ~near]
+        far = far[label[far] != label[i]]
+        found += [(int(node[i]), n, False) for n in node[far].tolist()]
+        doubtful += len(far)
+        if doubtful > LIST_PAIRS * len(node):
+            return [(int(node[0]), n, True) for n in node[1:].tolist()]
+    return found
 
 
 def candidate_links(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): pairs of sets that hold together all sets which may link, from the index lists.
+    """(a, b, sure): pairs of sets that hold together all sets which may link, from the index lists; pairs that are not sure
+    may be dropped if the two sets don't link.
 
     A task reads its lists one after another, sorted; short lists are compared together, and one of more than ``LIST_SETS``
     entries, or with an entry that stands for many, is joined as it streams by."""
@@ -188,7 +220,7 @@ def candidate_links(entries: DataFrame, num: int, den: int) -> DataFrame:
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names]
             cols = [np.concatenate((h, c)) for h, c in zip(held, cols, strict=True)] if held else cols
             key, kind = cols[0], cols[1]
-            a, b = [key[kind == 2]], [cols[2][kind == 2]]
+            a, b, sure = [key[kind == 2]], [cols[2][kind == 2]], [np.ones(int((kind == 2).sum()), dtype=bool)]
             cols = [c[kind < 2] for c in cols]
             key, kind, node, size = cols[:4]
             starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
@@ -201,19 +233,20 @@ def candidate_links(entries: DataFrame, num: int, den: int) -> DataFrame:
                     star = star or (int(key[lo]), int(node[lo]))
                     a.append(np.full(hi - lo, star[1]))
                     b.append(node[lo:hi])
+                    sure.append(np.ones(hi - lo, dtype=bool))
                 elif hi == len(key):
                     held = [c[lo:hi] for c in cols]
                 elif hi - lo > 1:
                     left.append(lo)
                     right.append(hi)
-            yield from _compared(cols, left, right, a, b, num, den)
+            yield from _compared(cols, left, right, a, b, sure, num, den)
         if held and len(held[0]) > 1:
-            yield from _compared(held, [0], [len(held[0])], [], [], num, den)
-    return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+            yield from _compared(held, [0], [len(held[0])], [], [], [], num, den)
+    return dealt.mapInArrow(run, "a long, b long, sure boolean").where("a <> b").groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
 def _compared(cols: list[np.ndarray], left: list[int], right: list[int], a: list[np.ndarray], b: list[np.ndarray],
-              num: int, den: int) -> Iterator[pa.RecordBatch]:
+              sure: list[np.ndarray], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """The links of the lists [left, right) of a batch, after the given ones; short lists of one length are compared at once."""
     node, size = cols[2], cols[3].astype(np.int64)
     sketch = np.column_stack([c.view(np.uint64) for c in cols[4:8]]) if len(node) else np.zeros((0, 4), np.uint64)
@@ -224,18 +257,42 @@ def _compared(cols: list[np.ndarray], left: list[int], right: list[int], a: list
             continue
         x, y = (begin[:, None] + t[None, :] for t in np.triu_indices(k, 1))
         wide = (size[x] > 256) & (size[y] > 256)
-        ok = _may_link(size[x], size[y], sketches_differ(sketch[x], sketch[y], wide), num, den)
-        ok[ok[:, :k - 1].all(axis=1), k - 1:] = False  # the smallest set joins them all
+        differ = sketches_differ(sketch[x], sketch[y], wide)
+        ok = _may_link(size[x], size[y], differ, num, den)
+        near = ok & _close(differ, wide)
+        ok[near[:, :k - 1].all(axis=1), k - 1:] = False  # the smallest set joins them all
         a.append(node[x[ok]])
         b.append(node[y[ok]])
+        sure.append(near[ok])
     long = hi - lo > SHORT
     for i, j in zip(lo[long].tolist(), hi[long].tolist(), strict=True):
-        pairs = list(_list_links(node[i:j], size[i:j], sketch[i:j], num, den))
+        pairs = _list_links(node[i:j], size[i:j], sketch[i:j], num, den)
         a.append(np.array([p[0] for p in pairs], dtype=np.int64))
         b.append(np.array([p[1] for p in pairs], dtype=np.int64))
+        sure.append(np.array([p[2] for p in pairs], dtype=bool))
     if a:
-        found = np.unique(np.column_stack((np.concatenate(a), np.concatenate(b))), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)], names=["a", "b"])
+        x, y, certain = np.concatenate(a), np.concatenate(b), np.concatenate(sure)
+        found = np.unique(np.column_stack((np.minimum(x, y), np.maximum(x, y), certain.astype(np.int64))), axis=0)
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)), pa.array(found[:, 2] > 0)], names=["a", "b", "sure"])
+
+
+def _possible_links(links: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of the candidate links, without those whose long sketches rule them out."""
+    sets = marks.where("n_shingles > 0").groupBy(F.col("lo").alias("node")).agg(
+        F.min("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    one, two = (sets.select(F.col("node").alias(f"node_{x}"), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    pairs = links.where("not sure").join(one, F.col("a") == F.col("node_a")).join(two, F.col("b") == F.col("node_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.sort(np.column_stack([batch.column(c).to_numpy() for c in ("size_a", "size_b")]), axis=1)
+            differ = np.array([long_sketches_differ(x, y) for x, y in zip(
+                batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist(), strict=True)], dtype=np.int64)
+            keep = _may_link(sizes[:, 0], sizes[:, 1], differ, num, den)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+    checked = pairs.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+    return links.where("sure").select("a", "b").unionByName(checked)
 
 
 def _tokens(docs: DataFrame, words: int) -> DataFrame:
@@ -378,10 +435,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     """
     docs = docs.select("doc_id", "text")
     seen = stored(shingle_signatures(docs, words), "signatures")
-    marks = seen.where("counter is null")
+    marks = seen.where("counter is null").drop("counter", "met")
     known = docs.where("doc_id is not null")
     entries = _index_entries(known, words, num, den, _counters(seen))
-    near = connected_components(candidate_links(entries, num, den))
+    met = stored(candidate_links(entries, num, den), "candidate-links")
+    near = connected_components(_possible_links(met, marks, num, den))
     classes = marks.where("doc_id is not null").groupBy("hi", "lo").agg(
         F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("weight"))
     near_sets = classes.join(near, classes["lo"] == near["node"]).where("n_shingles > 0").select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sessionlab.llm import pii
 from sessionlab.llm.components import connected_components
 from sessionlab.llm.line_dedup import remove_repeated_lines
-from sessionlab.llm.ngram_join import jaccard_components, keep_one_per_component, prefix_length, sketch_of, sketches_differ, skip_join
+from sessionlab.llm.ngram_join import jaccard_components, keep_one_per_component, long_sketch, long_sketches_differ, prefix_length, sketch_of, sketches_differ, skip_join
 from sessionlab.llm.toxicity import OrdinalModel, fit_ordinal, fit_toxicity, reject_toxic, score_toxicity
 
 WORDS = [f"w{k}" for k in range(60)]
@@ -70,7 +70,7 @@ def test_components_match_brute_force(spark, words, num):
     assert {i: r["n_shingles"] for i, r in got.items()} == {i: len(shingles(t, words)) for i, t in rows}
 
 
-@pytest.mark.parametrize("limits", [{"TILE_SETS": 7}, {"TASK_SETS": 0}, {"TASK_SETS": 2}, {"LIST_SETS": 3}, {"SHORT": 1}, {"COUNTERS": 4},
+@pytest.mark.parametrize("limits", [{"TILE_SETS": 7}, {"TASK_SETS": 0}, {"TASK_SETS": 2}, {"LIST_SETS": 3}, {"SHORT": 1}, {"COUNTERS": 4}, {"LIST_PAIRS": 0, "SHORT": 1},
                                     {"TILE_SETS": 5, "TASK_SETS": 3, "LIST_SETS": 6, "SHORT": 2, "COUNTERS": 64}])
 def test_splitting_loses_nothing(spark, monkeypatch, limits):
     for name, value in limits.items():
@@ -134,6 +134,7 @@ def test_prefixes_and_sketches_keep_linked_sets_together():
                 assert set(x[:prefix_length(len(x), num, 100)].tolist()) & set(y[:prefix_length(len(y), num, 100)].tolist())
                 wide = np.array(len(x) > 256 and len(y) > 256)
                 assert sketches_differ(sketch_of(x), sketch_of(y), wide) <= len(x) + len(y) - 2 * both
+                assert long_sketches_differ(long_sketch(x), long_sketch(y)) <= len(x) + len(y) - 2 * both
 
 
 @pytest.mark.parametrize("sides", [False, True])
