@@ -170,6 +170,29 @@ def oof_expanding(spark, d):
     return out.train.select("l_orderkey", "l_linenumber", "l_quantity", "fold", F.round("pred", 6).alias("pred"))
 
 
+@query("oof_leave_month_out", """
+WITH lines AS (
+  SELECT l_orderkey, l_linenumber, month(l_shipdate) AS m, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS half,
+         ln(1 + l_quantity * (1 + l_discount * 10)) AS y FROM lineitem),
+sums AS (SELECT m, half, sum(y) AS s, count(*) AS n FROM lines GROUP BY ALL),
+fits AS (SELECT f.m AS m, g.half AS half, sum(CASE WHEN g.m <> f.m THEN g.s END) / sum(CASE WHEN g.m <> f.m THEN g.n END) AS pred
+         FROM (SELECT DISTINCT m FROM lines) f, sums g GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, FALSE AS by_all, round(fits.pred, 6) AS pred
+FROM lines JOIN fits ON fits.half = lines.half AND fits.m = lines.m
+UNION ALL SELECT l_orderkey, l_linenumber, TRUE, round(every.pred, 6)
+FROM lines JOIN (SELECT half, avg(pred) AS pred FROM fits GROUP BY half) every ON every.half = lines.half""")
+def oof_leave_month_out(spark, d):
+    """Twelve models: each row by the model that did not train on its month, and by the mean of all models."""
+    items = table(spark, d, "lineitem").withColumns({
+        "half": (F.col("l_quantity") > 25).cast("int"), "same": F.lit(1), "also_same": F.lit(2), "m": F.month("l_shipdate"),
+        "y": F.log1p(F.col("l_quantity") * (1 + F.col("l_discount") * 10))})
+    matrix = M.assemble(items, STUMP_FEATURES, "y", keep=["l_orderkey", "l_linenumber", "m"])
+    out = M.oof_predict(matrix, "y", M.month_conditions(matrix, "m"), test=matrix.drop("y", "m"), settings=STUMP)
+    own, every = (df.select("l_orderkey", "l_linenumber", F.lit(name).alias("by_all"), F.round("pred", 6).alias("pred"))
+                  for df, name in ((out.train, False), (out.test, True)))
+    return own.unionByName(every)
+
+
 @query("feature_importance", f"""
 WITH {_LINES} SELECT 'half' AS feature, CASE WHEN count(DISTINCT half) = 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS gain FROM lines
 UNION ALL SELECT 'same', 0.0 UNION ALL SELECT 'also_same', 0.0""")

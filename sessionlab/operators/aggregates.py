@@ -174,7 +174,7 @@ def _attach_by_key(df: DataFrame, table: DataFrame, named: Mapping[str, Mapping[
     for i, (key, columns) in enumerate(named.items()):
         side = table.filter(F.col("key_name") == key).select(
             F.col("key_value").alias(f"_gk{i}"), *[quoted(c).alias(new) for c, new in columns.items()])
-        out = out.join(bounded(side, sizes[key]), quoted(key).cast("string").eqNullSafe(F.col(f"_gk{i}")), "left")
+        out = out.join(bounded(side, sizes[key], len(named)), quoted(key).cast("string").eqNullSafe(F.col(f"_gk{i}")), "left")
     added = [new for columns in named.values() for new in columns.values()]
     return out.select(*[quoted(c) for c in df.columns], *[quoted(c) for c in added])
 

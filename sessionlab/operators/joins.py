@@ -7,15 +7,25 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionlab.operators.cleaning import quoted
 from sessionlab.operators.skew import BROADCAST_ROWS
 
 
-def bounded(df: DataFrame, rows: int | None) -> DataFrame:
-    """Broadcast hint when ``rows`` is a known bound below the limit; otherwise leave the choice to
-    adaptive execution, which measures the side and splits skewed partitions of a sort-merge join."""
-    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
+# Bytes of all sides that one step broadcasts together, and what a value of variable length is taken for.
+BROADCAST_BYTES = 64 << 20
+TEXT_BYTES = 200
+
+
+def bounded(df: DataFrame, rows: int | None, sides: int = 1) -> DataFrame:
+    """Broadcast hint when ``rows`` is a known bound below the limit, in rows and, with the width of the columns, in this
+    side's part of the bytes that ``sides`` broadcasts may take together; otherwise leave the choice to adaptive
+    execution, which measures the side and splits skewed partitions of a sort-merge join."""
+    if rows is None or rows > BROADCAST_ROWS:
+        return df
+    width = sum(8 if isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)) else TEXT_BYTES for f in df.schema.fields)
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES // max(1, sides) else df
 
 
 def _nullsafe(left_keys: Sequence[str], right_keys: Sequence[str]) -> Column:

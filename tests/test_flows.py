@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sessionlab.catalog import flow_queries
 from sessionlab.catalog.inputs import raw_sessions
 from sessionlab.operators.modelling import BoostSettings, assemble, best_round, fit_boosted
-from sessionlab.plans import hits_flatten, single_level, two_level
+from sessionlab.plans import hits_flatten, leave_month_out, single_level, two_level
 from sessionlab.plans.features import SINGLE_LEVEL, TWO_LEVEL, VISITOR, export_shape, parse_export, typed_sessions
 
 
@@ -116,6 +116,14 @@ def test_full_two_level_features(parts):
         assert key not in features or stats & set(features)
 
 
+@pytest.mark.slow
+def test_leave_month_out_flow(parts):
+    train, test = parts
+    out = leave_month_out.score_visitors(train, test, test.select(VISITOR).distinct(), BoostSettings(max_iter=1, depth=2, min_rows=1))
+    assert out.table.filter("PredictedLogRevenue >= 0").count() == test.select(VISITOR).distinct().count()
+    assert out.sessions.filter("pred is null").count() == 0 and len(out.errors) == out.sessions.select("fold_month").distinct().count()
+
+
 @pytest.mark.slow
 def test_template_order_and_unknown_visitors(spark, parts):
     train, test = parts
