@@ -28,6 +28,8 @@ from sessionlab.llm.vectors import matrix, pair_cosines, usable_vectors
 HALF, FIT_ROWS, FIT_QUERIES, WANTED = 16, 6_000, 300, 0.97
 #: Vectors of a cell that one task compares; larger cells are split.
 PART = 8_192
+#: Queries that are asked of a part at a time.
+TURN = 16_384
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -145,10 +147,15 @@ def nearest(rows: DataFrame, k: int = 5, every: int = 50, wanted: float = WANTED
             yield pa.RecordBatch.from_arrays(
                 [pa.array([ids[n] for n in own], pa.int64()), pa.array([x[n] for n in own], pa.binary()),
                  pa.array(cells, pa.int32()), pa.array(split, pa.int32())], ["query_id", "q", "cell", "part"])
-    queries = vectors.where(F.col("vec_id") % every == 0).mapInArrow(route, "query_id long, q binary, cell int, part int")
+    asked = vectors.where(F.col("vec_id") % every == 0)
+    # A group holds one part of a cell and one turn of the queries, however many there are of either.
+    turns = max(1, -(-asked.count() // TURN))
+    queries = asked.mapInArrow(route, "query_id long, q binary, cell int, part int").withColumn(
+        "turn", F.pmod(F.xxhash64("query_id"), F.lit(turns)).cast("int"))
     count = F.create_map(*[F.lit(int(v)) for c in np.flatnonzero(parts > 1).tolist() for v in (c, parts[c])]) if (parts > 1).any() else None
     of_cell = F.coalesce(count[F.col("cell")], F.lit(1)) if count is not None else F.lit(1)
-    stock = placed.withColumn("part", F.pmod(F.xxhash64("vec_id"), of_cell).cast("int"))
+    stock = placed.withColumns({"part": F.pmod(F.xxhash64("vec_id"), of_cell).cast("int"),
+                                "turn": F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))})
 
     def rerank(stock: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         ids = stock["vec_id"].to_numpy()
@@ -167,7 +174,7 @@ def nearest(rows: DataFrame, k: int = 5, every: int = 50, wanted: float = WANTED
                 out.append(best[best.groupby("query_id").cumcount() < k])
         return pd.concat(out[1:] or out, ignore_index=True)
 
-    found = stock.groupBy("cell", "part").cogroup(queries.groupBy("cell", "part")).applyInPandas(
+    found = stock.groupBy("cell", "part", "turn").cogroup(queries.groupBy("cell", "part", "turn")).applyInPandas(
         rerank, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(

@@ -358,3 +358,14 @@ def test_grades_do_not_depend_on_the_sample(spark):
     labels += [(0, 0), (None, 1), (5, None)]
     d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     assert [len(fit_toxicity(d, lab, rows).thresholds) for rows in (150, 1200)] == [3, 3]
+
+
+def test_queries_in_turns(spark, monkeypatch):
+    from sessionlab.llm import vector_search
+    rng = np.random.default_rng(2)
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = {tuple(r) for r in nearest(df, every=5, wanted=1.0).collect()}
+    monkeypatch.setattr(vector_search, "TURN", 7)
+    monkeypatch.setattr(vector_search, "PART", 9)
+    assert {tuple(r) for r in nearest(df, every=5, wanted=1.0).collect()} == want and len(want) == 400
