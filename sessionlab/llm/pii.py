@@ -31,24 +31,42 @@ _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 _IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9](?:[\x20-]?+[0-9]){11,}+"  # shorter runs fail the digit count anyway
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+# The gazetteer. Given names, in four languages.
+GIVEN_NAMES = (
+    "Alice", "Andrea", "Anna", "Antonio", "Barbara", "Carlos", "Carmen", "Charles", "Claire", "Claudia", "Daniel", "David", "Elena",
+    "Elizabeth", "Emily", "Emma", "Francisco", "Hans", "Heinrich", "Isabel", "James", "Jean", "Jennifer", "Johann", "John",
+    "Jose", "Juan", "Julia", "Karl", "Klaus", "Laura", "Linda", "Louis", "Lucia", "Luis", "Manuel", "Margaret", "Maria", "Marie", "Mary",
+    "Michael", "Miguel", "Monika", "Nicolas", "Olivia", "Pablo", "Patricia", "Paul", "Pedro", "Peter", "Petra", "Philippe", "Pierre",
+    "Richard", "Robert", "Sabine", "Sarah", "Sophie", "Susan", "Teresa", "Thomas", "Ursula", "William", "Wolfgang")
+# Words after a name that make it a place, an institution or a day.
+PLACE_WORDS = (
+    "Airport", "Avenue", "Bridge", "Castle", "Church", "City", "College", "County", "Day", "Hall", "Hospital", "Island", "Lake", "Museum",
+    "Park", "Platz", "River", "Road", "School", "Square", "Station", "Strasse", "Street", "Tower", "University")
+# What stands in place of a secret in instructions and examples.
+PLACEHOLDERS = (
+    "changeme", "default", "disabled", "enabled", "example", "forgotten", "optional", "password", "placeholder", "protected", "required",
+    "username", "xxxxxxxx", "yourpassword", "yoursecret", "yourtoken")
+_PLACE_END = " (?:" + "|".join(PLACE_WORDS) + ")$"
+_NAMED = "(?:" + "|".join(GIVEN_NAMES) + ")"
 _CANDIDATES = {
     "secret": r"AKIA[0-9A-Z]{16}|(?<![A-Za-z])(?i:password|passwd|secret|token|api[_-]?key)\x20{0,2}[=:]\x20{0,2}[\x22']?[A-Za-z0-9+/_-]{8,64}",
     "line": r"(?<![0-9])(?:\([0-9]{3}\)|[0-9]{3})[\x20-][0-9]{3}-[0-9]{4}(?![0-9])",
     "ident": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){3,7}(?![A-Za-z0-9])",
-    "person": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame)\.?\x20[A-Z][a-z]{2,20}(?![A-Za-z])",
+    "person": r"(?<![A-Za-z])(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame)\.?|" + _NAMED + r")\x20[A-Z][a-z]{2,20}(?![A-Za-z])",
 }
 #: What a text must hold for a pattern to be tried at all: each match of the pattern implies it.
 _NEEDS = {"email": "contains(text, '@')", "phone": "contains(text, '+')", "ip": "text rlike '[0-9][.][0-9]'",
           "card": "text rlike '[0-9][0-9 -]{10}'", "line": "text rlike '[0-9]{3}-[0-9]{4}'",
           "secret": "text rlike 'AKIA[0-9A-Z]{16}|(?i:password|passwd|secret|token|api[_-]?key) {0,2}[=:]'",
-          "ident": "text rlike '[0-9]{3}-[0-9]{2}-[0-9]|[A-Z]{2}[0-9]{2} ?[0-9A-Z]{4}'", "person": "text rlike '(?:Mr|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame)'"}
+          "ident": "text rlike '[0-9]{3}-[0-9]{2}-[0-9]|[A-Z]{2}[0-9]{2} ?[0-9A-Z]{4}'", "person": "text rlike '(?:Mr|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|" + "|".join(GIVEN_NAMES) + ")[. ]'"}
 _CONTEXT = 40
-_GAZETTEER = ("password", "passwd", "secret", "token", "key", "akia", "herr", "frau", "madame", "monsieur", "iban")
 _CUES = ("call", "phone", "tel", "contact", "login", "user", "account", "name", "dear", "ssn", "passport")
 #: Vote patterns and feature patterns there can be: their counts are all that reaches the driver.
 LABELERS = ("shape", "gazetteer", "cue", "mixed", "digits", "plain")
-FEATURES = ("kind", "size", "share", "upper", "mark")
-VOTES_LIMIT, FEATURES_LIMIT = 3 ** 6 * 4, 4 * 4 * 4 * 2 * 2
+FEATURES = ("kind", "size", "share", "upper", "mark", "listed")
+#: Weight of all candidates together against the ridge of the classifier.
+EFFECTIVE = 1_000
+VOTES_LIMIT, FEATURES_LIMIT = 3 ** 6 * 4, 4 * 4 * 4 * 2 * 2 * 3
 
 
 def _spans(kind: str, pattern: str) -> Column:
@@ -114,26 +132,35 @@ def candidate_spans() -> Column:
 
 def _with_votes(candidates: DataFrame) -> DataFrame:
     """Votes of the labelers and features of the classifier on candidates (doc_id, spans as columns)."""
-    found, low = F.col("found"), F.lower("found")
+    found = F.col("found")
     digits = F.length(F.regexp_replace(found, "[^0-9]", ""))
     share = digits / F.length(found)
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
     any_of = lambda column, words: column.rlike("|".join(words))
     value = F.regexp_extract(found, r"[A-Za-z0-9+/_-]+$", 0)
     return candidates.withColumns({
-        "shape": vote(found.rlike(r"^AKIA|^\(?[0-9]{3}\)?[ -]|^[0-9]{3}-[0-9]{2}-|^[A-Z]{2}[0-9]{2}|[=:].*[0-9]"), F.lit(False)),
-        "gazetteer": vote(any_of(low, _GAZETTEER), (F.col("kind") == KINDS.index("secret")) & ~any_of(low, _GAZETTEER)),
+        "shape": vote(found.rlike(r"^AKIA|^\(?[0-9]{3}\)?[ -]|^[0-9]{3}-[0-9]{2}-|^[A-Z]{2}[0-9]{2}|[=:].*[0-9]"),
+                      found.rlike(_PLACE_END) | found.rlike("(?i)[=:] ?'?[a-z]+$")),
+        "gazetteer": listed(found),
         "cue": vote(any_of(F.col("before"), _CUES), F.lit(False)),
         "mixed": vote(value.rlike("[0-9]") & value.rlike("[A-Za-z]"), value.rlike("^[a-z]+$")),
         "digits": vote(share >= 0.5, (share == 0) & (F.col("kind") != KINDS.index("person"))),
-        "plain": vote(F.lit(False), found.rlike("^[A-Za-z ]+$") & (F.col("kind") != KINDS.index("person"))),
+        "plain": vote(value.rlike("[a-z]") & value.rlike("[A-Z]") & value.rlike("[0-9]"),
+                      value.rlike("^(?:[a-z]+|[A-Z]+|[A-Z][a-z]+)$") & (F.col("kind") == KINDS.index("secret"))),
         "size": F.least(F.floor(F.length(found) / 12), F.lit(3)).cast("int"),
         "share": F.least(F.floor(share * 4), F.lit(3)).cast("int"),
         "upper": found.rlike("[A-Z]").cast("int"),
         "mark": found.rlike("[=:()\"'-]").cast("int"),
+        "listed": listed(found),
     })
 
 
+def listed(found: Column) -> Column:
+    """What the gazetteer says of a candidate: 1 for a given name, -1 for the name of a place or a placeholder, else 0."""
+    return F.when(found.rlike("(?: (?:" + "|".join(PLACE_WORDS) + ")|(?i:[=: ']" + "(?:" + "|".join(PLACEHOLDERS) + ")))$"), -1).when(
+        found.rlike("^" + _NAMED + " "), 1).otherwise(0)
+
+
 def fit_reliabilities(votes: np.ndarray, weight: np.ndarray, rounds: int = 100) -> np.ndarray:
     """Posterior of "personal" per vote pattern: EM for the share of personal spans and each labeler's right votes.
 
@@ -163,8 +190,8 @@ def fit_span_classifier(features: np.ndarray, target: np.ndarray, weight: np.nda
     return w
 
 
-def _indicators(kind: int, size: int, share: int, upper: int, mark: int) -> list[int]:
-    return [*(int(kind == len(BASE) + k) for k in range(len(ADDED))), *(int(size == k) for k in range(4)),
+def _indicators(kind: int, size: int, share: int, upper: int, mark: int, listed: int) -> list[int]:
+    return [int(listed > 0), int(listed < 0), *(int(kind == len(BASE) + k) for k in range(len(ADDED))), *(int(size == k) for k in range(4)),
             *(int(share == k) for k in range(4)), upper, mark]
 
 
@@ -178,7 +205,7 @@ def accepted_patterns(candidates: DataFrame) -> list[tuple[int, ...]]:
     weight = np.array([r["n"] for r in counted], dtype=float)
     post = fit_reliabilities(votes, weight)
     x = np.array([_indicators(*[r[f] for f in FEATURES]) for r in counted])
-    w = fit_span_classifier(x, post, weight / weight.mean())
+    w = fit_span_classifier(x, post, weight * (EFFECTIVE / weight.sum()))
     score = np.column_stack([x, np.ones(len(x))]) @ w
     return sorted({tuple(r[f] for f in FEATURES) for r, s in zip(counted, score, strict=True) if s >= 0})
 
@@ -207,7 +234,7 @@ def _pattern_of(s: Column) -> Column:
     return F.concat_ws(
         ",", s["kind"].cast("string"), F.least(F.floor(F.length(found) / 12), F.lit(3)).cast("string"),
         F.least(F.floor(share * 4), F.lit(3)).cast("string"), found.rlike("[A-Z]").cast("int").cast("string"),
-        found.rlike("[=:()\"'-]").cast("int").cast("string"))
+        found.rlike("[=:()\"'-]").cast("int").cast("string"), listed(found).cast("string"))
 
 
 def spans_text(spans: Column) -> Column:

@@ -16,7 +16,7 @@ from sessionlab.llm import conversation_repair as cr
 from sessionlab.llm.embedding_dedup import embedding_components
 from sessionlab.llm.line_dedup import remove_repeated_lines
 from sessionlab.llm.periodic_runs import find_runs, text_runs
-from sessionlab.llm.pii import mask_personal_data
+from sessionlab.llm.pii import KINDS, find_personal_data, mask_personal_data
 from sessionlab.llm.sharding import assign_shards, jump_hash, moved, shard_documents, with_slots, write_shards
 from sessionlab.llm.toxicity import fit_toxicity
 from sessionlab.llm.url_filter import judge_urls
@@ -369,3 +369,22 @@ def test_queries_in_turns(spark, monkeypatch):
     monkeypatch.setattr(vector_search, "TURN", 7)
     monkeypatch.setattr(vector_search, "PART", 9)
     assert {tuple(r) for r in nearest(df, every=5, wanted=1.0).collect()} == want and len(want) == 400
+
+
+def test_gazetteer_finds_names_and_spares_places(spark):
+    rng = random.Random(4)
+    given, family = ["Maria", "John", "Hans", "Claire"], ["Gonzalez", "Smith", "Weber", "Dupont"]
+    rows = []
+    for i in range(300):
+        name = f"{rng.choice(given)} {rng.choice(family)}"
+        rows.append((i, f"Please contact {name} at the desk; password: {rng.choice(['aB3dE5gH9', 'Xk29fQ7zT1'])} is set, call 555-123-{1000 + i}."))
+    rows += [(1000 + i, f"They met near {rng.choice(given)} {w} and the password: {p}") for i, (w, p) in enumerate(
+        [("Street", "required"), ("Park", "changeme"), ("University", "placeholder"), ("Avenue", "forgotten")] * 20)]
+    got = {r["doc_id"]: [(s["kind"], s["found"]) for s in r["spans"]] for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    person = KINDS.index("person")
+    for i, text in rows:
+        names = [f for k, f in got[i] if k == person]
+        if i < 1000:
+            assert len(names) == 1 and names[0] in text
+        else:
+            assert names == []
