@@ -27,6 +27,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose result is stored: it does so once the driver has collected the
+    objects that stand for them, which a driver with little to do puts off for long."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def widened(schema: StructType, name: str, kind: str) -> StructType:
     """The schema with one more column."""
     return StructType([*schema.fields, *StructType.fromDDL(f"`{name}` {kind}").fields])

@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlab.llm.common import chunks, flat_bytes, powers, prefix_hash, range_hash, stored, widened
+from sessionlab.llm.common import chunks, flat_bytes, powers, prefix_hash, range_hash, release, stored, widened
 from sessionlab.llm.common import _BASE_INVERSE
 
 SPAN = 50
@@ -504,6 +504,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     frequent = _frequent(docs)
     rows = _anchor_rows(docs, frequent).repartition("anchor", "spread").sortWithinPartitions("anchor", "content", "doc_id")
     met = stored(_met(rows), "met")
+    release(docs.sparkSession)  # the places of all anchors are the largest shuffle, and no longer needed
     starts = met.where("end is null").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
     # Which documents are to be compared is not bounded: texts and places meet in a shuffle.
     found = _packed(docs).join(starts.hint("merge"), "doc_id").select("doc_id", "__packed", "starts")
