@@ -204,7 +204,8 @@ def rollup_by(df: DataFrame, key: str, y: str, name: str = "y") -> DataFrame:
 
 def pivot_wide(df: DataFrame, key: str, number: str, value: str, count: int, prefix: str = "pred") -> DataFrame:
     """``pred1 .. predN`` per key. The pivot values are given, so no job runs to find them."""
-    wide = df.groupBy(quoted(key)).pivot(quoted(number), list(range(1, count + 1))).agg(F.first(quoted(value)))
+    cells = df.select(quoted(key), quoted(number).alias("_number"), quoted(value).alias("_value"))
+    wide = cells.groupBy(quoted(key)).pivot("_number", list(range(1, count + 1))).agg(F.first("_value"))
     return wide.withColumnsRenamed({str(i): f"{prefix}{i}" for i in range(1, count + 1)})
 
 
