@@ -504,8 +504,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     frequent = _frequent(docs)
     rows = _anchor_rows(docs, frequent).repartition("anchor", "spread").sortWithinPartitions("anchor", "content", "doc_id")
     met = stored(_met(rows), "met")
+    del rows
+    starts = stored(met.where("end is null").groupBy("doc_id").agg(F.collect_set("start").alias("starts")), "starts")
     release(docs.sparkSession)  # the places of all anchors are the largest shuffle, and no longer needed
-    starts = met.where("end is null").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
     # Which documents are to be compared is not bounded: texts and places meet in a shuffle.
     found = _packed(docs).join(starts.hint("merge"), "doc_id").select("doc_id", "__packed", "starts")
     contexts = _contexts(found, frequent).repartition("anchor", "spread").sortWithinPartitions("anchor", "spread", "doc_id")
