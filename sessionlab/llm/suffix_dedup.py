@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlab.llm.common import chunks, flat_bytes, powers, prefix_hash, range_hash, release, stored, widened
+from sessionlab.llm.common import chunks, flat_bytes, mix, powers, prefix_hash, range_hash, release, stored, widened
 from sessionlab.llm.common import _BASE_INVERSE
 
 SPAN = 50
@@ -67,8 +67,8 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: in
     if n < span:
         return none, none.astype(np.uint64), none, none, none.astype(np.uint64)
     prefix = prefix_hash(data)
-    place = np.arange(n - gram + 1)
-    hashes = range_hash(prefix, place, place + gram) | _U(1)
+    down = powers("down", _BASE_INVERSE, n)
+    hashes = mix((prefix[gram:] - prefix[:-gram]) * down[:n - gram + 1] + _U(gram)) | _U(1)
     least = _sliding(hashes, width, np.minimum)  # by window start
     for begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         least[max(begin, end - span + 1):end] = 0  # windows that would leave their row
@@ -109,21 +109,12 @@ def _suffix_less(data: np.ndarray, prefix: np.ndarray, a: np.ndarray, b: np.ndar
     return (low < depth) & (data[a + at] < data[b + at]), low
 
 
-def suffix_sort(data: np.ndarray, starts: np.ndarray, depth: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes at ``starts`` by their first ``depth`` bytes, and whether each equals the one before it.
-
-    Suffixes are dealt by their first eight bytes; within equal ones, sorted runs of 1, 2, 4, .. are merged: an element's
-    place is its own rank plus its rank in the neighbouring run, found by binary search with hash comparisons.
-    """
+def _merged(data: np.ndarray, prefix: np.ndarray, starts: np.ndarray, key: np.ndarray, depth: int) -> np.ndarray:
+    """Order of different suffixes that come sorted by ``key``, their first bytes: within equal keys, sorted runs of 1, 2, 4, ..
+    are merged. A suffix's place is its own rank plus its rank in the neighbouring run, found by binary search with hash
+    comparisons."""
     n = len(starts)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    prefix = prefix_hash(data)
-    key = np.zeros(n, dtype=np.uint64)
-    for k in range(8):
-        key = key << _U(8) | data[starts + k].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
+    order = np.arange(n)
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(edge, n))
     begin, length = np.repeat(edge, size), np.repeat(size, size)  # of each place's class
@@ -135,7 +126,6 @@ def suffix_sort(data: np.ndarray, starts: np.ndarray, depth: int = SPAN) -> tupl
         mate = begin[todo] + (block ^ 1) * run
         stop = np.minimum(mate + run, begin[todo] + length[todo])
         mate = np.minimum(mate, stop)
-        right = block & 1 == 1
         low, high = mate.copy(), stop.copy()
         own = starts[order[todo]]
         while True:
@@ -143,10 +133,7 @@ def suffix_sort(data: np.ndarray, starts: np.ndarray, depth: int = SPAN) -> tupl
             if not len(open_):
                 break
             middle = (low[open_] + high[open_]) >> 1
-            other = starts[order[middle]]
-            less, _ = _suffix_less(data, prefix, other, own[open_], depth)
-            more, _ = _suffix_less(data, prefix, own[open_], other, depth)
-            ahead = np.where(right[open_], ~more, less)  # equal suffixes keep their order
+            ahead, _ = _suffix_less(data, prefix, starts[order[middle]], own[open_], depth)
             low[open_] = np.where(ahead, middle + 1, low[open_])
             high[open_] = np.where(ahead, high[open_], middle)
         place = begin[todo] + (block - (block & 1)) * run + rank % run + (low - mate)
@@ -154,13 +141,40 @@ def suffix_sort(data: np.ndarray, starts: np.ndarray, depth: int = SPAN) -> tupl
         fresh[place] = order[todo]
         order = fresh
         run *= 2
-    equal = np.zeros(n, dtype=bool)
-    a, b = starts[order[:-1]], starts[order[1:]]
-    same = np.flatnonzero(_suffix_less(data, prefix, a, b, depth)[1] >= depth)
+    return order
+
+
+def suffix_sort(data: np.ndarray, starts: np.ndarray, depth: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes at ``starts`` by their first ``depth`` bytes, and whether each equals the one before it.
+
+    Copies are brought together by the hash of all ``depth`` bytes and one of each is sorted: dealt by its first eight bytes,
+    and by merging where these are alike.
+    """
+    n = len(starts)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    prefix = prefix_hash(data)
+    whole = (prefix[starts + depth] - prefix[starts]) * powers("down", _BASE_INVERSE, len(prefix))[starts]
+    order = np.argsort(whole)
+    whole = whole[order]
+    heads = np.flatnonzero(np.concatenate(([True], whole[1:] != whole[:-1])))
+    copies = np.diff(np.append(heads, n))
+    lone = starts[order[heads]]
+    key = np.zeros(len(lone), dtype=np.uint64)
+    for k in range(8):
+        key = key << _U(8) | data[lone + k].astype(np.uint64)
+    ranked = np.argsort(key)
+    ranked = ranked[_merged(data, prefix, lone[ranked], key[ranked], depth)]
+    many = copies[ranked]
+    ahead = np.cumsum(many) - many
+    order = order[np.repeat(heads[ranked] - ahead, many) + np.arange(n)]
+    equal = np.ones(n, dtype=bool)
+    equal[ahead] = False
+    same = np.flatnonzero(equal)
     reach = np.arange(depth)
     for at in range(0, len(same), 1 << 14):  # collisions are ruled out by the bytes themselves
         part = same[at:at + (1 << 14)]
-        equal[part + 1] = (data[a[part][:, None] + reach] == data[b[part][:, None] + reach]).all(axis=1)
+        equal[part] = (data[starts[order[part - 1]][:, None] + reach] == data[starts[order[part]][:, None] + reach]).all(axis=1)
     return order, equal
 
 
@@ -399,15 +413,16 @@ def _contexts(found: DataFrame, frequent: Broadcast[Frequent]) -> DataFrame:
     return found.mapInArrow(run, "anchor long, spread long, doc_id long, start long, bytes binary, end long")
 
 
-def _block_spans(doc: np.ndarray, start: np.ndarray, parts: list[bytes]) -> tuple[np.ndarray, ...]:
+def _block_spans(doc: np.ndarray, start: np.ndarray, parts: pa.Array) -> tuple[np.ndarray, ...]:
     """(doc_id, start, end) covered in one block of rows sorted by anchor and doc_id, and the rows first with their bytes."""
-    index: dict[bytes, int] = {}
-    first = np.array([index.setdefault(p, k) for k, p in enumerate(parts)], dtype=np.int64)
-    lone = np.unique(first)
-    data = np.frombuffer(b"".join([parts[k] for k in lone.tolist()]) + b"\0", dtype=np.uint8)
-    sizes = np.array([len(parts[k]) for k in lone.tolist()], dtype=np.int64)
+    coded = parts.dictionary_encode()  # codes by first appearance
+    codes = coded.indices.to_numpy()
+    lone = np.unique(codes, return_index=True)[1]
+    first = lone[codes]
+    body, ends = flat_bytes(coded.dictionary)
+    data, sizes = np.append(body, np.uint8(0)), np.diff(ends)
     windows = sizes - SPAN + 1
-    base = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+    base = ends[:-1]
     nth = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
     owner = np.repeat(np.arange(len(lone)), windows)
     order, equal = suffix_sort(data, base[owner] + nth)
@@ -422,7 +437,7 @@ def _block_spans(doc: np.ndarray, start: np.ndarray, parts: list[bytes]) -> tupl
     closes = before & (np.append(edge[1:], True) | ~np.append(before[1:], False))
     run_of, run_a, run_b = owner[opens], nth[opens], nth[closes] + SPAN
     again = np.flatnonzero(doc > doc[first])  # the same bytes in a smaller document: covered as a whole
-    size_of = np.array([len(p) for p in parts], dtype=np.int64)
+    size_of = sizes[codes]
     own = np.flatnonzero(doc == doc[first])  # rows that depend on single windows
     slot = np.searchsorted(lone, first[own])
     at, upto = np.searchsorted(run_of, slot), np.searchsorted(run_of, slot, side="right")
@@ -459,13 +474,12 @@ def _window_spans(batch: pa.RecordBatch, held: list[np.ndarray]) -> tuple[pa.Rec
 def _covered(contexts: DataFrame) -> DataFrame:
     """(doc_id, start, end) of bytes that windows in smaller documents cover; rows come sorted by anchor, spread and doc_id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        rows: pa.RecordBatch | None = None
         carried = 0
         held: list[np.ndarray] = []  # the first row of the last window group
 
-        def work(block: list[tuple]) -> tuple[pa.RecordBatch, np.ndarray]:
-            _, _, doc, start, parts = zip(*block, strict=True)
-            ids, a, b, first = _block_spans(np.array(doc), np.array(start), list(parts))
+        def work(block: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+            ids, a, b, first = _block_spans(block.column(2).to_numpy(), block.column(3).to_numpy(), block.column(4))
             return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(a), pa.array(b)], ["doc_id", "start", "end"]), first
 
         for batch in batches:
@@ -478,18 +492,19 @@ def _covered(contexts: DataFrame) -> DataFrame:
                 out, held = _window_spans(batch.filter(pa.array(single)), held)
                 yield out
                 batch = batch.filter(pa.array(~single))
-            rows += zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)
-            while len(rows) - carried > BLOCK:
-                cut = next((k for k in range(len(rows) - 1, carried, -1) if rows[k][:2] != rows[k - 1][:2]), 0)
-                block = rows[:cut] or rows
-                out, first = work(block)
+            rows = batch if rows is None else pa.concat_batches([rows, batch])
+            while rows.num_rows - carried > BLOCK:
+                anchor, spread = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+                edge = np.flatnonzero((anchor[1:] != anchor[:-1]) | (spread[1:] != spread[:-1])) + 1
+                cut = int(edge[-1]) if len(edge) and edge[-1] > carried else rows.num_rows
+                out, first = work(rows.slice(0, cut))
                 yield out
-                if cut:
-                    rows, carried = rows[cut:], 0
+                if cut < rows.num_rows:
+                    rows, carried = rows.slice(cut), 0
                 else:  # one anchor or window fills the block: its distinct bytes go on, each with its smallest document
-                    rows = [block[k] for k in first.tolist()]
-                    carried = len(rows)
-        if rows:
+                    rows = rows.take(pa.array(first))
+                    carried = rows.num_rows
+        if rows is not None and rows.num_rows:
             yield work(rows)[0]
     return contexts.mapInArrow(run, "doc_id long, start long, end long")
 
