@@ -109,13 +109,13 @@ def _suffix_less(data: np.ndarray, prefix: np.ndarray, a: np.ndarray, b: np.ndar
     return (low < depth) & (data[a + at] < data[b + at]), low
 
 
-def _merged(data: np.ndarray, prefix: np.ndarray, starts: np.ndarray, key: np.ndarray, depth: int) -> np.ndarray:
-    """Order of different suffixes that come sorted by ``key``, their first bytes: within equal keys, sorted runs of 1, 2, 4, ..
-    are merged. A suffix's place is its own rank plus its rank in the neighbouring run, found by binary search with hash
-    comparisons."""
+def _merged(data: np.ndarray, prefix: np.ndarray, starts: np.ndarray, klass: np.ndarray, depth: int) -> np.ndarray:
+    """Order of different suffixes that come sorted by ``klass``, the class of their first bytes: within a class, sorted runs
+    of 1, 2, 4, .. are merged. A suffix's place is its own rank plus its rank in the neighbouring run, found by binary search
+    with hash comparisons."""
     n = len(starts)
     order = np.arange(n)
-    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    edge = np.flatnonzero(np.concatenate(([True], klass[1:] != klass[:-1])))
     size = np.diff(np.append(edge, n))
     begin, length = np.repeat(edge, size), np.repeat(size, size)  # of each place's class
     run = 1
@@ -147,8 +147,8 @@ def _merged(data: np.ndarray, prefix: np.ndarray, starts: np.ndarray, key: np.nd
 def suffix_sort(data: np.ndarray, starts: np.ndarray, depth: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes at ``starts`` by their first ``depth`` bytes, and whether each equals the one before it.
 
-    Copies are brought together by the hash of all ``depth`` bytes and one of each is sorted: dealt by its first eight bytes,
-    and by merging where these are alike.
+    Copies are brought together by the hash of all ``depth`` bytes and one of each is sorted: dealt by its first bytes, and
+    by merging where these are alike.
     """
     n = len(starts)
     if not n:
@@ -160,11 +160,18 @@ def suffix_sort(data: np.ndarray, starts: np.ndarray, depth: int = SPAN) -> tupl
     heads = np.flatnonzero(np.concatenate(([True], whole[1:] != whole[:-1])))
     copies = np.diff(np.append(heads, n))
     lone = starts[order[heads]]
-    key = np.zeros(len(lone), dtype=np.uint64)
-    for k in range(8):
-        key = key << _U(8) | data[lone + k].astype(np.uint64)
-    ranked = np.argsort(key)
-    ranked = ranked[_merged(data, prefix, lone[ranked], key[ranked], depth)]
+    ranked, klass = np.arange(len(lone)), np.zeros(len(lone), dtype=np.uint64)
+    for at in range(0, min(16, depth - 7), 8):  # by eight bytes, then by the class so far and as many bytes as fit beside it
+        key = np.zeros(len(lone), dtype=np.uint64)
+        for k in range(at, at + 8):
+            key = key << _U(8) | data[lone[ranked] + k].astype(np.uint64)
+        room = _U(int(klass[-1]).bit_length())
+        if room:
+            key = klass << (_U(64) - room) | key >> room
+        by = np.argsort(key)
+        ranked, key = ranked[by], key[by]
+        klass = np.cumsum(np.concatenate(([False], key[1:] != key[:-1]))).astype(np.uint64)
+    ranked = ranked[_merged(data, prefix, lone[ranked], klass, depth)]
     many = copies[ranked]
     ahead = np.cumsum(many) - many
     order = order[np.repeat(heads[ranked] - ahead, many) + np.arange(n)]
@@ -517,7 +524,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         "first < last").select("digest", "first")
     copies = stored(marks.join(first, "digest").where("doc_id > first").select("doc_id", "n").distinct(), "copies")
     frequent = _frequent(docs)
-    rows = _anchor_rows(docs, frequent).repartition("anchor", "spread").sortWithinPartitions("anchor", "content", "doc_id")
+    rows = _anchor_rows(docs, frequent).repartition("anchor", "spread").sortWithinPartitions("anchor", "content", "doc_id").drop("spread")
     met = stored(_met(rows), "met")
     del rows
     starts = stored(met.where("end is null").groupBy("doc_id").agg(F.collect_set("start").alias("starts")), "starts")
