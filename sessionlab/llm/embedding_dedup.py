@@ -2,9 +2,10 @@
 
 Unit vectors are rotated onto their principal axes, largest variance first. Two of them are compared by accumulating the
 products of leading dimensions; what the others can still add is at most the product of the vectors' suffix norms, and a
-pair is given up as soon as its cosine cannot reach the threshold. Blocks are ranges of the first coordinate, and block
-pairs whose first coordinates alone rule the threshold out are never formed. Pairs left at the end are decided by the
-cosine of the original vectors in double precision.
+pair is given up as soon as its cosine cannot reach the threshold. Blocks are boxes of the leading coordinates, cut along
+the widest one until they hold few enough vectors; two blocks whose balls (a centre and the largest angle to it) are further
+apart than the threshold allows never meet. A block holds as many vectors as a task can, so that a vector is sent to few
+tiles. Pairs left at the end are decided by the cosine of the original vectors in double precision.
 
 Equal vectors are compared once, for all their copies. Vectors that are null, empty, zero or hold null or non-finite
 components link with nothing. Shorter vectors count as padded with zeros. Rows that repeat a vec_id count as vectors each.
@@ -24,8 +25,13 @@ from sessionlab.llm.common import stored
 from sessionlab.llm.components import connected_components
 from sessionlab.llm.vectors import matrix, pair_cosines, usable_vectors
 
-#: Vectors in one block, rows compared at once, dimensions in one step.
-BLOCK, ROWS, STEP = 4096, 512, 16
+#: Least vectors in one block, bytes of the vectors of a block, and blocks that small tables are dealt to.
+BLOCK, BLOCK_BYTES, LEAST_BLOCKS = 4096, 16 << 20, 6
+#: Rows and columns compared at once, dimensions in one step.
+ROWS, COLUMNS, STEP = 512, 4096, 16
+#: Vectors that the boxes are cut by, of these the fewest in a box, and coordinates that may be cut. The choice decides which
+#: vectors share a block, never which are compared.
+SAMPLE, BOX_SAMPLE, LEADING = 16_384, 16, 16
 _MARGIN = 1e-9
 
 
@@ -51,13 +57,13 @@ def tile_links(x: np.ndarray, z: np.ndarray, y: np.ndarray, w: np.ndarray, thres
     suffix = lambda m: np.sqrt(np.maximum(np.cumsum((m * m)[:, ::-1], axis=1)[:, ::-1], 0))
     tail_z, tail_w = suffix(z), suffix(w)
     rows, columns = [], []
-    for at in range(0, len(z), ROWS):
-        part = slice(at, at + ROWS)
+    for at, across in ((a, b) for a in range(0, len(z), ROWS) for b in range(0, len(w), COLUMNS)):
+        part, side = slice(at, at + ROWS), slice(across, across + COLUMNS)
         step = min(STEP, width)
-        so_far = z[part, :step] @ w[:, :step].T
-        rest = np.outer(tail_z[part, step], tail_w[:, step]) if step < width else 0.0
+        so_far = z[part, :step] @ w[side, :step].T
+        rest = np.outer(tail_z[part, step], tail_w[side, step]) if step < width else 0.0
         i, j = np.nonzero(so_far + rest >= threshold - _MARGIN)
-        product, i = so_far[i, j], i + at
+        product, i, j = so_far[i, j], i + at, j + across
         while step < width and len(i):
             upto = min(step + STEP, width)
             product = product + np.einsum("ij,ij->i", z[i, step:upto], w[j, step:upto])
@@ -74,6 +80,48 @@ def tile_links(x: np.ndarray, z: np.ndarray, y: np.ndarray, w: np.ndarray, thres
     return np.concatenate([none, *rows]), np.concatenate([none, *columns])
 
 
+class Boxes:
+    """Boxes of the leading coordinates with about ``size`` of ``n`` vectors each, cut by a sample; ``centres`` are unit vectors."""
+
+    def __init__(self, sample: np.ndarray, n: int, size: int):
+        self.cuts: list[tuple[int, float, int, int]] = []  # coordinate, value, number of the next cut or ~box on either side
+        centres: list[np.ndarray] = []
+        share = n / max(1, len(sample))
+
+        def cut(z: np.ndarray) -> int:
+            if len(z) * share > size and len(z) >= 2 * BOX_SAMPLE:
+                axis = int(np.var(z[:, :LEADING], axis=0).argmax())
+                middle = np.sort(z[:, axis])[len(z) // 4:len(z) - len(z) // 4]
+                value = float(middle[np.diff(middle).argmax() + 1])  # the widest gap of the middle half keeps clusters whole
+                left = z[:, axis] < value
+                if left.any():
+                    here = len(self.cuts)
+                    self.cuts.append((axis, value, 0, 0))
+                    self.cuts[here] = (axis, value, cut(z[left]), cut(z[~left]))
+                    return here
+            middle = z.mean(axis=0)
+            norm = np.linalg.norm(middle)
+            centres.append(middle / norm if norm else np.eye(1, z.shape[1])[0])
+            return ~(len(centres) - 1)
+        self.root = cut(sample)
+        self.centres = np.array(centres)
+
+    def of(self, z: np.ndarray) -> np.ndarray:
+        """The box of each vector."""
+        at = np.full(len(z), self.root)
+        while (inner := np.flatnonzero(at >= 0)).size:
+            for k in np.unique(at[inner]).tolist():
+                axis, value, left, right = self.cuts[k]
+                here = inner[at[inner] == k]
+                at[here] = np.where(z[here, axis] < value, left, right)
+        return ~at
+
+    def apart(self, radius: np.ndarray, reach: float) -> np.ndarray:
+        """Whether no vectors of two boxes can be within the angle ``reach``; ``radius`` is the largest angle to a centre."""
+        between = np.arccos(np.clip(self.centres @ self.centres.T, -1.0, 1.0))
+        return between - radius[:, None] - radius[None, :] > reach
+
+
 def _smallest_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For n nodes, the smallest index reachable over the links (a, b)."""
     label = np.arange(n)
@@ -95,7 +143,8 @@ def embedding_components(rows: DataFrame, threshold: float = 0.95) -> DataFrame:
     by each of their embeddings.
 
     The number of block pairs grows with the square of the vectors, as comparing all of them must; what a task holds is
-    bounded by two blocks, and what it returns are counts and a star for each of its components, never its pairs.
+    bounded by two blocks, and what it returns are counts and a star for each of its components, never its pairs. The driver
+    holds a sample and a row for each box, both bounded by SAMPLE.
     """
     ids = rows.select(F.col("vec_id").cast("long").alias("vec_id"))
     vectors = stored(usable_vectors(rows), "vectors")
@@ -107,40 +156,44 @@ def embedding_components(rows: DataFrame, threshold: float = 0.95) -> DataFrame:
     width = head["bytes"] // 8
     axes = _principal_axes(classes, width)
 
-    def rotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = matrix(batch.column("x").to_pylist(), width)
-            z = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes
-            if len(x):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("vec_id"), batch.column("copies"), pa.array([v.tobytes() for v in x], pa.binary()),
-                     pa.array([v.tobytes() for v in z], pa.binary()), pa.array(z[:, 0])],
-                    ["vec_id", "copies", "x", "z", "first"])
-    rotated = stored(classes.select("vec_id", "copies", "x").mapInArrow(
-        rotate, "vec_id long, copies long, x binary, z binary, first double"), "rotated")
-    blocks = -(-head["n"] // BLOCK)
-    cuts = rotated.stat.approxQuantile("first", [k / blocks for k in range(1, blocks)], 0.1 / blocks) if blocks > 1 else []
-    edges = np.array(cuts, dtype=float)
+    def rotated(x: np.ndarray) -> np.ndarray:
+        return (x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes
+
+    some = classes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("x").toArrow().column(0).to_pylist()
+    size = min(max(BLOCK, -(-head["n"] // LEAST_BLOCKS)), max(1, BLOCK_BYTES // (8 * width)))
+    boxes = Boxes(rotated(matrix(some, width)), head["n"], size)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = np.searchsorted(edges, batch.column("first").to_numpy(zero_copy_only=False), side="left")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place.astype(np.int32))], [*batch.schema.names, "block"])
-    dealt = rotated.mapInArrow(deal, "vec_id long, copies long, x binary, z binary, first double, block int")
-    ranges = dealt.groupBy("block").agg(F.min("first").alias("low"), F.max("first").alias("high"))
-    # Unit vectors whose first coordinates are a and b have a cosine of at most cos(acos a - acos b).
-    angle = lambda c: F.acos(F.greatest(F.least(F.col(c), F.lit(1.0)), F.lit(-1.0)))
-    spans = ranges.select("block", angle("high").alias("near"), angle("low").alias("far"))
-    other = spans.select(F.col("block").alias("block2"), F.col("near").alias("near2"), F.col("far").alias("far2"))
-    reach = float(np.arccos(threshold)) + 1e-9
-    pairs = spans.join(other, (F.col("block") <= F.col("block2")) & (F.col("near") <= F.col("far2") + reach)
-                       & (F.col("near2") <= F.col("far") + reach)).select("block", "block2")
-    sides = pairs.select("block", F.col("block").alias("a"), F.col("block2").alias("b")).unionByName(
-        pairs.where("block != block2").select(F.col("block2").alias("block"), F.col("block").alias("a"), F.col("block2").alias("b")))
+            z = rotated(matrix(batch.column("x").to_pylist(), width))
+            box = boxes.of(z)
+            angle = np.arccos(np.clip(np.einsum("ij,ij->i", z, boxes.centres[box]), -1.0, 1.0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(box.astype(np.int32)), pa.array(angle)],
+                                             [*batch.schema.names, "box", "angle"])
+    dealt = stored(classes.select("vec_id", "copies", "x").mapInArrow(
+        deal, "vec_id long, copies long, x binary, box int, angle double"), "dealt")
+    count, radius = np.zeros(len(boxes.centres), np.int64), np.zeros(len(boxes.centres))
+    for r in dealt.groupBy("box").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect():  # at most SAMPLE / BOX_SAMPLE
+        count[r["box"]], radius[r["box"]] = r["n"], r["radius"]
+    # A box that holds more than a block is dealt to several, by vec_id.
+    parts = np.maximum(1, -(-count // size))
+    begin = np.cumsum(parts) - parts
+    near = ~boxes.apart(radius, float(np.arccos(threshold)) + 1e-6) & (count[:, None] > 0) & (count[None, :] > 0)
+    one, two = np.nonzero(np.triu(near))
+    blocks = lambda box: F.sequence(F.col(f"begin{box}"), F.col(f"begin{box}") + F.col(f"parts{box}") - 1)
+    pairs = rows.sparkSession.createDataFrame(pd.DataFrame(
+        {"begin1": begin[one], "parts1": parts[one], "begin2": begin[two], "parts2": parts[two]}))
+    pairs = pairs.withColumn("a", F.explode(blocks(1))).withColumn("b", F.explode(blocks(2))).where("a <= b").select("a", "b")
+    sides = pairs.select(F.col("a").alias("block"), "a", "b").unionByName(
+        pairs.where("a != b").select(F.col("b").alias("block"), "a", "b"))
+    of_box = rows.sparkSession.createDataFrame(pd.DataFrame({"box": np.arange(len(parts)), "begin": begin, "parts": parts}))
+    placed = dealt.join(F.broadcast(of_box), "box").select(  # at most SAMPLE / BOX_SAMPLE boxes
+        "vec_id", "copies", "x", (F.col("begin") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).alias("block"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         left = (pdf["block"] == pdf["a"]).to_numpy()
-        x, z = matrix(pdf["x"].tolist(), width), matrix(pdf["z"].tolist(), width)
+        x = matrix(pdf["x"].tolist(), width)
+        z = rotated(x)
         ids, copies = pdf["vec_id"].to_numpy(), pdf["copies"].to_numpy()
         here = np.flatnonzero(left)
         there = here if left.all() else np.flatnonzero(~left)
@@ -156,7 +209,7 @@ def embedding_components(rows: DataFrame, threshold: float = 0.95) -> DataFrame:
             "b": pd.array([*ids[root[moved]].tolist(), *[None] * len(linked)], dtype="Int64"),
             "n": np.concatenate([np.zeros(len(moved)), count[linked]]).astype(np.int64)})
 
-    found = stored(dealt.join(sides, "block").groupBy("a", "b").applyInPandas(compare, "a long, b long, n long"), "vector-links")
+    found = stored(placed.join(sides, "block").groupBy("a", "b").applyInPandas(compare, "a long, b long, n long"), "vector-links")
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "rep")
     parts = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
     result = (vectors.select("vec_id", "key")

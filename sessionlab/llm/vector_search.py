@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by cosine with an inverted multi-index.
 
-The two halves of a unit vector are quantised separately by HALF centroids each, so every vector lies in one of
-HALF x HALF cells. A query walks the cells in order of the summed distance of their two centroids, with a heap over the
+The two halves of a unit vector are quantised separately, by as many centroids each as give about CELL vectors a cell, from
+HALF to MOST_HALF of them, so every vector lies in one of at most MOST_HALF^2 cells. A query walks the cells in order of the summed distance of their two centroids, with a heap over the
 pairs, until the cells hold the probed share of all vectors; the vectors of these cells are reranked by their cosine in
 double precision. The codebooks are fitted on at most FIT_ROWS vectors, and the share is the least that finds the wanted
 part of true neighbours among them. Every usable vector is indexed.
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from sessionlab.llm.common import stored
 from sessionlab.llm.vectors import matrix, pair_cosines, usable_vectors
 
-HALF, FIT_ROWS, FIT_QUERIES, WANTED = 16, 6_000, 300, 0.97
+FIT_ROWS, FIT_QUERIES, WANTED = 6_000, 300, 0.97
+#: Fewest and most centroids of a half, and vectors of a cell that their number aims at.
+HALF, MOST_HALF, CELL = 16, 256, 200
 #: Vectors of a cell that one task compares; larger cells are split.
 PART = 8_192
 #: Queries that are asked of a part at a time.
@@ -70,6 +72,11 @@ def walk_cells(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, least:
     return out
 
 
+def centroid_count(n: int) -> int:
+    """Centroids of each half for n vectors."""
+    return max(HALF, min(MOST_HALF, int((n / CELL) ** 0.5)))
+
+
 class MultiIndex:
     """Codebooks of the two halves, and the share of all vectors that a query probes."""
 
@@ -102,10 +109,10 @@ class MultiIndex:
             cosine = unit @ unit[q]
             cosine[q] = -2
             best = np.argsort(-cosine, kind="stable")[:k]
-            order = walk_cells(a, b, sizes, np.inf)
-            held = np.cumsum(sizes[order])
-            at = {c: h for c, h in zip(order, held.tolist(), strict=True)}
-            need += [at[c] / len(unit) for c in cell[best].tolist()]
+            order = np.argsort((a[:, None] + b[None, :]).ravel(), kind="stable")  # the whole walk at once
+            held = np.empty(len(order))
+            held[order] = np.cumsum(sizes[order])
+            need += (held[cell[best]] / len(unit)).tolist()
         return float(np.quantile(need, wanted)) if need else 1.0
 
 
@@ -117,8 +124,9 @@ def nearest(rows: DataFrame, k: int = 5, every: int = 50, wanted: float = WANTED
     sample = [bytes(r["x"]) for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("x").collect()]
     if not sample:
         return vectors.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    width = vectors.agg(F.max(F.octet_length("x"))).first()[0] // 8
-    index = MultiIndex(matrix(sample, width), k, wanted=wanted)
+    head = vectors.agg(F.max(F.octet_length("x")).alias("bytes"), F.count("*").alias("n")).first()
+    width = head["bytes"] // 8
+    index = MultiIndex(matrix(sample, width), k, centroid_count(head["n"]), wanted)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +135,7 @@ def nearest(rows: DataFrame, k: int = 5, every: int = 50, wanted: float = WANTED
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells.astype(np.int32))], ["vec_id", "x", "cell"])
     placed = stored(vectors.mapInArrow(place, "vec_id long, x binary, cell int"), "placed")
     sizes = np.zeros(index.cell_count, dtype=np.int64)
-    for r in placed.groupBy("cell").count().collect():  # at most HALF^2 rows
+    for r in placed.groupBy("cell").count().collect():  # at most MOST_HALF^2 rows
         sizes[r["cell"]] = r["count"]
     parts = np.maximum(1, -(-sizes // PART))
     least = max(index.share * sizes.sum(), 4 * k + 1)
@@ -152,10 +160,13 @@ def nearest(rows: DataFrame, k: int = 5, every: int = 50, wanted: float = WANTED
     turns = max(1, -(-asked.count() // TURN))
     queries = asked.mapInArrow(route, "query_id long, q binary, cell int, part int").withColumn(
         "turn", F.pmod(F.xxhash64("query_id"), F.lit(turns)).cast("int"))
-    count = F.create_map(*[F.lit(int(v)) for c in np.flatnonzero(parts > 1).tolist() for v in (c, parts[c])]) if (parts > 1).any() else None
-    of_cell = F.coalesce(count[F.col("cell")], F.lit(1)) if count is not None else F.lit(1)
-    stock = placed.withColumns({"part": F.pmod(F.xxhash64("vec_id"), of_cell).cast("int"),
-                                "turn": F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))})
+    split = np.flatnonzero(parts > 1)
+    stock = placed.withColumn("parts", F.lit(1))
+    if len(split):  # at most MOST_HALF^2 rows
+        of_cell = rows.sparkSession.createDataFrame(pd.DataFrame({"cell": split.astype(np.int32), "of": parts[split]}))
+        stock = placed.join(F.broadcast(of_cell), "cell", "left").withColumn("parts", F.coalesce("of", F.lit(1)))
+    stock = stock.select("vec_id", "x", "cell", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"),
+                         F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"))
 
     def rerank(stock: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         ids = stock["vec_id"].to_numpy()

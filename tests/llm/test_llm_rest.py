@@ -16,12 +16,12 @@ import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
 from check_oracles import compare, connect
 from sessionlab.llm.byte_bpe import Encoder, PrefixTable, Ranks, decode_documents, encode_documents
-from sessionlab.llm.embedding_dedup import embedding_components
+from sessionlab.llm.embedding_dedup import Boxes, embedding_components
 from sessionlab.llm.packing import best_plan, cut_documents, pack_pieces, plan_lengths
 from sessionlab.llm import suffix_dedup
 from sessionlab.llm.suffix_dedup import anchors_of, remove_repeats, suffix_sort
 from sessionlab.llm.url_filter import judge_urls
-from sessionlab.llm.vector_search import nearest, walk_cells
+from sessionlab.llm.vector_search import centroid_count, nearest, walk_cells
 from sessionlab.llm.vectors import pair_cosines
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -218,15 +218,34 @@ def test_embedding_components(spark, monkeypatch):
         for a, b in zip(*np.nonzero(cosine >= 0.95), strict=True):
             if parent[ids[b]] < parent[ids[a]]:
                 parent[ids[a]], changed = parent[ids[b]], True
-    for block in (4096, 50):
+    for block in (4096, 50, 20):  # one block, several boxes, boxes dealt to several blocks
         monkeypatch.setattr("sessionlab.llm.embedding_dedup.BLOCK", block)
+        monkeypatch.setattr("sessionlab.llm.embedding_dedup.BLOCK_BYTES", block * 12 * 8)
         got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_components(df).collect()}
         want = {i: (int(n), parent[i]) for i, n in zip(ids.tolist(), (cosine >= 0.95).sum(1), strict=True)}
         assert got == {**want, **{i: (0, i) for i, _ in odd}}
     assert embedding_components(df.limit(0)).collect() == []
 
 
-def test_nearest(spark):
+def test_boxes_apart_hold_no_links():
+    rng = np.random.default_rng(6)
+    z = rng.normal(size=(30, 8))[rng.integers(30, size=900)] + rng.normal(size=(900, 8)) * 0.05
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    boxes = Boxes(z[::2], len(z), 40)
+    box = boxes.of(z)
+    angle = np.arccos(np.clip((z * boxes.centres[box]).sum(axis=1), -1, 1))
+    radius = np.zeros(len(boxes.centres))
+    np.maximum.at(radius, box, angle)
+    apart = boxes.apart(radius, float(np.arccos(0.95)))
+    a, b = np.nonzero(z @ z.T >= 0.95)
+    assert not apart[box[a], box[b]].any() and apart.mean() > 0.3 and np.bincount(box).max() < 120
+    assert Boxes(np.ones((50, 3)), 50, 10).of(np.ones((4, 3))).tolist() == [0] * 4  # equal vectors cannot be cut
+
+
+@pytest.mark.parametrize("cell", [200, 1])
+def test_nearest(spark, monkeypatch, cell):
+    monkeypatch.setattr("sessionlab.llm.vector_search.CELL", cell)
+    monkeypatch.setattr("sessionlab.llm.vector_search.PART", 50 * cell)
     rows, _, df = vectors_frame(spark, 2)
     ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
     got = nearest(df, k=5, every=20).collect()
@@ -247,6 +266,10 @@ def test_nearest(spark):
     assert nearest(df.limit(0)).collect() == []
 
 
+def test_cells_grow_with_the_vectors():
+    assert [centroid_count(n) for n in (0, 51_282, 200_000, 10**7, 10**9)] == [16, 16, 31, 223, 256]
+
+
 def test_walk_visits_cells_in_order():
     rng = np.random.default_rng(1)
     a, b = rng.random(6), rng.random(5)

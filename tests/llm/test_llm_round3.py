@@ -319,9 +319,10 @@ def test_vectors_without_an_id(spark):
 
 
 def test_many_vector_blocks(spark, monkeypatch):
-    """Far more cuts than an expression could hold."""
+    """Blocks of four vectors."""
     from sessionlab.llm import embedding_dedup
     monkeypatch.setattr(embedding_dedup, "BLOCK", 1)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 4 * 16)
     rows = [(k, [float(np.cos(k * 0.004)), float(np.sin(k * 0.004))]) for k in range(1200)]
     df = spark.createDataFrame([r for r in rows if r[0] % 100 < 3 or r[0] > 700], "vec_id long, embedding array<double>").limit(560)
     got = {r["vec_id"]: r["component_id"] for r in embedding_components(df, 0.9999).collect()}
