@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from sessionlab.catalog.inputs import FLAT, S, raw_sessions, sessions, table
@@ -177,9 +176,9 @@ FROM customer""")
 def one_hot_many(spark, d):
     """As many levels as rows, and a second column of five: two entries in a sparse vector of all slots."""
     hot = E.one_hot_vector(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), ["c_custkey", "c_mktsegment"])
-    slots = vector_to_array("hot")
-    return hot.select("c_custkey", F.size(slots).cast("long").alias("slots"),
-                      (F.array_position(slots, F.lit(1.0)) - 1).cast("int").alias("first_slot"))
+    vector = F.unwrap_udt("hot")  # as it is stored: an array of all slots per row would grow with the square of the rows
+    return hot.select("c_custkey", vector["size"].cast("long").alias("slots"),
+                      F.get(vector["indices"], (F.array_position(vector["values"], F.lit(1.0)) - 1).cast("int")).alias("first_slot"))
 
 
 @query("function_sequence", f"""
