@@ -24,3 +24,17 @@ def test_one_hot_vector_names_no_slot_and_is_not_spread_out(spark, sf_dir):
         1: [0, 0, 1, 1, 0], 2: [1, 0, 0, 0, 1], 3: [0, 1, 0, 0, 1]}
     assert hot.schema["hot"].metadata == {"ml_attr": {"num_attrs": 5}}
     assert "vector_to_array" not in plan(one_hot_many(spark, sf_dir)) and "UDF" in plan(hot)
+
+
+def test_folds_share_one_stored_matrix(spark, monkeypatch):
+    written, real = [], M.materialize
+    monkeypatch.setattr(M, "materialize", lambda df, path: written.append(path) or real(df, path))
+    rows = spark.createDataFrame([(i, i % 3, i % 2, float(i % 2 + i % 3)) for i in range(60)], "id int, fold int, a int, y double")
+    matrix = M.assemble(rows, ["a"], "y", keep=["id", "fold", "a"])
+    out = M.oof_predict(matrix, "y", M.k_folds("fold", 3), settings=M.BoostSettings(max_iter=1, depth=1, step=1.0, subsample=1.0, min_rows=1))
+    assert len(written) == 1
+    # a row of fold f is predicted by the mean of the other folds in its half
+    assert {(r["fold"], r["a"]): round(r["pred"], 6) for r in out.train.collect()} == {
+        (f, a): a + sum(g for g in range(3) if g != f) / 2 for f in range(3) for a in range(2)}
+    assert M.fit_boosted(matrix.withColumn("v", F.col("fold") == 0), "y", "v", M.BoostSettings(max_iter=4, piece=2, depth=1, min_rows=1)).getNumTrees >= 1
+    assert len(written) == 3  # its own copy, and one between its two pieces
