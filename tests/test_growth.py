@@ -38,3 +38,11 @@ def test_folds_share_one_stored_matrix(spark, monkeypatch):
         (f, a): a + sum(g for g in range(3) if g != f) / 2 for f in range(3) for a in range(2)}
     assert M.fit_boosted(matrix.withColumn("v", F.col("fold") == 0), "y", "v", M.BoostSettings(max_iter=4, piece=2, depth=1, min_rows=1)).getNumTrees >= 1
     assert len(written) == 3  # its own copy, and one between its two pieces
+
+
+def test_texts_are_made_after_the_joins(spark, sf_dir):
+    keyed = raw_sessions(spark, sf_dir, keyed=True)
+    text = plan(keyed)
+    assert "productSKU" in text and text.index("productSKU") < text.index("Join") and "productSKU" not in text[text.index("Join"):]
+    assert "Repartition" in text[:text.index("Join")]
+    assert keyed.drop("k").exceptAll(raw_sessions(spark, sf_dir)).count() == 0 and keyed.filter("k is null").count() == 0
