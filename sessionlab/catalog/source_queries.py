@@ -17,10 +17,10 @@ from sessionlab.sources import writers as Wr
 
 
 def _export(spark, d, name, rows_per_file=None):
-    """The session export as CSV files."""
+    """The session export as packed CSV files."""
     raw = raw_sessions(spark, d).select(*X.SESSIONS_V2.fieldNames())
     path = scratch_path(spark, name)
-    return Wr.sink_split(raw, path, rows_per_file) if rows_per_file else Wr.sink_csv(raw, path)
+    return Wr.sink_split(raw, path, rows_per_file, Wr.PACKING) if rows_per_file else Wr.sink_csv(raw, path, Wr.PACKING)
 
 
 _PARSED = """"visitId", "fullVisitorId", "visitStartTime", browser, country, pageviews"""
@@ -50,11 +50,10 @@ def scan_inferred_csv(spark, d):
 WITH {FLAT} SELECT {_PARSED} FROM flat WHERE k % 2 = 0 UNION ALL SELECT {_PARSED} FROM flat WHERE k % 2 = 1""")
 def scan_reordered_csv(spark, d):
     """Two exports whose columns stand in different orders, neither that of the schema."""
-    raw = raw_sessions(spark, d).join(table(spark, d, "events").select(
-        F.col("event_id").alias("visitId"), F.get_json_object("props", "$.k").cast("int").alias("k")), "visitId")
+    raw = raw_sessions(spark, d, keyed=True)
     names = X.SESSIONS_V2.fieldNames()
-    back = Wr.sink_csv(raw.filter("k % 2 = 0").select(*reversed(names)), scratch_path(spark, "back"))
-    turned = Wr.sink_csv(raw.filter("k % 2 = 1").select(*names[5:], *names[:5]), scratch_path(spark, "turned"))
+    back = Wr.sink_csv(raw.filter("k % 2 = 0").select(*reversed(names)), scratch_path(spark, "back"), Wr.PACKING)
+    turned = Wr.sink_csv(raw.filter("k % 2 = 1").select(*names[5:], *names[:5]), scratch_path(spark, "turned"), Wr.PACKING)
     return _parsed(R.scan_typed_csv(spark, [back, turned], X.SESSIONS_V2))
 
 
@@ -64,7 +63,7 @@ WITH {FLAT} SELECT CAST("visitId" AS VARCHAR) AS "visitId", "fullVisitorId", "vi
 def scan_sessions_v1(spark, d):
     """The first version of the export: no list columns, ids as text, a session id."""
     raw = raw_sessions(spark, d).withColumn("sessionId", F.concat(F.lit("S"), "visitId"))
-    path = Wr.sink_csv(raw.select(*X.SESSIONS_V1.fieldNames()), scratch_path(spark, "v1"))
+    path = Wr.sink_csv(raw.select(*X.SESSIONS_V1.fieldNames()), scratch_path(spark, "v1"), Wr.PACKING)
     flat = json_flatten(R.scan_typed_csv(spark, path, X.SESSIONS_V1), {"device": X.DEVICE, "geoNetwork": X.GEO, "totals": X.TOTALS})
     return flat.select("visitId", "fullVisitorId", "visitStartTime", "browser", "country", "pageviews", "sessionId")
 

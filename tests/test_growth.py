@@ -46,3 +46,12 @@ def test_texts_are_made_after_the_joins(spark, sf_dir):
     assert "productSKU" in text and text.index("productSKU") < text.index("Join") and "productSKU" not in text[text.index("Join"):]
     assert "Repartition" in text[:text.index("Join")]
     assert keyed.drop("k").exceptAll(raw_sessions(spark, sf_dir)).count() == 0 and keyed.filter("k is null").count() == 0
+
+
+def test_packed_csv_holds_all_rows_in_small_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Wr, "PACKED_ROWS", 10)
+    df = spark.range(35).selectExpr("id", "concat('a \"b\", ', id) as t").coalesce(1)
+    path = Wr.sink_csv(df, str(tmp_path / "packed"), Wr.PACKING)
+    files = [f for f in os.listdir(path) if f.startswith("part-")]
+    assert len(files) == 4 and all(f.endswith(".lz4") for f in files)
+    assert sorted(map(tuple, scan_typed_csv(spark, path, df.schema).collect())) == sorted(map(tuple, df.collect()))
