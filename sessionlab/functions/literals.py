@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,27 +18,47 @@ PYTHON_QUOTING = {
 }
 
 _BARE_WORDS = {"True": "true", "False": "false", "None": "null"}
-_QUOTED = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+\""""
-
-
-def _value_pattern(word: str) -> str:
-    """What stands before a bare word since the match before: quoted strings, consumed whole, and other characters.
-    All repeats are possessive, so the search is linear and does not recurse on long lists."""
-    return rf"(?s)\G((?:{_QUOTED}|[^'\"{word[0]}]++|{word[0]}(?!{word[1:]}(?![A-Za-z0-9_])))*+){word}"
+# Repeats of one character class are greedy, the fast form; the groups around them are possessive.
+_QUOTED = r"""'[^'\\]*(?:\\.[^'\\]*)*+'|"[^"\\]*(?:\\.[^"\\]*)*+\""""
+_WORD = rf"(?:{'|'.join(_BARE_WORDS)})(?![A-Za-z0-9_])"
+_FIRST = "".join(w[0] for w in _BARE_WORDS)
+# What stands before a bare word since the match before: quoted strings, consumed whole, and other characters. The groups are
+# possessive, so the search is linear and does not recurse on long lists.
+_VALUE = rf"(?s)\G((?:[^'\"{_FIRST}]+|{_QUOTED}|(?!{_WORD})[{_FIRST}])*+)"
+# Set before a bare word by the one search for all of them.
+_MARK = "\u0001"
 
 
-# \xNN, when the backslash is not itself escaped.
-_HEX_ESCAPE = r"\\x([0-9a-fA-F]{2})(?<=(?<!\\)(?:\\\\){0,8}\\x..)"
+# \xNN and what stands before it since the match before: a backslash takes the next character with it, so an escaped one
+# escapes nothing.
+_HEX_ESCAPE = r"(?s)\G((?:[^\\]+|\\(?!x[0-9a-fA-F]{2}).)*+)\\x([0-9a-fA-F]{2})"
 
 
 def pyliteral_to_json(c: ColumnLike) -> Column:
     """Rewrite the bare words and hex escapes of a Python literal; quotes stay as they are.
 
-    A pass over the text is made only where the word or escape occurs in it at all."""
-    text = out = col(c)
+    Each step is a lambda on an array of one text: its input is computed once, however often the step or, after it was
+    pushed down, a filter names it. A pass over the text is made only where a word or escape occurs in it at all."""
+    return F.get(F.transform(F.transform(F.array(col(c)), _json_words), _json_escapes), F.lit(0))
+
+
+def _json_words(text: Column) -> Column:
+    """One search marks the words, plain replacements turn them; a text that holds the mark itself is searched for each word."""
+    one_by_one, at_once = text, F.regexp_replace(text, f"{_VALUE}({'|'.join(_BARE_WORDS)})", f"$1{_MARK}$2")
     for word, replacement in _BARE_WORDS.items():
-        out = F.when(text.contains(word), F.regexp_replace(out, _value_pattern(word), "$1" + replacement)).otherwise(out)
-    return F.when(text.contains(r"\x"), F.regexp_replace(out, _HEX_ESCAPE, r"\\u00$1")).otherwise(out)
+        one_by_one = F.regexp_replace(one_by_one, _value_pattern(word), "$1" + replacement)
+        at_once = F.replace(at_once, F.lit(_MARK + word), F.lit(replacement))
+    any_word = reduce(Column.__or__, [text.contains(word) for word in _BARE_WORDS])
+    return F.when(~any_word, text).when(text.contains(_MARK), one_by_one).otherwise(at_once)
+
+
+def _value_pattern(word: str) -> str:
+    """As ``_VALUE``, up to one word."""
+    return rf"(?s)\G((?:[^'\"{word[0]}]+|{_QUOTED}|{word[0]}(?!{word[1:]}(?![A-Za-z0-9_])))*+){word}"
+
+
+def _json_escapes(text: Column) -> Column:
+    return F.when(text.contains(r"\x"), F.regexp_replace(text, _HEX_ESCAPE, r"$1\\u00$2")).otherwise(text)
 
 
 def pyliteral_variant(c: ColumnLike) -> Column:

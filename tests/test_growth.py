@@ -17,6 +17,32 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_literal_is_rewritten_from_one_copy_of_its_input(spark):
+    texts = ["[True, 'True', \"it's None\", None]", "\u0001True [False]", "'\\x41\\\\x41\\xZZ' True_ None", "xFalse", "'open True", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(2)
+    out = df.select("id", F.reverse("t").alias("r")).select("id", pyliteral_to_json(F.reverse("r")).alias("j")).filter(F.length("j") > 0)
+    assert plan(out.select("id")).count("reverse(reverse(") == 1
+    assert [r["j"] for r in out.orderBy("id").collect()] == [
+        "[true, 'True', \"it's None\", null]", "\u0001true [false]", "'\\u0041\\\\x41\\xZZ' True_ null", "xfalse", "'open True"]
+
+
+def test_texts_are_made_after_the_joins(spark, sf_dir):
+    keyed = raw_sessions(spark, sf_dir, keyed=True)
+    text = plan(keyed)
+    assert "productSKU" in text and text.index("productSKU") < text.index("Join") and "productSKU" not in text[text.index("Join"):]
+    assert "Repartition" in text[:text.index("Join")]
+    assert keyed.drop("k").exceptAll(raw_sessions(spark, sf_dir)).count() == 0 and keyed.filter("k is null").count() == 0
+
+
+def test_packed_csv_holds_all_rows_in_small_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Wr, "PACKED_ROWS", 10)
+    df = spark.range(35).selectExpr("id", "concat('a \"b\", ', id) as t").coalesce(1)
+    path = Wr.sink_csv(df, str(tmp_path / "packed"), Wr.PACKING)
+    files = [f for f in os.listdir(path) if f.startswith("part-")]
+    assert len(files) == 4 and all(f.endswith(".lz4") for f in files)
+    assert sorted(map(tuple, scan_typed_csv(spark, path, df.schema).collect())) == sorted(map(tuple, df.collect()))
+
+
 def test_one_hot_vector_names_no_slot_and_is_not_spread_out(spark, sf_dir):
     df = spark.createDataFrame([(1, "b", None), (2, None, "x"), (3, "a", "x")], "id int, a string, b string")
     hot = one_hot_vector(df, ["a", "b"])
@@ -38,20 +64,3 @@ def test_folds_share_one_stored_matrix(spark, monkeypatch):
         (f, a): a + sum(g for g in range(3) if g != f) / 2 for f in range(3) for a in range(2)}
     assert M.fit_boosted(matrix.withColumn("v", F.col("fold") == 0), "y", "v", M.BoostSettings(max_iter=4, piece=2, depth=1, min_rows=1)).getNumTrees >= 1
     assert len(written) == 3  # its own copy, and one between its two pieces
-
-
-def test_texts_are_made_after_the_joins(spark, sf_dir):
-    keyed = raw_sessions(spark, sf_dir, keyed=True)
-    text = plan(keyed)
-    assert "productSKU" in text and text.index("productSKU") < text.index("Join") and "productSKU" not in text[text.index("Join"):]
-    assert "Repartition" in text[:text.index("Join")]
-    assert keyed.drop("k").exceptAll(raw_sessions(spark, sf_dir)).count() == 0 and keyed.filter("k is null").count() == 0
-
-
-def test_packed_csv_holds_all_rows_in_small_files(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(Wr, "PACKED_ROWS", 10)
-    df = spark.range(35).selectExpr("id", "concat('a \"b\", ', id) as t").coalesce(1)
-    path = Wr.sink_csv(df, str(tmp_path / "packed"), Wr.PACKING)
-    files = [f for f in os.listdir(path) if f.startswith("part-")]
-    assert len(files) == 4 and all(f.endswith(".lz4") for f in files)
-    assert sorted(map(tuple, scan_typed_csv(spark, path, df.schema).collect())) == sorted(map(tuple, df.collect()))
