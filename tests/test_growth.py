@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
 from sessionlab.catalog.inputs import raw_sessions
@@ -64,3 +66,41 @@ def test_folds_share_one_stored_matrix(spark, monkeypatch):
         (f, a): a + sum(g for g in range(3) if g != f) / 2 for f in range(3) for a in range(2)}
     assert M.fit_boosted(matrix.withColumn("v", F.col("fold") == 0), "y", "v", M.BoostSettings(max_iter=4, piece=2, depth=1, min_rows=1)).getNumTrees >= 1
     assert len(written) == 3  # its own copy, and one between its two pieces
+
+
+def _waves(spark):
+    """Rows whose label takes many small steps to learn; every third is for validation."""
+    rows = [(float(k % 17), float((k * 13) % 23), float((k % 17) * ((k * 13) % 23) % 29), k % 3 == 0) for k in range(360)]
+    return M.assemble(spark.createDataFrame(rows, "a double, b double, y double, val boolean").coalesce(1), ["a", "b"], "y", ["val"]).persist()
+
+
+def test_a_round_looks_for_no_splits(spark):
+    matrix, jobs = _waves(spark), []
+    for rounds in (3, 8):
+        spark.sparkContext.setJobGroup(f"rounds-{rounds}", "")
+        M.fit_boosted(matrix, "y", "val", M.BoostSettings(max_iter=rounds, depth=2, min_rows=1))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"rounds-{rounds}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] - jobs[0] <= 5 * 2  # a job for each level of each tree, no other
+
+
+def test_rounds_are_fitted_to_what_is_left(spark):
+    matrix = _waves(spark)
+    settings = M.BoostSettings(max_iter=5, depth=3, step=0.3, subsample=1.0, min_rows=2)
+    rows = matrix.select("*", F.col("y").alias("rest"))
+    for k in range(5):
+        tree = DecisionTreeRegressor(labelCol="rest", maxDepth=3, maxBins=255, minInstancesPerNode=2).fit(rows)
+        rows = tree.setPredictionCol("t").transform(rows).withColumn("rest", F.col("rest") - (0.3 if k else 1.0) * F.col("t")).drop("t")
+    wanted = [r[0] for r in rows.select(F.col("y") - F.col("rest")).collect()]
+    found = M.fit_boosted(matrix, "y", None, settings).transform(matrix)
+    assert [r[0] for r in found.select("prediction").collect()] == pytest.approx(wanted)
+
+
+def test_rounds_go_on_while_the_error_falls(spark):
+    matrix = _waves(spark)
+    settings = M.BoostSettings(max_iter=40, depth=3, step=0.2, min_rows=1, patience=3, piece=1)  # the first look is after 4 rounds
+    whole = M.fit_boosted(matrix.filter("not val"), "y", None, settings).evaluateEachIteration(matrix.filter("val"), "squared")
+    found = M.fit_boosted(matrix, "y", "val", settings).getNumTrees
+    assert found == M.best_round(whole, settings)[0] and found > 4
+    with pytest.raises(ValueError):
+        M.fit_boosted(matrix.withColumn("none", F.lit(False)), "y", "none", settings)
